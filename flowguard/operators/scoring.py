@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def rule(condition: Column) -> Scorer:
-    """1 where the condition holds, else 0."""
-    return lambda df: df.withColumn("prediction", F.coalesce(condition, F.lit(False)).cast("int"))
+def rule(condition: str) -> Scorer:
+    """1 where the SQL condition holds, else 0."""
+    return lambda df: df.withColumn("prediction", F.coalesce(F.expr(condition), F.lit(False)).cast("int"))
 
 
 def model(fitted: PipelineModel) -> Scorer:

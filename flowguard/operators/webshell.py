@@ -73,15 +73,23 @@ def linear_classes(weights: DataFrame, terms: Mapping[str, float], bias: float,
 
 
 def linear_events(
-    packets: DataFrame, terms: Mapping[str, float], bias: float, detail: list[str]
+    packets: DataFrame,
+    terms: Mapping[str, float],
+    bias: float,
+    detail: list[str],
+    idf: DataFrame | None = None,
 ) -> DataFrame:
-    """Events of the linear text model.  A text with none of its terms scores ``bias``, which is
-    taken to be the harmless side."""
+    """Events of the linear text model.
+
+    ``idf`` is a fitted table, as a stream needs one; without it, these packets are the corpus.  A
+    text with none of the terms scores ``bias``, which has to be the harmless side.
+    """
     if bias > 0:
         raise ValueError("a text without any known term must not alarm: bias has to be <= 0")
     shells = payloads(packets)
     counts = term_counts(shells)
-    idf = fit_idf(counts, shells.agg(F.count("*")))
+    if idf is None:
+        idf = fit_idf(counts, shells.agg(F.count("*")))
     hits = linear_classes(tfidf(counts, idf), terms, bias).where("prediction = 1").select("pkt_no")
     return packet_event(packets.join(hits, "pkt_no", "left_semi"), WEBSHELL, detail)
 

@@ -60,11 +60,6 @@ def with_vector(framed: DataFrame) -> DataFrame:
     return framed.withColumn("x", array_to_vector(tx.frame_vector(F.col("frame"))))
 
 
-def count_code(char: str) -> Column:
-    """How often a character occurs in the frame."""
-    return F.length("frame") - F.length(F.replace(F.col("frame"), F.lit(char), F.lit("")))
-
-
 def events(
     packets: DataFrame, scorer: Scorer, mode: str = "first", detail: list[str] | None = None
 ) -> DataFrame:

@@ -91,25 +91,21 @@ def ftp_files(
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = _carried(spark, checkpoint, batch_id, batch.schema).unionByName(batch).persist()
-        placed = ftp.sessions(rows)
-        files = ftp.files(placed)
-        _save(files.where("closed").drop("sess"), f"{out}/done/run={batch_id}")
-        # a transfer is still open if its session has a name and the flow saw no FIN since
+        # per flow: its last FIN, and the first command after that, which opened what is unfinished
         ends = rows.where("fin = 1").groupBy("flow").agg(F.max("seq").alias("_end"))
-        names = ftp.command_file().isNotNull()
-        starts = rows.join(ends, "flow", "left").where(F.coalesce(F.col("seq") > F.col("_end"), F.lit(True)))
-        first = starts.where(names).groupBy("flow").agg(F.min("seq").alias("_open"))
-        still = rows.join(first, "flow").where("seq >= _open").drop("_open")
+        placed = ftp.sessions(rows).join(ends, "flow", "left")
+        is_done = F.coalesce(F.col("seq") <= F.col("_end"), F.lit(False))
+        _save(ftp.files(placed.where(is_done)).drop("sess"), f"{out}/done/run={batch_id}")
+        still = placed.where(~is_done & F.col("file_name").isNotNull())
         if idle_seconds is not None:
-            newest = rows.agg(F.max("sniff_ts"))
+            newest = rows.agg(F.max("sniff_ts")).scalar()
             seen = still.groupBy("flow").agg(F.max("sniff_ts").alias("_seen"))
-            late = seen.where(
-                F.unix_micros("_seen") + idle_seconds * 1_000_000 < F.unix_micros(newest.scalar())
-            ).select("flow")
-            expired = files.where("NOT closed").join(late, "flow", "left_semi")
+            limit = F.unix_micros("_seen") + idle_seconds * 1_000_000
+            late = seen.where(limit < F.unix_micros(newest)).select("flow")
+            expired = ftp.files(still.join(late, "flow", "left_semi"))
             _save(expired.drop("sess"), f"{out}/expired/run={batch_id}")
             still = still.join(late, "flow", "left_anti")
-        _save(still.select(*batch.columns), _slot(checkpoint, batch_id))
+        _save(rows.join(still.select("flow", "seq"), ["flow", "seq"], "left_semi"), _slot(checkpoint, batch_id))
         rows.unpersist()
 
     return _start(stream, each, checkpoint, trigger)
