@@ -224,15 +224,22 @@ def elf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     Numbers ending in 9 stay plain text, and those divisible by 20 are cut in half.
     """
     doc = F.col("doc_id")
-    is64, little = doc % 2 == 0, F.expr("doc_id div 2 % 2 = 0")
+    is64 = doc % 2 == 0
 
-    def put(value: Column | int, size: int) -> Column:
-        digits = F.lpad(F.hex((value if isinstance(value, Column) else F.lit(value)).cast("long")), 2 * size, "0")
-        pairs = [F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]
-        return F.when(little, F.concat(*pairs)).otherwise(digits)
+    def put(value: str | int, size: int) -> str:
+        """SQL: hex digits of a number of ``size`` bytes in the file's byte order."""
+        if isinstance(value, int):
+            both = [value.to_bytes(size, order).hex().upper() for order in ("little", "big")]
+            return f"if(doc_id div 2 % 2 = 0, '{both[0]}', '{both[1]}')"
+        digits = f"lpad(hex(bigint({value})), {2 * size}, '0')"
+        turned = ", ".join(f"substring({digits}, {2 * i + 1}, 2)" for i in reversed(range(size)))
+        return f"if(doc_id div 2 % 2 = 0, concat({turned}), {digits})"
 
-    def word(value: Column | int) -> Column:
-        return F.when(is64, put(value, 8)).otherwise(put(value, 4))
+    def word(value: str | int) -> str:
+        return f"if(doc_id % 2 = 0, {put(value, 8)}, {put(value, 4)})"
+
+    def joined(*parts: str) -> str:
+        return f"concat({', '.join(parts)})"
 
     sizes = table(spark, sf_dir, "documents").select(
         "doc_id", "text",
@@ -250,51 +257,47 @@ def elf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("sh_at", F.expr(f"names_at + {len(_NAME_TABLE)}"))
         .withColumn("n_sec", F.expr("3 + int(has_data) + int(has_debug) + int(has_exidx)"))
     )
-    c = F.col
-    head = F.concat(
-        F.lit("7F454C46"), F.when(is64, "02").otherwise("01"), F.when(little, "01").otherwise("02"),
-        F.lit("01"), F.when(doc % 3 == 0, "03").otherwise("00"), F.lit("00" * 8),
-        put(doc % 3 + 1, 2), put(c("machine"), 2), put(1, 4), word(doc + 4096), word(c("head_size")),
-        word(c("sh_at")), put(0, 4), put(c("head_size"), 2), put(c("ph_size"), 2), put(c("n_seg"), 2),
-        put(c("sh_size"), 2), put(c("n_sec"), 2), put(c("n_sec") - 1, 2),
+    head = joined(
+        "'7F454C46'", "if(doc_id % 2 = 0, '02', '01')", "if(doc_id div 2 % 2 = 0, '01', '02')", "'01'",
+        "if(doc_id % 3 = 0, '03', '00')", f"'{'00' * 8}'",
+        put("doc_id % 3 + 1", 2), put("machine", 2), put(1, 4), word("doc_id + 4096"), word("head_size"),
+        word("sh_at"), put(0, 4), put("head_size", 2), put("ph_size", 2), put("n_seg", 2),
+        put("sh_size", 2), put("n_sec", 2), put("n_sec - 1", 2),
     )
 
-    def segment(kind: Column, flags: int) -> Column:
-        wide = F.concat(
-            put(kind, 4), put(flags, 4), put(c("text_at"), 8), put(doc, 8), put(doc + 1, 8),
-            put(c("text_size"), 8), put(c("text_size") + 5, 8), put(4096, 8),
-        )
-        narrow = F.concat(
-            put(kind, 4), put(c("text_at"), 4), put(doc, 4), put(doc + 1, 4), put(c("text_size"), 4),
-            put(c("text_size") + 5, 4), put(flags, 4), put(4096, 4),
-        )
-        return F.when(is64, wide).otherwise(narrow)
+    def segment(kind: str | int, flags: int) -> str:
+        wide = [put(kind, 4), put(flags, 4), put("text_at", 8), put("doc_id", 8), put("doc_id + 1", 8),
+                put("text_size", 8), put("text_size + 5", 8), put(4096, 8)]
+        narrow = [put(kind, 4), put("text_at", 4), put("doc_id", 4), put("doc_id + 1", 4), put("text_size", 4),
+                  put("text_size + 5", 4), put(flags, 4), put(4096, 4)]
+        return f"if(doc_id % 2 = 0, {joined(*wide)}, {joined(*narrow)})"
 
     segments = [
-        segment(F.lit(1), 5),
-        segment(F.when(doc % 3 == 0, 3).otherwise(1), 6),
-        segment(F.when(doc % 5 == 0, 2).otherwise(0x6474E551), 7),
+        segment(1, 5),
+        segment("if(doc_id % 3 = 0, 3, 1)", 6),
+        segment(f"if(doc_id % 5 = 0, 2, {0x6474E551})", 7),
     ]
 
-    def section(name: int, kind: int, flags: int, addr, at, size, align: int) -> Column:
-        return F.concat(
+    def section(name: int, kind: int, flags: int, addr, at, size, align: int) -> str:
+        return joined(
             put(name, 4), put(kind, 4), word(flags), word(addr), word(at), word(size), put(0, 4), put(0, 4),
             word(align), word(0),
         )
 
-    at, size, names_at = c("text_at"), c("text_size"), c("names_at")
-    none = F.lit("")
-    shdrs = F.concat(
+    def only_if(flag: str, part: str) -> str:
+        return f"if({flag}, {part}, '')"
+
+    shdrs = joined(
         section(0, 0, 0, 0, 0, 0, 0),
-        section(_NAMES[".text"], 1, 6, doc + 4096, at, size, 16),
-        F.when(c("has_data"), section(_NAMES[".data"], 1, 3, 8192, names_at, 0, 8)).otherwise(none),
-        F.when(c("has_debug"), section(_NAMES[".debug_info"], 1, 0, 0, at, size, 1)).otherwise(none),
-        F.when(c("has_exidx"), section(_NAMES[".ARM.exidx"], 0x70000001, 2, 0, at, 0, 4)).otherwise(none),
-        section(_NAMES[".shstrtab"], 3, 0, 0, names_at, len(_NAME_TABLE), 1),
+        section(_NAMES[".text"], 1, 6, "doc_id + 4096", "text_at", "text_size", 16),
+        only_if("has_data", section(_NAMES[".data"], 1, 3, 8192, "names_at", 0, 8)),
+        only_if("has_debug", section(_NAMES[".debug_info"], 1, 0, 0, "text_at", "text_size", 1)),
+        only_if("has_exidx", section(_NAMES[".ARM.exidx"], 0x70000001, 2, 0, "text_at", 0, 4)),
+        section(_NAMES[".shstrtab"], 3, 0, 0, "names_at", len(_NAME_TABLE), 1),
     )
-    phdrs = F.concat(*[F.when(c("n_seg") > i, s).otherwise(none) for i, s in enumerate(segments)])
+    phdrs = joined(*[only_if(f"n_seg > {i}", s) for i, s in enumerate(segments)])
     names = _NAME_TABLE.encode().hex().upper()
-    whole = F.unhex(F.concat(head, phdrs, F.hex("text"), F.lit(names), shdrs))
+    whole = F.expr(f"unhex({joined(head, phdrs, 'hex(text)', repr(names), shdrs)})")
     content = (
         F.when(doc % 10 == 9, F.col("text").cast("binary"))
         .when(doc % 20 == 0, F.substring(whole, F.lit(1), F.expr("int(text_size / 2) + 20")))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from flowguard.functions.network import lookup
 
 
 def label_encode(
@@ -31,24 +31,25 @@ def label_encode(
 def dense_code(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     """Replace each column by its 1-based rank among the sorted distinct values of the scan ``by``.
 
-    Only distinct values are ranked, so copies of a value are folded before the shuffle and a hot
-    scan stays cheap.  Nulls keep no code.
+    For categories: only the distinct combinations of values are ranked, so copies are folded before
+    the shuffle and a hot scan stays cheap; one join brings the ranks back.  Nulls keep no code.
     """
-    for c in columns:
-        ranks = df.where(F.col(c).isNotNull()).select(by, c).distinct().select(
-            by, c, F.dense_rank().over(Window.partitionBy(by).orderBy(c)).alias(f"_{c}")
-        )
-        df = df.join(ranks, [by, c], "left").select(
-            *[F.col(f"_{c}").alias(c) if x == c else F.col(x) for x in df.columns]
-        )
-    return df
+    values = df.select(by, *columns).distinct()
 
+    def rank(c: str) -> Column:
+        window = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last())
+        return F.when(F.col(c).isNotNull(), F.dense_rank().over(window)).alias(f"_r_{c}")
 
-def value_map(value: Column, table: Mapping) -> Column:
+    ranks = values.select(*[F.col(c).alias(f"_k_{c}") for c in (by, *columns)], *[rank(c) for c in columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (by, *columns)]
+    joined = df.join(ranks, reduce(Column.__and__, same))
+    return joined.selectExpr(*[f"_r_{c} AS {c}" if c in columns else c for c in df.columns])
+
+
+def value_map(column: str, table: Mapping) -> Column:
     """Replace the values named in ``table``, all at once; others stay as they are."""
-    known = {str(k): str(v) for k, v in table.items()}
-    text = value.cast("string")
-    return F.coalesce(lookup(text, known), text)
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.expr(f"coalesce(try_element_at(map({pairs}), string({column})), string({column}))")
 
 
 def truthy(value: Column) -> Column:

@@ -1,17 +1,17 @@
 """ELF header features as Spark expressions.
 
 Only four small slices of a file are looked at (header, program headers, section headers, section
-names), all of them decoded inside the JVM; nothing is handed to Python workers.
+names), all of them decoded inside the JVM; nothing is handed to Python workers.  The expressions
+are written as SQL text: thousands of small ones are parsed faster than they are built call by call.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowguard.functions.network import lookup
 from flowguard.operators.elf_columns import (
     DEBUG_SECTIONS, FEATURES, HEAD_FIELDS, IDENT_FIELDS, NAMED_SECTIONS, SECTION_FIELDS, SEGMENT_COLUMNS,
-    SEGMENT_FIELDS,
+    SEGMENT_FIELDS, debug_columns, section_columns,
 )
 
 # The field layouts of the ELF specification as (name, bytes), for 32 and 64 bit.
@@ -75,43 +75,51 @@ NUMBER = "decimal(20,0)"  # holds any unsigned 64-bit value
 MAGIC = "7F454C46"
 
 
-def named(code: Column, names: dict) -> Column:
-    """The specification's name of a code, or the number as text."""
-    return F.coalesce(lookup(code.cast("long"), names), code.cast("string"))
+def named(code: str, names: dict) -> str:
+    """SQL: the specification's name of a code, or the number as text."""
+    pairs = ", ".join(f"{k}L, '{v}'" for k, v in names.items())
+    return f"coalesce(try_element_at(map({pairs}), bigint({code})), string({code}))"
 
 
-def uint(h: Column, at: int, size: int, little: Column) -> Column:
-    """Unsigned number of ``size`` bytes at byte ``at`` of the hex string ``h``."""
-    big_endian = F.substring(h, at * 2 + 1, size * 2)
-    pairs = [F.substring(h, (at + i) * 2 + 1, 2) for i in reversed(range(size))]
-    return F.conv(F.when(little, F.concat(*pairs)).otherwise(big_endian), 16, 10).cast(NUMBER)
+def uint(h: str, at: int, size: int) -> str:
+    """SQL: unsigned number of ``size`` bytes at byte ``at`` of the hex text ``h``."""
+    straight = f"substring({h}, {2 * at + 1}, {2 * size})"
+    turned = ", ".join(f"substring({h}, {2 * (at + i) + 1}, 2)" for i in reversed(range(size)))
+    return f"cast(conv(if(_little, concat({turned}), {straight}), 16, 10) AS {NUMBER})"
 
 
-def record(h: Column, layouts: dict, is64: Column, little: Column, start: int = 0) -> Column:
-    """Struct of all fields of the record at byte ``start`` of the hex string ``h``."""
+def record(h: str, layouts: dict, start: int = 0) -> str:
+    """SQL: struct of all fields of the record at byte ``start`` of the hex text ``h``."""
 
-    def read(bits: int) -> Column:
+    def read(bits: int) -> str:
         fields, at = {}, start
         for name, size in layouts[bits]:
-            fields[name] = uint(h, at, size, little)
+            fields[name] = uint(h, at, size)
             at += size
-        return F.struct(*[fields[name].alias(name) for name, _ in layouts[32]])
+        return "named_struct(" + ", ".join(f"'{n}', {fields[n]}" for n, _ in layouts[32]) + ")"
 
-    return F.when(is64, read(64)).otherwise(read(32))
+    return f"if(_is64, {read(64)}, {read(32)})"
 
 
-def _size(layouts: dict, is64: Column) -> Column:
-    return F.when(is64, sum(n for _, n in layouts[64])).otherwise(sum(n for _, n in layouts[32]))
+def _size(layouts: dict) -> str:
+    return f"if(_is64, {sum(n for _, n in layouts[64])}, {sum(n for _, n in layouts[32])})"
 
 
-def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def _stage(df: DataFrame, **columns: str) -> DataFrame:
     """Add columns as the output of a generator, so that each is computed exactly once.
 
     A plain projection would be copied into every later use, and into pushed-down filters: with
     steps that build on each other the plan would grow beyond measure.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    return df.select("*", F.expr(f"inline(array({_struct(columns)}))"))
+
+
+def _section_row(s: str) -> dict[str, str]:
+    return {f: named(f"{s}.{f}", SECTION_TYPES) if f == "sh_type" else f"{s}.{f}" for f in SECTION_FIELDS}
 
 
 def parse(files: DataFrame, content: str = "content") -> DataFrame:
@@ -121,122 +129,93 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
     ``segments``, ``sections`` and ``strtab``.  A file that cannot be read only gets an ``error``.
     """
     other = [c for c in files.columns if c != content]
-    body, little, is64, length = F.col(content), F.col("_little"), F.col("_is64"), F.col("file_size")
 
-    def byte(i: int) -> Column:
-        return F.substring("_h", 2 * i + 1, 2)
+    def byte(i: int) -> str:
+        return f"substring(_h, {2 * i + 1}, 2)"
 
     # 1: the header, whose class and byte order say how to read everything else
-    top = _stage(files, _h=F.hex(F.substring(body, 1, 64)), file_size=F.length(body).cast("long"))
-    top = _stage(top, _is64=byte(4) == "02", _little=byte(5) == "01")
+    top = _stage(files, _h=f"hex(substring({content}, 1, 64))", file_size=f"bigint(length({content}))")
+    top = _stage(top, _is64=f"{byte(4)} = '02'", _little=f"{byte(5)} = '01'")
     top = _stage(
         top,
-        _e1=F.when(body.isNull(), "no content")
-        .when(F.substring("_h", 1, 8) != MAGIC, "not an ELF file")
-        .when(~(byte(4).isin("01", "02") & byte(5).isin("01", "02")), "unknown class or byte order")
-        .when(length < 16 + _size(HEADER, is64), "truncated header"),
+        _e1=f"""CASE WHEN {content} IS NULL THEN 'no content'
+            WHEN substring(_h, 1, 8) <> '{MAGIC}' THEN 'not an ELF file'
+            WHEN {byte(4)} NOT IN ('01', '02') OR {byte(5)} NOT IN ('01', '02') THEN 'unknown class or byte order'
+            WHEN file_size < 16 + {_size(HEADER)} THEN 'truncated header' END""",
     )
-    top = _stage(top, _head=F.when(F.col("_e1").isNull(), record(F.col("_h"), HEADER, is64, little, 16)))
+    top = _stage(top, _head=f"if(_e1 IS NULL, {record('_h', HEADER, 16)}, NULL)")
 
     # 2: the two tables
-    def head(name: str) -> Column:
-        return F.col(f"_head.{name}")
+    def fits(offset: str, stride: str, count: str, layouts: dict) -> str:
+        end = f"_head.{offset} + _head.{stride} * _head.{count}"
+        return f"(_head.{count} = 0 OR ({end} <= file_size AND _head.{stride} >= {_size(layouts)}))"
 
-    def fits(offset: str, stride: str, count: str, layouts: dict) -> Column:
-        end = head(offset) + head(stride) * head(count)
-        return (head(count) == 0) | ((end <= length) & (head(stride) >= _size(layouts, is64)))
-
-    tables_fit = fits("e_phoff", "e_phentsize", "e_phnum", SEGMENT) & fits(
-        "e_shoff", "e_shentsize", "e_shnum", SECTION
-    )
+    segments, sections = ("e_phoff", "e_phentsize", "e_phnum"), ("e_shoff", "e_shentsize", "e_shnum")
     checked = _stage(
         top,
-        _e2=F.coalesce(
-            "_e1",
-            F.when(~tables_fit, "truncated tables").when(
-                head("e_shstrndx") >= head("e_shnum"), "no section names"
-            ),
-        ),
+        _e2=f"""CASE WHEN _e1 IS NOT NULL THEN _e1
+            WHEN NOT ({fits(*segments, SEGMENT)} AND {fits(*sections, SECTION)}) THEN 'truncated tables'
+            WHEN _head.e_shstrndx >= _head.e_shnum THEN 'no section names' END""",
     )
 
-    def records(offset: str, stride: str, count: str, layouts: dict) -> Column:
+    def records(offset: str, stride: str, count: str, layouts: dict) -> str:
         """Each record is cut out of the file on its own, then decoded."""
-        n, step = head(count).cast("int"), head(stride).cast("int")
-        numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        cuts = F.transform(
-            numbers,
-            lambda i: F.hex(F.substring(body, head(offset).cast("int") + i * step + 1, _size(layouts, is64))),
-        )
-        return F.when(F.col("_e2").isNull(), F.transform(cuts, lambda h: record(h, layouts, is64, little)))
+        at = f"int(_head.{offset}) + i * int(_head.{stride}) + 1"
+        cuts = f"transform(sequence(0, int(_head.{count}) - 1), i -> hex(substring({content}, {at}, {_size(layouts)})))"
+        none = f"cast(array() AS array<{'struct<' + ','.join(f'{n}:{NUMBER}' for n, _ in layouts[32]) + '>'}>)"
+        return f"""CASE WHEN _e2 IS NOT NULL THEN NULL WHEN _head.{count} = 0 THEN {none}
+            ELSE transform({cuts}, h -> {record("h", layouts)}) END"""
 
-    tables = _stage(
-        checked,
-        _segments=records("e_phoff", "e_phentsize", "e_phnum", SEGMENT),
-        _sections=records("e_shoff", "e_shentsize", "e_shnum", SECTION),
-    )
+    tables = _stage(checked, _segments=records(*segments, SEGMENT), _sections=records(*sections, SECTION))
 
     # 3: the section names
-    strtab = F.try_element_at("_sections", (head("e_shstrndx") + 1).cast("int"))
-    found = _stage(tables, _strtab=strtab)
+    found = _stage(tables, _strtab="try_element_at(_sections, int(_head.e_shstrndx) + 1)")
     found = _stage(
         found,
-        error=F.coalesce(
-            "_e2",
-            F.when(F.col("_strtab.sh_offset") + F.col("_strtab.sh_size") > length, "truncated section names"),
-        ),
+        error="""CASE WHEN _e2 IS NOT NULL THEN _e2
+            WHEN _strtab.sh_offset + _strtab.sh_size > file_size THEN 'truncated section names' END""",
+    )
+    named_tables = _stage(
+        found,
+        _names=f"if(error IS NULL, substring({content}, int(_strtab.sh_offset) + 1, int(_strtab.sh_size)), NULL)",
     )
-    good = F.col("error").isNull()
-    names_at, names_size = F.col("_strtab.sh_offset").cast("int"), F.col("_strtab.sh_size").cast("int")
-    named_tables = _stage(found, _names=F.when(good, F.substring(body, names_at + 1, names_size)))
-
-    def name_of(s: Column) -> Column:
-        """Text up to the next zero byte; looked for nearby before the whole rest is decoded."""
-        at = F.least(s["sh_name"], names_size.cast(NUMBER)).cast("int") + 1
-        near = F.decode(F.substring(F.col("_names"), at, F.lit(256)), "ISO-8859-1")
-        rest = F.decode(F.substring(F.col("_names"), at, names_size), "ISO-8859-1")
-        return F.substring_index(F.when(F.contains(near, F.lit("\0")), near).otherwise(rest), "\0", 1)
-
-    def section_row(s: Column) -> list[Column]:
-        return [(named(s[f], SECTION_TYPES) if f == "sh_type" else s[f]).alias(f) for f in SECTION_FIELDS]
-
-    def segment_row(s: Column) -> Column:
-        return F.struct(
-            named(s["p_type"], SEGMENT_TYPES).alias("p_type"), *[s[f].alias(f) for f in SEGMENT_FIELDS]
-        )
 
-    def ident(i: int) -> Column:
-        return F.conv(byte(i), 16, 10).cast("int")
-
-    machine = head("e_machine").cast("long")
-    full_head = F.struct(
-        named(ident(4), CLASSES).alias("EI_CLASS"),
-        named(ident(5), BYTE_ORDERS).alias("EI_DATA"),
-        named(ident(7), OSABI).alias("EI_OSABI"),
-        ident(8).alias("EI_ABIVERSION"),
-        named(head("e_type"), FILE_TYPES).alias("e_type"),
-        named(machine, MACHINES).alias("e_machine"),
-        F.coalesce(lookup(machine, ARCHITECTURES), F.lit("<unknown>")).alias("arch"),
-        *[head(f).alias(f) for f in HEADER_FIELDS if f not in ("e_type", "e_machine")],
+    # Up to the next zero byte, which is looked for nearby before the whole rest is decoded.
+    at = "int(least(s.sh_name, _strtab.sh_size)) + 1"
+    near = f"decode(substring(_names, {at}, 256), 'ISO-8859-1')"
+    rest = f"decode(substring(_names, {at}, int(_strtab.sh_size)), 'ISO-8859-1')"
+    name = f"substring_index(if(contains({near}, chr(0)), {near}, {rest}), chr(0), 1)"
+    segment_row = _struct(
+        {"p_type": named("s.p_type", SEGMENT_TYPES), **{f: f"s.{f}" for f in SEGMENT_FIELDS}}
     )
+    arch = ", ".join(f"{k}L, '{v}'" for k, v in ARCHITECTURES.items())
+    head = {
+        "EI_CLASS": named(f"conv({byte(4)}, 16, 10)", CLASSES),
+        "EI_DATA": named(f"conv({byte(5)}, 16, 10)", BYTE_ORDERS),
+        "EI_OSABI": named(f"conv({byte(7)}, 16, 10)", OSABI),
+        "EI_ABIVERSION": f"int(conv({byte(8)}, 16, 10))",
+        "e_type": named("_head.e_type", FILE_TYPES),
+        "e_machine": named("_head.e_machine", MACHINES),
+        "arch": f"coalesce(try_element_at(map({arch}), bigint(_head.e_machine)), '<unknown>')",
+        **{f: f"_head.{f}" for f in HEADER_FIELDS if f not in ("e_type", "e_machine")},
+    }
     return _stage(
         named_tables,
-        head=F.when(good, full_head),
-        segments=F.when(good, F.transform("_segments", segment_row)),
-        sections=F.when(
-            good, F.transform("_sections", lambda s: F.struct(name_of(s).alias("name"), *section_row(s)))
-        ),
-        strtab=F.when(good, F.struct(*section_row(F.col("_strtab")))),
+        head=f"if(error IS NULL, {_struct(head)}, NULL)",
+        segments=f"if(error IS NULL, transform(_segments, s -> {segment_row}), NULL)",
+        sections=f"if(error IS NULL, transform(_sections, s -> {_struct({'name': name, **_section_row('s')})}), NULL)",
+        strtab=f"if(error IS NULL, {_struct(_section_row('_strtab'))}, NULL)",
     ).select(*other, "file_size", "error", "head", "segments", "sections", "strtab")
 
 
-def section(key: str) -> Column:
-    """The last section whose name without its first character is ``key``."""
-    return F.try_element_at(F.filter("sections", lambda s: F.substr(s["name"], F.lit(2)) == key), F.lit(-1))
+def section(key: str) -> str:
+    """SQL: the last section whose name without its first character is ``key``."""
+    return f"try_element_at(filter(sections, s -> substring(s.name, 2) = '{key}'), -1)"
 
 
-def named_section(name: str) -> Column:
-    """The last section of that name."""
-    return F.try_element_at(F.filter("sections", lambda s: s["name"] == name), F.lit(-1))
+def named_section(name: str) -> str:
+    """SQL: the last section of that name."""
+    return f"try_element_at(filter(sections, s -> s.name = '{name}'), -1)"
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
@@ -278,47 +257,49 @@ def dynamic_features(parsed: DataFrame, key: str) -> DataFrame:
     )
 
 
-def features(parsed: DataFrame, name: Column, label: Column | None = None) -> DataFrame:
-    """The fixed feature row of each readable file, without a detour over dynamic names."""
-    head, strtab = "head.", "strtab."
+def features(parsed: DataFrame, name: Column, scan: Column) -> DataFrame:
+    """The fixed feature row of each readable file, without a detour over dynamic names.
+
+    ``scan`` labels the set of files that is looked at together.
+    """
     found = {f"_d_{d}": named_section(f".debug_{d}") for d in DEBUG_SECTIONS}
     found |= {f"_s_{s}": section(s) for s in ["", *NAMED_SECTIONS]}
-    found |= {f"_seg{i}": F.try_element_at("segments", F.lit(i + 1)) for i in range(3)}
-    has = lambda n: F.exists("sections", lambda s: s["name"] == n)
-    exidx = F.exists("sections", lambda s: s["sh_type"] == "SHT_ARM_EXIDX")
-    ready = _stage(parsed.where("error IS NULL"), **found)
-    out: dict[str, Column] = {
-        "file_name": name,
-        "label": F.lit(None).cast("string") if label is None else label,
-        "file_size": F.col("file_size"),
-        "num_sections": F.size("sections"),
-        "num_segments": F.size("segments"),
-        "has_dwarf_info": has(".debug_info") | has(".zdebug_info") | has(".eh_frame"),
-        "dwarf_info_config_machine_arch": F.col("head.arch"),
-        "dwarf_info_config_default_address_size": F.when(F.col("head.EI_CLASS") == "ELFCLASS64", 8).otherwise(4),
-        "dwarf_info_config_little_endian": F.col("head.EI_DATA") == "ELFDATA2LSB",
-        "has_ehabi_info": exidx,
-        "ehabi_infos": F.when(exidx, 1),
-        "machine_arch": F.col("head.arch"),
-        "shstrndx": F.col("head.e_shstrndx"),
+    found |= {f"_seg{i}": f"try_element_at(segments, {i + 1})" for i in range(3)}
+
+    def has(*names: str) -> str:
+        return f"exists(sections, s -> s.name IN ({', '.join(repr(n) for n in names)}))"
+
+    exidx = "exists(sections, s -> s.sh_type = 'SHT_ARM_EXIDX')"
+    readable = parsed.where("error IS NULL").withColumns({"_name": name, "_scan": scan})
+    ready = _stage(readable, _exidx=exidx, **found)
+    out = {
+        "file_name": "_name",
+        "label": "_scan",
+        "file_size": "file_size",
+        "num_sections": "size(sections)",
+        "num_segments": "size(segments)",
+        "has_dwarf_info": has(".debug_info", ".zdebug_info", ".eh_frame"),
+        "dwarf_info_config_machine_arch": "head.arch",
+        "dwarf_info_config_default_address_size": "if(head.EI_CLASS = 'ELFCLASS64', 8, 4)",
+        "dwarf_info_config_little_endian": "head.EI_DATA = 'ELFDATA2LSB'",
+        "has_ehabi_info": "_exidx",
+        "ehabi_infos": "if(_exidx, 1, NULL)",
+        "machine_arch": "head.arch",
+        "shstrndx": "head.e_shstrndx",
     }
     for d in DEBUG_SECTIONS:
-        for column, field in (("name", "name"), ("global_offset", "sh_offset"), ("size", "sh_size"), ("address", "sh_addr")):
-            out[f"dwarf_info_debug_{d}_sec_{column}"] = F.col(f"_d_{d}.{field}")
-    for f in SECTION_FIELDS:
-        out[f"sec_header_{f}"] = F.col(strtab + f)
-    for f in IDENT_FIELDS:
-        out[f"elf_head_ident_{f}"] = F.col(head + f)
-    for f in HEAD_FIELDS:
-        out[f"elf_head_{f}"] = F.col(head + f)
+        of_section = ("name", "sh_offset", "sh_size", "sh_addr")
+        out |= {c: f"_d_{d}.{f}" for c, f in zip(debug_columns(d), of_section, strict=True)}
+    out |= {f"sec_header_{f}": f"strtab.{f}" for f in SECTION_FIELDS}
+    out |= {f"elf_head_ident_{f}": f"head.{f}" for f in IDENT_FIELDS}
+    out |= {f"elf_head_{f}": f"head.{f}" for f in HEAD_FIELDS}
     for i, kind in enumerate(SEGMENT_COLUMNS):
-        out[f"seg{i}_head_p_type"] = F.col(f"_seg{i}.p_type")
-        for f in SEGMENT_FIELDS:
-            out[f"seg{i}_{kind}_{f}"] = F.when(F.col(f"_seg{i}.p_type") == kind, F.col(f"_seg{i}.{f}"))
+        out[f"seg{i}_head_p_type"] = f"_seg{i}.p_type"
+        out |= {f"seg{i}_{kind}_{f}": f"if(_seg{i}.p_type = '{kind}', _seg{i}.{f}, NULL)" for f in SEGMENT_FIELDS}
     for s in ["", *NAMED_SECTIONS]:
         if s:
-            out[f"section_{s}"] = F.col(f"_s_{s}.name")
-        for f in SECTION_FIELDS:
-            out[f"section_{s}_{f}"] = F.col(f"_s_{s}.{f}")
-    return ready.select(*[out[f.name].cast(f.dataType).alias(f.name) for f in FEATURES])
-
+            out[f"section_{s}"] = f"_s_{s}.name"
+        out |= {c: f"_s_{s}.{f}" for c, f in zip(section_columns(s), SECTION_FIELDS, strict=True)}
+    return ready.selectExpr(
+        *[f"cast({out[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in FEATURES]
+    )

@@ -18,9 +18,8 @@ def conform(df: DataFrame, features: str) -> DataFrame:
 
     Absent features become null, unknown ones are dropped, and text that is no number becomes null.
     """
-    names = F.col(features)
-    return df.select(
-        *[F.try_element_at(names, F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in FEATURES]
+    return df.selectExpr(
+        *[f"try_cast(try_element_at({features}, '{f.name}') AS {f.dataType.simpleString()}) AS {f.name}" for f in FEATURES]
     )
 
 
@@ -31,13 +30,13 @@ def fill_nulls(df: DataFrame, values: dict[str, int] = FILL) -> DataFrame:
 
 def map_values(df: DataFrame, maps: dict[str, dict] = VALUE_MAPS) -> DataFrame:
     """Replace known names by numbers; a value that is in no map stays."""
-    return df.withColumns({c: value_map(F.col(c), m) for c, m in maps.items()})
+    return df.withColumns({c: value_map(c, m) for c, m in maps.items()})
 
 
 def clean(features: DataFrame, scan: str = "label") -> DataFrame:
     """Numbers for flags, ranks for categories (within the scan), fills, replacements, no copies.
 
-    ``features`` is read once per coded column, so pass a table rather than a parse of the files.
+    ``features`` is read twice, so pass a table rather than a parse of the files.
     """
     flags = features.withColumns({c: F.col(c).cast("int") for c in FLAGS})
     filled = fill_nulls(dense_code(flags, CODED, scan))
@@ -45,8 +44,9 @@ def clean(features: DataFrame, scan: str = "label") -> DataFrame:
 
 
 def model_inputs(cleaned: DataFrame, *keys: str) -> DataFrame:
-    """The 62 model inputs as doubles, after the given key columns."""
-    return cleaned.select(*keys, *[F.col(c).try_cast("double").alias(c) for c in MODEL_INPUTS])
+    """The 62 model inputs as doubles, after the given key columns; -1 where a value is missing."""
+    numbers = [f"coalesce(try_cast({c} AS double), -1D) AS {c}" for c in MODEL_INPUTS]
+    return cleaned.selectExpr(*keys, *numbers)
 
 
 def score(cleaned: DataFrame, scorer: Scorer, *keys: str) -> DataFrame:

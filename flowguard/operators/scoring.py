@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.sql import Column, DataFrame, functions as F
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -44,11 +44,12 @@ def train_forest(
     return Pipeline(stages=[assemble, forest]).fit(df)
 
 
-def train_logistic(df: DataFrame, features: Sequence[str], label: str, rounds: int = 20) -> PipelineModel:
-    """Logistic regression; the assembler also turns a mostly empty vector into a sparse one."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
+def train_logistic(df: DataFrame, vector: str, size: int, label: str, rounds: int = 20) -> PipelineModel:
+    """Logistic regression on a vector column; the assembler stores a mostly empty vector sparsely."""
+    hint = VectorSizeHint(inputCol=vector, size=size)
+    pack = VectorAssembler(inputCols=[vector], outputCol="_x")
     lr = LogisticRegression(featuresCol="_x", labelCol=label, maxIter=rounds, regParam=0.01)
-    return Pipeline(stages=[assemble, lr]).fit(df)
+    return Pipeline(stages=[hint, pack, lr]).fit(df)
 
 
 def top_class(probabilities: Column) -> Column:

@@ -377,6 +377,8 @@ _BODIES = {
           CASE WHEN n_seg = 1 THEN '0' ELSE '1' END AS dwarf_info_debug_info_sec_address,
           CASE WHEN n_seg = 2 THEN '1' ELSE '0' END AS ehabi_infos, '1' AS section_shstrtab_sh_type
         FROM arches""",
+    "elf_clean_table": """
+        SELECT dense_rank() OVER (ORDER BY arch) AS machine_arch, count(*) AS rows FROM arches GROUP BY arch""",
     "elf_select": """
         SELECT file_name, 62 AS inputs, CAST(n_sec AS DOUBLE) AS num_sections,
           CAST(doc_id + 4096 AS DOUBLE) AS elf_head_e_entry, CAST(1 AS DOUBLE) AS section_text_sh_name,

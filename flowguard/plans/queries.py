@@ -711,7 +711,7 @@ def webshell_train_score(spark, sf):
 def xss_score(spark, sf):
     judged = xss.frames(xss.texts(fx.http_packets(spark, sf))).select("pkt_no", "frame_no", "frame")
     framed = xss.with_vector(materialize(judged, "frames"))
-    fitted = scoring.train_logistic(framed.withColumn("label", label(XSS_CONDITION)), ["x"], "label")
+    fitted = scoring.train_logistic(framed.withColumn("label", label(XSS_CONDITION)), "x", tx.FRAME, "label")
     return scoring.any_positive(scoring.model(fitted)(framed), ["pkt_no"])
 
 
@@ -731,9 +731,12 @@ def finish(q) -> None:
 
 
 def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the driver's tables as a stream of files."""
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """One of the driver's tables as a stream of files.
+
+    A pattern, as a stream takes a plain path for a folder, and a table may be a single file.
+    """
+    schema = fx.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
 
@@ -54,11 +54,18 @@ DDOS, WEBSHELL, BOTNET, TROJAN, WORM, VIRUS, SQL_INJECT, XML_INJECT, XSS, PORT_S
 def as_packets(df: DataFrame) -> DataFrame:
     """Give ``df`` every packet column: present ones are cast, absent ones are null.
 
-    Extra columns are dropped, so a detector reads the same row type from any source.
+    Layers may have some of their fields only.  Extra columns are dropped, so a detector reads the
+    same row type from any source.
     """
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in PACKET
-        ]
-    )
+    types = {f.name: f.dataType for f in df.schema}
+
+    def column(name: str, wanted: T.DataType, path: str, found: T.DataType | None) -> Column:
+        if found is None:
+            return F.lit(None).cast(wanted).alias(name)
+        if not isinstance(wanted, T.StructType) or found == wanted:
+            return F.col(path).cast(wanted).alias(name)
+        inner = {f.name: f.dataType for f in found}
+        layer = F.struct(*[column(f.name, f.dataType, f"{path}.{f.name}", inner.get(f.name)) for f in wanted])
+        return F.when(F.col(path).isNotNull(), layer).alias(name)
+
+    return df.select(*[column(f.name, f.dataType, f.name, types.get(f.name)) for f in PACKET])
