@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from flowguard.operators.joins import small_side
+
 
 
 def label_encode(
@@ -42,7 +44,7 @@ def dense_code(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
 
     ranks = values.select(*[F.col(c).alias(f"_k_{c}") for c in (by, *columns)], *[rank(c) for c in columns])
     same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (by, *columns)]
-    joined = df.join(ranks, reduce(Column.__and__, same))
+    joined = df.join(small_side(ranks, values), reduce(Column.__and__, same))
     return joined.selectExpr(*[f"_r_{c} AS {c}" if c in columns else c for c in df.columns])
 
 

@@ -35,13 +35,24 @@ def layer_at(position: int) -> Column:
     return F.try_element_at(F.col("layers"), F.lit(position))
 
 
-def ipv4_to_int(ip: Column) -> Column:
-    """Dotted IPv4 address as an unsigned 32-bit number; null for anything else."""
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+
+
+def is_ipv4(ip: Column) -> Column:
+    """Four numbers up to 255 with dots between."""
+    return ip.rlike(rf"^({_OCTET}[.]){{3}}{_OCTET}\z")
+
+
+def ipv4_number(ip: Column) -> Column:
+    """A valid dotted IPv4 address as an unsigned 32-bit number."""
     octets = F.split(ip, "[.]")
-    part = [F.try_element_at(octets, F.lit(i)).try_cast("long") for i in (1, 2, 3, 4)]
-    number = ((part[0] * 256 + part[1]) * 256 + part[2]) * 256 + part[3]
-    valid = ip.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}\z") & (F.greatest(*part) <= 255)
-    return F.when(valid, number)
+    first, second, third, fourth = (octets[i].cast("long") for i in range(4))
+    return ((first * 256 + second) * 256 + third) * 256 + fourth
+
+
+def ipv4_to_int(ip: Column) -> Column:
+    """The same for any text: null for what is no IPv4 address."""
+    return F.when(is_ipv4(ip), ipv4_number(ip))
 
 
 def protocol_code(transport: Column) -> Column:

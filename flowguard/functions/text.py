@@ -50,8 +50,8 @@ def code_text(s: Column) -> Column:
 
 def codes(code_text: Column) -> Column:
     """Array of the codes of ``code_text``."""
-    chars = F.filter(F.split(code_text, ""), lambda c: c != "")
-    return F.transform(chars, lambda c: F.ascii(c))
+    none = F.array().cast("array<int>")
+    return F.when(code_text == "", none).otherwise(F.transform(F.split(code_text, ""), lambda c: F.ascii(c)))
 
 
 def char_codes(s: Column) -> Column:
@@ -75,7 +75,7 @@ def frame_vector(frame: Column) -> Column:
 
 def hex_text(h: Column) -> Column:
     """UTF-8 text given as hex digits; null when either encoding is broken."""
-    pairs = h.rlike(r"^([0-9A-Fa-f]{2})*\z")
+    pairs = h.rlike(r"^[0-9A-Fa-f]*\z") & (F.length(h) % 2 == 0)
     return F.try_validate_utf8(F.when(pairs, F.unhex(h)).cast("string"))
 
 

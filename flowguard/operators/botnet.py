@@ -29,19 +29,20 @@ def eligible() -> Column:
 
 def features(packets: DataFrame, concatenate: bool = False) -> DataFrame:
     """Add the nine model inputs; packets without IPv4 addresses are left out."""
-    state = net.state_code(F.lit(STATE))
-    return packets.where(eligible()).select(
+    usable = eligible() & net.is_ipv4(F.col("ip.src")) & net.is_ipv4(F.col("ip.dst"))
+    protocol = net.protocol_code(F.col("transport_layer"))
+    return packets.where(usable & protocol.isNotNull()).select(
         "*",
         F.col("time_delta").cast("double").alias("duration"),
-        net.protocol_code(F.col("transport_layer")).alias("protocol"),
+        protocol.alias("protocol"),
         F.col("src_port").alias("source_port"),
         F.col("dst_port").alias("dest_port"),
-        net.ipv4_to_int(F.col("ip.src")).alias("source_u32"),
-        net.ipv4_to_int(F.col("ip.dst")).alias("dest_u32"),
+        net.ipv4_number(F.col("ip.src")).alias("source_u32"),
+        net.ipv4_number(F.col("ip.dst")).alias("dest_u32"),
         net.total_packets(F.col("tcp.seq"), F.col("tcp.ack"), concatenate).alias("total_packets"),
         F.col("length").cast("long").alias("total_bytes"),
-        state.alias("state"),
-    ).where("source_u32 IS NOT NULL AND dest_u32 IS NOT NULL AND protocol IS NOT NULL")
+        net.state_code(F.lit(STATE)).alias("state"),
+    )
 
 
 def events(packets: DataFrame, scorer: Scorer, detail: list[str] | None = None) -> DataFrame:

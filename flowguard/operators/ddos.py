@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.encode import label_encode
 from flowguard.functions.network import ip_field
+from flowguard.operators.joins import small_side
 from flowguard.operators.scoring import Scorer
 from flowguard.operators.windows import count_window
 from flowguard.schemas import DDOS
@@ -30,10 +31,10 @@ def allow_flag(src: Column, allowed: Sequence[str] = ()) -> Column:
 def drop_allowed(df: DataFrame, allowed: DataFrame, ip: str = "src_ip") -> DataFrame:
     """Packets whose source is not in a table of allowed addresses (column ``ip``).
 
-    The table may be of any size: Spark broadcasts it when it is small and shuffles both sides,
-    splitting hot addresses, when it is not.
+    The table may be of any size: it is counted, broadcast when small, and otherwise joined by a
+    shuffle in which hot addresses are split.
     """
-    return df.join(allowed.select(F.col("ip").alias(ip)).distinct(), ip, "left_anti")
+    return df.join(small_side(allowed.select(F.col("ip").alias(ip)).distinct()), ip, "left_anti")
 
 
 def packet_rate(by: Sequence[str] = ("batch_id",)) -> Column:

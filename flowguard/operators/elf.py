@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowguard.functions.once import once
 from flowguard.operators.elf_columns import (
     DEBUG_SECTIONS, FEATURES, HEAD_FIELDS, IDENT_FIELDS, NAMED_SECTIONS, SECTION_FIELDS, SEGMENT_COLUMNS,
     SEGMENT_FIELDS, debug_columns, section_columns,
@@ -109,15 +110,6 @@ def _struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
-def _stage(df: DataFrame, **columns: str) -> DataFrame:
-    """Add columns as the output of a generator, so that each is computed exactly once.
-
-    A plain projection would be copied into every later use, and into pushed-down filters: with
-    steps that build on each other the plan would grow beyond measure.
-    """
-    return df.select("*", F.expr(f"inline(array({_struct(columns)}))"))
-
-
 def _section_row(s: str) -> dict[str, str]:
     return {f: named(f"{s}.{f}", SECTION_TYPES) if f == "sh_type" else f"{s}.{f}" for f in SECTION_FIELDS}
 
@@ -134,16 +126,16 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
         return f"substring(_h, {2 * i + 1}, 2)"
 
     # 1: the header, whose class and byte order say how to read everything else
-    top = _stage(files, _h=f"hex(substring({content}, 1, 64))", file_size=f"bigint(length({content}))")
-    top = _stage(top, _is64=f"{byte(4)} = '02'", _little=f"{byte(5)} = '01'")
-    top = _stage(
+    top = once(files, _h=f"hex(substring({content}, 1, 64))", file_size=f"bigint(length({content}))")
+    top = once(top, _is64=f"{byte(4)} = '02'", _little=f"{byte(5)} = '01'")
+    top = once(
         top,
         _e1=f"""CASE WHEN {content} IS NULL THEN 'no content'
             WHEN substring(_h, 1, 8) <> '{MAGIC}' THEN 'not an ELF file'
             WHEN {byte(4)} NOT IN ('01', '02') OR {byte(5)} NOT IN ('01', '02') THEN 'unknown class or byte order'
             WHEN file_size < 16 + {_size(HEADER)} THEN 'truncated header' END""",
     )
-    top = _stage(top, _head=f"if(_e1 IS NULL, {record('_h', HEADER, 16)}, NULL)")
+    top = once(top, _head=f"if(_e1 IS NULL, {record('_h', HEADER, 16)}, NULL)")
 
     # 2: the two tables
     def fits(offset: str, stride: str, count: str, layouts: dict) -> str:
@@ -151,7 +143,7 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
         return f"(_head.{count} = 0 OR ({end} <= file_size AND _head.{stride} >= {_size(layouts)}))"
 
     segments, sections = ("e_phoff", "e_phentsize", "e_phnum"), ("e_shoff", "e_shentsize", "e_shnum")
-    checked = _stage(
+    checked = once(
         top,
         _e2=f"""CASE WHEN _e1 IS NOT NULL THEN _e1
             WHEN NOT ({fits(*segments, SEGMENT)} AND {fits(*sections, SECTION)}) THEN 'truncated tables'
@@ -166,16 +158,16 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
         return f"""CASE WHEN _e2 IS NOT NULL THEN NULL WHEN _head.{count} = 0 THEN {none}
             ELSE transform({cuts}, h -> {record("h", layouts)}) END"""
 
-    tables = _stage(checked, _segments=records(*segments, SEGMENT), _sections=records(*sections, SECTION))
+    tables = once(checked, _segments=records(*segments, SEGMENT), _sections=records(*sections, SECTION))
 
     # 3: the section names
-    found = _stage(tables, _strtab="try_element_at(_sections, int(_head.e_shstrndx) + 1)")
-    found = _stage(
+    found = once(tables, _strtab="try_element_at(_sections, int(_head.e_shstrndx) + 1)")
+    found = once(
         found,
         error="""CASE WHEN _e2 IS NOT NULL THEN _e2
             WHEN _strtab.sh_offset + _strtab.sh_size > file_size THEN 'truncated section names' END""",
     )
-    named_tables = _stage(
+    named_tables = once(
         found,
         _names=f"if(error IS NULL, substring({content}, int(_strtab.sh_offset) + 1, int(_strtab.sh_size)), NULL)",
     )
@@ -199,7 +191,7 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
         "arch": f"coalesce(try_element_at(map({arch}), bigint(_head.e_machine)), '<unknown>')",
         **{f: f"_head.{f}" for f in HEADER_FIELDS if f not in ("e_type", "e_machine")},
     }
-    return _stage(
+    return once(
         named_tables,
         head=f"if(error IS NULL, {_struct(head)}, NULL)",
         segments=f"if(error IS NULL, transform(_segments, s -> {segment_row}), NULL)",
@@ -271,7 +263,7 @@ def features(parsed: DataFrame, name: Column, scan: Column) -> DataFrame:
 
     exidx = "exists(sections, s -> s.sh_type = 'SHT_ARM_EXIDX')"
     readable = parsed.where("error IS NULL").withColumns({"_name": name, "_scan": scan})
-    ready = _stage(readable, _exidx=exidx, **found)
+    ready = once(readable, _exidx=exidx, **found)
     out = {
         "file_name": "_name",
         "label": "_scan",

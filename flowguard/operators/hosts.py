@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowguard.operators.joins import small_side
 from flowguard.operators.ordered import Last, Sum, scan
 
 NEW_ALARM = "[新报警]"  # fixed value: prefix of alarms that were not handled yet
@@ -62,14 +63,14 @@ def asset_names(assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 def with_asset_names(df: DataFrame, assets: DataFrame) -> DataFrame:
     """Add ``names`` (null when there are none) and ``n_names`` to every row with an ``ip``.
 
-    One row per address on the right: Spark broadcasts it when small, and otherwise splits hot
-    addresses of the left side.  A list that does not fit one row stays in ``asset_names``;
-    ``n_names`` says so.
+    One row per address on the right: broadcast if the asset table is small, else joined by a
+    shuffle in which hot addresses are split.  A list that does not fit one row stays in
+    ``asset_names``; ``n_names`` says so.
     """
     one_row = asset_names(assets).where("part = 0").select(
         "ip", "n_names", F.when(F.col("parts") == 1, F.col("names")).alias("names")
     )
-    return df.join(one_row, "ip", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
+    return df.join(small_side(one_row, assets), "ip", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
 
 
 def events(alarms: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

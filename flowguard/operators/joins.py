@@ -1,0 +1,17 @@
+"""Choosing a join by the measured size of its smaller side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, counted: DataFrame | None = None, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if ``counted`` (by default itself) has at most ``rows`` rows.
+
+    The count stops at the limit.  A larger side is left to a shuffled join, where adaptive
+    execution splits hot keys.
+    """
+    counted = df if counted is None else counted
+    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df

@@ -10,6 +10,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowguard.functions import text as tx
+from flowguard.functions.once import once
 from flowguard.operators.events import packet_event
 from flowguard.operators.scoring import Scorer, top_class
 from flowguard.schemas import WEBSHELL
@@ -21,7 +22,7 @@ def payloads(packets: DataFrame) -> DataFrame:
     Packets without data, or whose data is not hex of valid UTF-8, are left out.
     """
     data = F.coalesce(F.col("mime_multipart.data"), F.col("http.data"))
-    return packets.withColumn("payload", tx.hex_text(data)).where(F.length("payload") > 0)
+    return once(packets, payload=tx.hex_text(data)).where(F.length("payload") > 0)
 
 
 def term_counts(df: DataFrame, key: str = "pkt_no", text: str = "payload") -> DataFrame:
@@ -36,7 +37,9 @@ def fit_idf(counts: DataFrame, n_texts: DataFrame) -> DataFrame:
     ``n_texts`` is a one-row table with the number of texts, read as a scalar subquery.
     """
     n = n_texts.scalar()
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading ``tf`` here keeps the plan equal to the one that ``tfidf`` weighs, so that Spark
+    # tokenises and counts once and reuses the exchange.
+    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     return df.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
 
 

@@ -41,7 +41,9 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     schema = T.StructType([*PACKET.fields, T.StructField(CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = messages.withColumn("_p", F.from_json(value, schema, options))
-    return parsed.select(*messages.columns, "_p.*")
+    # an empty message gives no struct at all
+    failed = F.when(F.col("_p").isNull(), F.coalesce(value, F.lit(""))).otherwise(F.col(f"_p.{CORRUPT}"))
+    return parsed.select(*messages.columns, *[f"_p.{f.name}" for f in PACKET], failed.alias(CORRUPT))
 
 
 def accepted(decoded: DataFrame) -> DataFrame:
