@@ -8,12 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from flowguard.schemas import as_packets
+from flowguard.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of long texts, on enough partitions for the work on them."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def _k() -> Column:
     return F.regexp_extract("props", "([0-9]+)", 1).cast("int")
 
@@ -89,7 +95,7 @@ def http_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = F.when(turn == 0, F.concat(url, F.lit("&q=%3Cb%3Ex%3C/b%3E+1%")))
     form = F.concat(F.lit("Form item:\n  Key: a\n  Value: "), url)
     return as_packets(
-        table(spark, sf_dir, "pages").select(
+        texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
             page.alias("pkt_no"),
             F.struct(
                 F.concat(F.lit("10.1.0."), (page % 256).cast("string")).alias("src"),
@@ -113,7 +119,7 @@ def http_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One upload per document, hex-encoded, with the ``toxic`` label where there is one."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     doc = F.col("doc_id")
     return docs.join(labels, "doc_id", "left").select(
@@ -241,7 +247,7 @@ def elf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(*parts: str) -> str:
         return f"concat({', '.join(parts)})"
 
-    sizes = table(spark, sf_dir, "documents").select(
+    sizes = texts(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", "text",
         (doc % 4).alias("n_seg"),
         F.when(doc % 4 == 0, 3).when(doc % 4 == 1, 62).when(doc % 4 == 2, 40).otherwise(8).alias("machine"),

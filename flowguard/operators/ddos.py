@@ -121,7 +121,7 @@ def events(
     size: int = 100,
     by: Sequence[str] = (),
     allowed: Sequence[str] = (),
-    trailing: str = "reference",
+    trailing: str = "followed",
 ) -> DataFrame:
     """Flood events: the likely targets of each window that is mostly hostile."""
     windowed = count_window(flatten(packets, by), size, by, trailing=trailing)

@@ -73,22 +73,31 @@ def file_events(
     """Trojan, worm and virus events of the closed transfers.
 
     ``judged`` maps an event type to its verdicts (``key``, ``prediction``).  Types in ``force``
-    alarm on every closed transfer whatever the verdict.
+    alarm on every closed transfer whatever the verdict.  The transfers are read once; detectors
+    that share a table of verdicts share its join.
     """
     unknown = set(judged) - {TROJAN, WORM, VIRUS}
     if unknown:
         raise ValueError(f"not a file event type: {sorted(unknown)}")
     closed = transfers.where("closed")
-    out = None
+    flags: dict[int, Column] = {}
+    joined: dict[int, Column] = {}
     for kind, verdict in judged.items():
-        bad = verdict.where("prediction = 1").select(key)
-        hits = closed if kind in force else closed.join(bad, key, "left_semi")
-        events = hits.select(
-            F.lit(kind).alias("type"),
-            (F.col("time") if "time" in closed.columns else F.lit(None)).cast("timestamp").alias("time"),
-            "src_ip",
-            "dst_ip",
-            F.to_json(F.struct("flow", "sess", "file_name", "size")).alias("detail"),
-        )
-        out = events if out is None else out.unionByName(events)
-    return out
+        if kind in force:
+            flags[kind] = F.lit(True)
+            continue
+        if id(verdict) not in joined:
+            bad = f"_bad{kind}"
+            hostile = verdict.where("prediction = 1").select(key).distinct().withColumn(bad, F.lit(True))
+            closed = closed.join(hostile, key, "left")
+            joined[id(verdict)] = F.col(bad)
+        flags[kind] = joined[id(verdict)]
+    kinds = F.filter(F.array(*[F.when(f, F.lit(k)) for k, f in flags.items()]), lambda k: k.isNotNull())
+    time = F.col("time") if "time" in transfers.columns else F.lit(None)
+    return closed.select("*", F.explode(kinds).alias("type")).select(
+        "type",
+        time.cast("timestamp").alias("time"),
+        "src_ip",
+        "dst_ip",
+        F.to_json(F.struct("flow", "sess", "file_name", "size")).alias("detail"),
+    )

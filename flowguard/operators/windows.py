@@ -20,17 +20,17 @@ def count_window(
     size: int = 100,
     by: Sequence[str] = (),
     order: str = "pkt_no",
-    trailing: str = "reference",
+    trailing: str = "followed",
 ) -> DataFrame:
     """Cut the packets into windows of ``size``.
 
     Adds ``batch_id``, ``i`` (the place within the window) and ``batch_size``.
 
-    ``trailing`` says which windows are kept: ``reference`` those that a later packet follows (a
+    ``trailing`` says which windows are kept: ``followed`` those that a later packet follows (a
     window is judged when the next packet arrives), ``full`` all complete ones, ``all`` the rest too.
     """
     end = (F.col("batch_id") + 1) * size
-    keep = {"reference": end < F.col("n_total"), "full": end <= F.col("n_total"), "all": F.lit(True)}
+    keep = {"followed": end < F.col("n_total"), "full": end <= F.col("n_total"), "all": F.lit(True)}
     return (
         number_rows(df, by, order)
         .withColumn("batch_id", F.expr(f"idx div {size}"))

@@ -425,7 +425,7 @@ def form_values(spark, sf):
 @query
 def char_codes(spark, sf):
     codes = tx.char_codes(F.concat("html", F.lit("’“”‘–é\x80\x81😀")))
-    return fx.table(spark, sf, "pages").select(
+    return fx.texts(spark, sf, "pages", "page_id", "html").select(
         "page_id", F.size(codes).alias("n_codes"), F.md5(F.array_join(codes, ",")).alias("digest")
     )
 
@@ -433,7 +433,7 @@ def char_codes(spark, sf):
 @query
 def xss_vector(spark, sf):
     """All frames of each page: how many codes, and sums that depend on value and position."""
-    pages = fx.table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
+    pages = fx.texts(spark, sf, "pages", "page_id", "html").withColumnRenamed("html", "text")
     values = tx.frame_vector(F.col("frame"))
     weighted = F.aggregate(
         F.transform(values, lambda v, i: v * 128 * (i + 1)), F.lit(0.0), lambda a, v: a + v
@@ -455,7 +455,7 @@ def hex_payload(spark, sf):
         .when(doc % 11 == 0, F.concat(F.hex("text"), F.lit("Z")))
         .otherwise(F.hex("text"))
     )
-    return fx.table(spark, sf, "documents").select(
+    return fx.texts(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.coalesce(F.md5(tx.hex_text(data)), F.lit("rejected")).alias("digest")
     )
 

@@ -38,6 +38,15 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """Give a scan of too few splits more partitions, for steps that are heavy on the CPU.
+
+    A table of many files or row groups is left as it is: no exchange is added at scale.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -47,14 +47,14 @@ def test_scan_without_group(spark):
 
 
 @pytest.mark.parametrize("n", [9, 10, 11, 20, 21])
-@pytest.mark.parametrize("trailing", ["reference", "full", "all"])
+@pytest.mark.parametrize("trailing", ["followed", "full", "all"])
 def test_window_edges(spark, n, trailing):
     df = spark.range(n).select(F.col("id").alias("pkt_no"))
     got = count_window(df, 10, trailing=trailing).groupBy("batch_id").agg(
         F.count("*").alias("n"), F.max("batch_size").alias("size")
     )
     want = {
-        "reference": (n - 1) // 10,  # the next packet has to be there
+        "followed": (n - 1) // 10,  # the next packet has to be there
         "full": n // 10,
         "all": -(-n // 10),
     }[trailing]
