@@ -5,7 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from flowguard.operators import ddos, ftp, ids, scoring, windows
-from flowguard.schemas import PACKET
+from flowguard.schemas import ALARM, ASSET, PACKET
+from flowguard.session import materialize
 from flowguard.sources import packets as source, tables
 from flowguard.streaming import jobs
 
@@ -128,3 +129,27 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "sub" / "a.bin").write_bytes(b"\x7fELF")
     got = tables.binary_files(spark, str(tmp_path), "*.bin").collect()
     assert [(r.file_name, r.file_size, bytes(r.content)) for r in got] == [("a.bin", 4, b"\x7fELF")]
+
+
+def test_landing_stream_and_table_files(spark, feed, tmp_path):
+    out, state = str(tmp_path / "landed"), str(tmp_path / "state")
+    stream = source.packet_files(spark, feed([flood(n) for n in range(5)]), stream=True)
+    run(source.land_stream(source.tcp_only(stream), out, state, availableNow=True))
+    landed = spark.read.parquet(out)
+    assert landed.count() == 5 and {str(r.day) for r in landed.collect()} == {"2024-01-01"}
+    assert source.packet_files(spark, out).columns == [*PACKET.names, "day"]
+
+    folder = str(tmp_path / "tables")
+    spark.createDataFrame([(1, "a", "i", T0)], ALARM).write.parquet(f"{folder}/alarms")
+    spark.createDataFrame([("a", "n")], ASSET).write.parquet(f"{folder}/assets")
+    assert tables.alarm_files(spark, f"{folder}/alarms").first().seq == 1
+    assert tables.asset_files(spark, f"{folder}/assets").first().asset_name == "n"
+
+
+def test_shared_folder_is_taken_from_the_session(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        kept = materialize(spark.range(3), "kept")
+        assert kept.inputFiles()[0].startswith(f"file://{tmp_path}/kept-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
