@@ -1,12 +1,14 @@
 """Streams give what the batch operators give, whatever the micro-batches and restarts."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowguard.operators import ddos, ftp, ids, scoring, windows
 from flowguard.schemas import ALARM, ASSET, PACKET
-from flowguard.session import materialize
+from flowguard.session import materialize, work_folder
 from flowguard.sources import packets as source, tables
 from flowguard.streaming import jobs
 
@@ -146,10 +148,13 @@ def test_landing_stream_and_table_files(spark, feed, tmp_path):
     assert tables.asset_files(spark, f"{folder}/assets").first().asset_name == "n"
 
 
-def test_shared_folder_is_taken_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept = materialize(spark.range(3), "kept")
-        assert kept.inputFiles()[0].startswith(f"file://{tmp_path}/kept-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_is_taken_from_the_session():
+    session = SimpleNamespace(conf=SimpleNamespace(get={"spark.checkpoint.dir": "hdfs://host/shared/"}.get))
+    one, two = work_folder(session, "kept"), work_folder(session, "kept")
+    assert one.startswith("hdfs://host/shared/kept-") and one != two
+
+
+def test_materialize_reads_pruned(spark):
+    kept = materialize(spark.range(3).withColumn("b", F.lit("x")), "kept")
+    plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 3 and "ReadSchema: struct<id:bigint>" in plan
