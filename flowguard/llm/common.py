@@ -36,6 +36,7 @@ def add_struct(
     into: str,
     kind: StructType,
     judge: Callable[[pa.RecordBatch], pa.StructArray],
+    slice_bytes: int | None = None,
 ) -> DataFrame:
     """``df`` with a struct column ``into`` that ``judge`` computes from slices of the rows.
 
@@ -48,7 +49,7 @@ def add_struct(
     schema = StructType([*df.schema.fields, StructField(into, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
+        for part in slices(batches, at, slice_bytes):
             yield pa.RecordBatch.from_arrays([*part.columns, judge(part)], [*part.schema.names, into])
 
     return df.mapInArrow(run, schema)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, simhash
+from flowguard.llm import decontaminate, pieces, simhash, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
+    "op3_topk": topk.query,
     "op6_simhash": simhash.query,
+    "op7_sentencepiece": pieces.query,
 }
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -38,6 +40,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
 """.replace("{lower}", LOWER.format("text"))
 
+TOPK = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q, e c WHERE q.vec_id % 100 = 0 AND c.vec_id != q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
 ORACLE = {
+    "op3_topk": TOPK,
     "op2_decontaminate": DECONTAMINATE,
 }
