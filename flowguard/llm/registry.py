@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, pieces, simhash, topk
+from flowguard.llm import decontaminate, pieces, simhash, substrings, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
     "op6_simhash": simhash.query,
     "op7_sentencepiece": pieces.query,
+    "op10_substrings": substrings.query,
 }
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,7 +54,24 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), again AS (
+  SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
 ORACLE = {
+    "op10_substrings": SUBSTRINGS,
     "op3_topk": TOPK,
     "op2_decontaminate": DECONTAMINATE,
 }
