@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, pieces, simhash, substrings, topk
+from flowguard.llm import decontaminate, kneser_ney, pieces, simhash, substrings, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
     "op6_simhash": simhash.query,
     "op7_sentencepiece": pieces.query,
+    "op8_kneser_ney": kneser_ney.query,
     "op10_substrings": substrings.query,
 }
 
