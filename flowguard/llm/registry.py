@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, kneser_ney, pieces, simhash, substrings, topk
+from flowguard.llm import decontaminate, kneser_ney, pieces, pii, simhash, substrings, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
+    "op5_pii": pii.query,
     "op6_simhash": simhash.query,
     "op7_sentencepiece": pieces.query,
     "op8_kneser_ney": kneser_ney.query,
