@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, kneser_ney, pieces, pii, simhash, substrings, topk
+from flowguard.llm import decontaminate, kneser_ney, licenses, pieces, pii, simhash, substrings, topk
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
+    "op4_licenses": licenses.query,
     "op5_pii": pii.query,
     "op6_simhash": simhash.query,
     "op7_sentencepiece": pieces.query,
@@ -73,6 +74,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_
 """
 
 ORACLE = {
+    "op4_licenses": licenses.oracle(),
     "op10_substrings": SUBSTRINGS,
     "op3_topk": TOPK,
     "op2_decontaminate": DECONTAMINATE,
