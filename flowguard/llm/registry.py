@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, kneser_ney, licenses, pieces, pii, simhash, substrings, topk
+from flowguard.llm import decontaminate, kneser_ney, licenses, pieces, pii, simhash, substrings, topk, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op2_decontaminate": decontaminate.query,
     "op3_topk": topk.query,
     "op4_licenses": licenses.query,
@@ -74,6 +75,7 @@ FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_
 """
 
 ORACLE = {
+    "op1_url_filter": url_filter.oracle(),
     "op4_licenses": licenses.oracle(),
     "op10_substrings": SUBSTRINGS,
     "op3_topk": TOPK,
