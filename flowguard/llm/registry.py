@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, kneser_ney, licenses, pieces, pii, simhash, substrings, topk, url_filter
+from flowguard.llm import decontaminate, kneser_ney, language, licenses, pieces, pii, simhash, substrings, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_sentencepiece": pieces.query,
     "op8_kneser_ney": kneser_ney.query,
+    "op9_language": language.query,
     "op10_substrings": substrings.query,
 }
 

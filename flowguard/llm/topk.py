@@ -3,8 +3,8 @@
 The score of a candidate is a sum over ``LISTS`` lists, one for each slice of the dimensions, of its
 local scores (partial inner products). For each query:
 
-1. gather the best local scores of each list and its least one; partial sums, with the least local
-   score for what is not seen, give a lower bound of the k-th best total;
+1. gather the best local scores of each list, with the totals of those candidates, and the list's least
+   score; the k-th best of these totals is a lower bound of the k-th best of all;
 2. the bound's surplus over the sum of the least scores, divided by the number of lists, is a safe
    cutoff: who lies below it in every list can't be among the best. It is broadcast, and every entry
    at or above it is collected; upper bounds drop most candidates;
@@ -32,6 +32,8 @@ from flowguard.llm.common import materialize
 
 K = 10
 LISTS = 2
+#: Entries that a task gathers of each list at least; more of them raise the cutoff.
+DEPTH = 32
 BLOCK = 1024
 SCALE = 1024
 #: Vectors multiplied at a time.
@@ -83,22 +85,20 @@ class _Block:
         self.cuts = list(zip(edges, edges[1:]))
 
     def local(self, batches: Iterator[pa.RecordBatch]):
-        """(list, class ids, local scores of each query) for some vectors at a time."""
+        """(class ids, local scores of each query in each list) for some vectors at a time."""
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 ids, rows = part.column(0).to_numpy(), _matrix(part.column(1), self.matrix.shape[1])
-                for i, (a, b) in enumerate(self.cuts):
-                    yield i, ids, _product(self.matrix[:, a:b], rows[:, a:b])
+                yield ids, [_product(self.matrix[:, a:b], rows[:, a:b]) for a, b in self.cuts]
 
 
-_ENTRIES = "q long, list int, c long, score long"
+_ENTRIES = "q long, list int, c long, score long, total long"
 
 
-def _entries(q: np.ndarray, i: int, c: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(q), pa.array(np.full(len(q), i, np.int32)), pa.array(c), pa.array(score)], ["q", "list", "c", "score"]
-    )
+def _entries(q: np.ndarray, i: int, c: np.ndarray, score: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+    names = ["q", "list", "c", "score", "total"]
+    return pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), i, np.int32)), pa.array(c), pa.array(score), pa.array(total)], names)
 
 
 def _first(shared, k: int):
@@ -106,21 +106,23 @@ def _first(shared, k: int):
 
     def run(batches):
         block = shared.value
-        best: dict[int, tuple] = {}
-        for i, ids, scores in block.local(batches):
-            least = scores.min(axis=1)
-            c = np.broadcast_to(ids, scores.shape)
-            if i in best:
-                c, scores = np.hstack([best[i][0], c]), np.hstack([best[i][1], scores])
-                least = np.minimum(least, best[i][2])
-            if scores.shape[1] > k:
-                keep = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                c, scores = np.take_along_axis(c, keep, 1), np.take_along_axis(scores, keep, 1)
-            best[i] = c, scores, least
-        for i, (c, scores, least) in best.items():
-            n = c.shape[1]
-            yield _entries(np.repeat(block.queries, n), i, c.ravel(), scores.ravel())
-            yield _entries(block.queries, i, np.full(len(least), -1), least)
+        best: dict[int, list[np.ndarray]] = {}
+        lowest: dict[int, np.ndarray] = {}
+        for ids, lists in block.local(batches):
+            total = sum(lists)
+            for i, scores in enumerate(lists):
+                least = scores.min(axis=1)
+                lowest[i] = np.minimum(lowest[i], least) if i in lowest else least
+                rows = [np.broadcast_to(ids, scores.shape), scores, total]
+                if i in best:
+                    rows = [np.hstack(pair) for pair in zip(best[i], rows)]
+                if rows[1].shape[1] > k:
+                    keep = np.argpartition(-rows[1], k - 1, axis=1)[:, :k]
+                    rows = [np.take_along_axis(x, keep, 1) for x in rows]
+                best[i] = rows
+        for i, (c, scores, total) in best.items():
+            yield _entries(np.repeat(block.queries, c.shape[1]), i, c.ravel(), scores.ravel(), total.ravel())
+            yield _entries(block.queries, i, np.full(len(block.queries), -1), lowest[i], lowest[i])
 
     return run
 
@@ -130,10 +132,11 @@ def _second(shared, cutoffs):
 
     def run(batches):
         block, least = shared.value, cutoffs.value
-        for i, ids, scores in block.local(batches):
-            q, c = np.nonzero(scores >= least[:, i][:, None])
-            if len(q):
-                yield _entries(block.queries[q], i, ids[c], scores[q, c])
+        for ids, lists in block.local(batches):
+            for i, scores in enumerate(lists):
+                q, c = np.nonzero(scores >= least[:, i][:, None])
+                if len(q):
+                    yield _entries(block.queries[q], i, ids[c], scores[q, c], scores[q, c])
 
     return run
 
@@ -142,14 +145,12 @@ def _best(rows: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k).drop("place")
 
 
-def _cutoffs(first: DataFrame, k: int, lists: int, classes: int) -> dict[int, tuple[int, list[int]]]:
+def _cutoffs(first: DataFrame, k: int, lists: int) -> dict[int, tuple[int, list[int]]]:
     """For each query of the block the lower bound of its k-th best total, and the least score of each list."""
     floor = first.where("c = -1").groupBy("q").agg(*[F.min(F.when(F.col("list") == i, F.col("score"))).alias(f"m{i}") for i in range(lists)])
-    top = _best(first.where("c >= 0"), ["q", "list"], k, F.desc("score"), F.col("c"))
-    seen = top.groupBy("q", "c").agg(*[F.max(F.when(F.col("list") == i, F.col("score"))).alias(f"s{i}") for i in range(lists)])
-    lower = sum((F.coalesce(f"s{i}", f"m{i}") for i in range(lists)), F.lit(0))
-    bounds = seen.join(floor, "q").withColumn("lower", lower)
-    kth = _best(bounds, ["q"], k, F.desc("lower")).groupBy("q").agg(F.min("lower").alias("tau"), F.count("*").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(lists)])
+    seen = first.where("c >= 0").groupBy("q", "c").agg(F.max("total").alias("total"))
+    kth = _best(seen, ["q"], k, F.desc("total")).groupBy("q").agg(F.min("total").alias("tau"), F.count("*").alias("n"))
+    kth = kth.join(floor, "q")
     out = {}
     for r in kth.collect():  # one row for each query of the block
         least = [r[f"m{i}"] for i in range(lists)]
@@ -157,14 +158,14 @@ def _cutoffs(first: DataFrame, k: int, lists: int, classes: int) -> dict[int, tu
     return out
 
 
-def _search(classes: DataFrame, n_classes: int, queries: DataFrame, width: int, k: int, lists: int) -> DataFrame:
+def _search(classes: DataFrame, queries: DataFrame, width: int, k: int, lists: int) -> DataFrame:
     """(q, c, score): for each query vector of one block the k best classes, and those that tie with the last."""
     spark = classes.sparkSession
     rows = queries.select("c", "v").collect()  # bounded by the block
     block = _Block([r.c for r in rows], [r.v for r in rows], width, lists)
     shared = spark.sparkContext.broadcast(block)
     vectors = classes.select("c", "v")
-    found = _cutoffs(vectors.mapInArrow(_first(shared, k), _ENTRIES), k, lists, n_classes)
+    found = _cutoffs(vectors.mapInArrow(_first(shared, max(k, DEPTH)), _ENTRIES), k, lists)
     cut = np.zeros((len(rows), lists), np.int64)
     bounds = []
     for row, q in enumerate(block.queries.tolist()):
@@ -207,7 +208,7 @@ def top_k(
     for b in range(n):
         part = wanted.where(dealt == b) if n > 1 else wanted
         if n_classes and not part.isEmpty():
-            one = materialize(_search(classes, n_classes, part, max(1, width), k + 1, lists), "topk-found")
+            one = materialize(_search(classes, part, max(1, width), k + 1, lists), "topk-found")
             found = one if found is None else found.unionByName(one)
     if found is None:
         found = classes.sparkSession.createDataFrame([], "q long, c long, score long")
