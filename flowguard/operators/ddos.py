@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.encode import label_encode
 from flowguard.functions.network import ip_field
-from flowguard.operators.joins import small_side
 from flowguard.operators.scoring import Scorer
 from flowguard.operators.windows import count_window
 from flowguard.schemas import DDOS
@@ -34,7 +33,7 @@ def drop_allowed(df: DataFrame, allowed: DataFrame, ip: str = "src_ip") -> DataF
     The table may be of any size: it is counted, broadcast when small, and otherwise joined by a
     shuffle in which hot addresses are split.
     """
-    return df.join(small_side(allowed.select(F.col("ip").alias(ip)).distinct()), ip, "left_anti")
+    return df.join(allowed.select(F.col("ip").alias(ip)).distinct(), ip, "left_anti")
 
 
 def packet_rate(by: Sequence[str] = ("batch_id",)) -> Column:
@@ -121,7 +120,7 @@ def events(
     size: int = 100,
     by: Sequence[str] = (),
     allowed: Sequence[str] = (),
-    trailing: str = "followed",
+    trailing: str = "all",
 ) -> DataFrame:
     """Flood events: the likely targets of each window that is mostly hostile."""
     windowed = count_window(flatten(packets, by), size, by, trailing=trailing)

@@ -22,6 +22,11 @@ def packet_event(hits: DataFrame, kind: int, detail: Sequence[str]) -> DataFrame
     )
 
 
+def packet_key(packets: DataFrame) -> Column:
+    """What tells packets apart: numbers may be unique for a sensor only."""
+    return F.to_json(F.struct(*[c for c in ("sensor", "pkt_no") if c in packets.columns]))
+
+
 def _envelope(df: DataFrame, kind: int, slot: str, row: Column) -> DataFrame:
     """Wrap ``row`` as the ``traffic`` or ``host`` part of an envelope, the other part null."""
     return df.select(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flowguard.operators.joins import small_side
 from flowguard.operators.ordered import Last, Sum, scan
 
 NEW_ALARM = "[新报警]"  # fixed value: prefix of alarms that were not handled yet
@@ -19,22 +18,24 @@ def new_alarms(alarms: DataFrame) -> DataFrame:
 def runs(alarms: DataFrame) -> DataFrame:
     """Number the runs of equal consecutive ``datetime`` of each host, in ``seq`` order.
 
-    Adds ``run`` (from 1) and ``place`` (from 0) within the run.
+    Adds ``run`` (from 1) and ``place`` (from 0) within the run. Alarms without an address are a host
+    of their own.
     """
+    host = F.coalesce(F.concat(F.lit("="), "ip"), F.lit(""))
     seen = scan(
-        alarms.where("ip IS NOT NULL"), ["ip"], "seq",
+        alarms.withColumn("_host", host), ["_host"], "seq",
         _before=Last(F.struct("datetime"), before=True),
         _idx=Sum(F.lit(1).cast("long"), before=True),
     )
     starts = F.col("_before").isNull() | ~F.col("_before.datetime").eqNullSafe(F.col("datetime"))
     return (
         scan(
-            seen, ["ip"], "seq",
+            seen, ["_host"], "seq",
             run=Sum(starts.cast("long")),
             _first=Last(F.when(starts, F.col("_idx"))),
         )
         .withColumn("place", F.col("_idx") - F.col("_first"))
-        .drop("_before", "_idx", "_first")
+        .drop("_before", "_idx", "_first", "_host")
     )
 
 
@@ -60,17 +61,16 @@ def asset_names(assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
-def with_asset_names(df: DataFrame, assets: DataFrame) -> DataFrame:
-    """Add ``names`` (null when there are none) and ``n_names`` to every row with an ``ip``.
+def with_asset_names(df: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``names`` (null when there are none) and ``n_names`` to every row.
 
-    One row per address on the right: broadcast if the asset table is small, else joined by a
-    shuffle in which hot addresses are split.  A list that does not fit one row stays in
-    ``asset_names``; ``n_names`` says so.
+    An address with more names than fit one list gives a row for each part of them (``name_part`` 0,
+    1, ...), so that all are kept.  Adaptive execution picks the join by the real size of the lists
+    and splits hot addresses.
     """
-    one_row = asset_names(assets).where("part = 0").select(
-        "ip", "n_names", F.when(F.col("parts") == 1, F.col("names")).alias("names")
-    )
-    return df.join(small_side(one_row, assets), "ip", "left").withColumn("n_names", F.coalesce("n_names", F.lit(0)))
+    lists = asset_names(assets, part_rows).select("ip", "n_names", F.col("part").cast("int").alias("name_part"), "names")
+    none = {"n_names": F.coalesce("n_names", F.lit(0)), "name_part": F.coalesce("name_part", F.lit(0))}
+    return df.join(lists, "ip", "left").withColumns(none)
 
 
 def events(alarms: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

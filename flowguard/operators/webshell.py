@@ -6,15 +6,17 @@ from collections.abc import Mapping
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowguard.functions import text as tx
 from flowguard.functions.once import once
-from flowguard.operators.events import packet_event
+from flowguard.operators.events import packet_event, packet_key
 from flowguard.operators.scoring import Scorer, top_class
 from flowguard.schemas import WEBSHELL
 
+BUCKETS = 1 << 14  # places of hashed words
+
 
 def payloads(packets: DataFrame) -> DataFrame:
     """Add ``payload``, the decoded upload: a multipart body wins over plain form data.
@@ -89,39 +91,39 @@ def linear_events(
     """
     if bias > 0:
         raise ValueError("a text without any known term must not alarm: bias has to be <= 0")
-    shells = payloads(packets)
-    counts = term_counts(shells)
+    keyed = packets.withColumn("_key", packet_key(packets))
+    shells = payloads(keyed)
+    counts = term_counts(shells, "_key")
     if idf is None:
         idf = fit_idf(counts, shells.agg(F.count("*")))
-    hits = linear_classes(tfidf(counts, idf), terms, bias).where("prediction = 1").select("pkt_no")
-    return packet_event(packets.join(hits, "pkt_no", "left_semi"), WEBSHELL, detail)
+    hits = linear_classes(tfidf(counts, idf, "_key"), terms, bias, "_key").where("prediction = 1").select("_key")
+    return packet_event(keyed.join(hits, "_key", "left_semi"), WEBSHELL, detail)
 
 
-def text_pipeline(vocabulary: int = 4096) -> Pipeline:
-    """Bag of words and tf-idf of ``payload``.
+def text_pipeline(buckets: int = BUCKETS) -> Pipeline:
+    """Bag of hashed words and tf-idf of ``payload``; no word is left out and no vocabulary is gathered.
 
     MLlib's IDF has no ``+ 1``, so its weights differ from ``tfidf`` above.
     """
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="payload", outputCol="_words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False),
-            CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary, minDF=2.0),
+            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=buckets),
             IDF(inputCol="_counts", outputCol="_idf"),
             Normalizer(inputCol="_idf", outputCol="_x"),
         ]
     )
 
 
-def train(labelled: DataFrame, vocabulary: int = 4096, rounds: int = 60, seed: int = 1) -> PipelineModel:
+def train(labelled: DataFrame, buckets: int = BUCKETS, rounds: int = 60, seed: int = 1) -> PipelineModel:
     """Fit the text classifier on rows with ``payload`` and ``label`` (0 or 1): a small perceptron
     with hidden layers of 5 and 2 on the tf-idf vectors.
 
     A model is always fitted before it scores; an untrained one is never used.
     """
-    features = text_pipeline(vocabulary).fit(labelled)
-    size = len(features.stages[1].vocabulary)
+    features = text_pipeline(buckets).fit(labelled)
     perceptron = MultilayerPerceptronClassifier(
-        featuresCol="_x", labelCol="label", layers=[size, 5, 2, 2], solver="l-bfgs", maxIter=rounds, seed=seed
+        featuresCol="_x", labelCol="label", layers=[buckets, 5, 2, 2], solver="l-bfgs", maxIter=rounds, seed=seed
     )
     prepared = features.transform(labelled).select("_x", F.col("label").cast("double"))
     return PipelineModel(stages=[*features.stages, perceptron.fit(prepared)])

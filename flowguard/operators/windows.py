@@ -20,14 +20,14 @@ def count_window(
     size: int = 100,
     by: Sequence[str] = (),
     order: str = "pkt_no",
-    trailing: str = "followed",
+    trailing: str = "all",
 ) -> DataFrame:
     """Cut the packets into windows of ``size``.
 
     Adds ``batch_id``, ``i`` (the place within the window) and ``batch_size``.
 
-    ``trailing`` says which windows are kept: ``followed`` those that a later packet follows (a
-    window is judged when the next packet arrives), ``full`` all complete ones, ``all`` the rest too.
+    ``trailing`` says which windows are kept: ``all`` of them, ``full`` those of ``size`` packets, or
+    ``followed`` those that a later packet follows (a stream judges a window when the next packet arrives).
     """
     end = (F.col("batch_id") + 1) * size
     keep = {"followed": end < F.col("n_total"), "full": end <= F.col("n_total"), "all": F.lit(True)}

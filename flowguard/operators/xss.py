@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions import text as tx
-from flowguard.operators.events import packet_event
+from flowguard.operators.events import packet_event, packet_key
 from flowguard.operators.scoring import Scorer
 from flowguard.schemas import XSS
 
@@ -67,6 +67,7 @@ def events(
 
     The verdicts are folded per packet before anything is joined back to the packets.
     """
-    scored = scorer(frames(texts(packets.select("pkt_no", "http", "form_text"), mode)))
-    hits = scored.where("prediction = 1").select("pkt_no").distinct()
-    return packet_event(packets.join(hits, "pkt_no", "left_semi"), XSS, detail or packets.columns)
+    keyed = packets.withColumn("_key", packet_key(packets))
+    scored = scorer(frames(texts(keyed.select("_key", "http", "form_text"), mode)))
+    hits = scored.where("prediction = 1").select("_key").distinct()
+    return packet_event(keyed.join(hits, "_key", "left_semi"), XSS, detail or packets.columns)

@@ -26,9 +26,8 @@ VIEWS = {
             ELSE 'ip' END AS ip_layer
         FROM packets""",
     "windowed": r"""
-        SELECT *, idx // 100 AS batch_id, idx % 100 AS i, 100 AS batch_size FROM (
-          SELECT *, row_number() OVER (ORDER BY pkt_no) - 1 AS idx, count(*) OVER () AS n FROM packets)
-        WHERE (idx // 100 + 1) * 100 < n""",
+        SELECT *, idx // 100 AS batch_id, idx % 100 AS i, least(100, n - idx // 100 * 100) AS batch_size FROM (
+          SELECT *, row_number() OVER (ORDER BY pkt_no) - 1 AS idx, count(*) OVER () AS n FROM packets)""",
     "rates": r"""
         SELECT *, coalesce(round(i / nullif((epoch_us(sniff_ts) - epoch_us(first_ts)) / 1e6, 0), 6), 0.0) AS packet_rate
         FROM (SELECT *, first_value(sniff_ts) OVER (PARTITION BY batch_id ORDER BY i) AS first_ts FROM windowed)""",
@@ -39,14 +38,16 @@ VIEWS = {
           count(*) FILTER (WHERE length >= 70) / CAST(count(*) AS DOUBLE) AS ratio
         FROM windowed GROUP BY batch_id""",
     "per_target": r"""
-        SELECT batch_id, dst_ip, count(*) AS packets,
+        SELECT batch_id, dst_ip, count(*) AS packets, max(batch_size) AS batch_size,
           '[' || string_agg(CAST(pkt_no AS VARCHAR), ',' ORDER BY pkt_no) || ']' AS evidence
         FROM windowed GROUP BY batch_id, dst_ip""",
     "ddos": r"""
         SELECT 0 AS type, t.batch_id, dst_ip, evidence, last_ts
         FROM per_target t JOIN ratios r USING (batch_id)
           JOIN (SELECT batch_id, max(sniff_ts) AS last_ts FROM windowed GROUP BY batch_id) USING (batch_id)
-        WHERE ratio > CAST(0.8 AS DOUBLE) AND packets > CAST(0.3 AS DOUBLE) * 100""",
+        WHERE ratio > CAST(0.8 AS DOUBLE) AND packets > CAST(0.3 AS DOUBLE) * batch_size""",
+    "ddos_followed": r"""
+        SELECT * FROM ddos WHERE (batch_id + 1) * 100 < (SELECT count(*) FROM packets)""",
     "bots": r"""
         SELECT 2 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, sniff_ts, pkt_no
         FROM packets WHERE transport_layer = 'TCP' AND dst_port < 50 AND length >= 70""",
@@ -249,7 +250,9 @@ _BODIES = {
         SELECT batch_id, hostile, decodable, round(ratio, 6) AS ratio, ratio > CAST(0.8 AS DOUBLE) AS alarm FROM ratios""",
     "ddos_targets": """
         SELECT batch_id, dst_ip, packets, round(ratio, 6) AS ratio FROM per_target t JOIN ratios r USING (batch_id)
-        WHERE packets > CAST(0.3 AS DOUBLE) * 100""",
+        WHERE packets > CAST(0.3 AS DOUBLE) * batch_size""",
+    "ddos_followed": r"""
+        SELECT * FROM ddos WHERE (batch_id + 1) * 100 < (SELECT count(*) FROM packets)""",
     "ddos_evidence": "SELECT batch_id, dst_ip, evidence FROM per_target",
     "ddos_events": f"""
         SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos""",
@@ -399,8 +402,10 @@ _BODIES = {
         SELECT 0, type, src_ap, dst_ap, stamp FROM ids WHERE type IS NOT NULL UNION ALL
         SELECT 0, type, src_ip, dst_ip, detail FROM carried UNION ALL
         SELECT 1, -1, ip, 'none', detail FROM host_rows""",
+    "ddos_events_followed": f"""
+        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
     "stream_count_window": f"""
-        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos""",
+        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
     "stream_ftp": """
         SELECT '10.3.' || (flow // 256) || '.' || (flow % 256) AS src_ip, file_name, size, md5(content) AS digest
         FROM transfers WHERE closed""",

@@ -311,6 +311,13 @@ def ddos_events(spark, sf):
     return found.withColumn("time", text_of("time"))
 
 
+@query
+def ddos_events_followed(spark, sf):
+    """As a stream judges them: a window counts once a packet follows it."""
+    found = ddos.events(fx.packets(spark, sf), DDOS_RULE, trailing="followed")
+    return found.withColumn("time", text_of("time"))
+
+
 def host_events_of(spark: SparkSession, sf: str) -> DataFrame:
     return hosts.events(fx.alarms(spark, sf), fx.assets(spark, sf))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def local_session(cpus: str | int = "*", app: str = "flowguard") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix=f"{app}-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -30,20 +32,23 @@ def local_session(cpus: str | int = "*", app: str = "flowguard") -> SparkSession
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder stands in.
+    Where that setting is absent a local folder stands in, but only if driver and executors are one
+    process; on a cluster each machine would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="flowguard-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, most: int = 32) -> DataFrame:
-    """Give a scan of too few splits more partitions, for steps that are heavy on the CPU.
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer splits than the cluster has slots more partitions, for steps heavy on the CPU.
 
-    A table of many files or row groups is left as it is: no exchange is added at scale.
+    A table of many files or row groups has enough of them and gets no exchange.
     """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 

@@ -74,3 +74,17 @@ def test_host_sink_rejects_rows_without_a_name(spark, alarms, assets, tmp_path):
 def test_host_envelope(alarms, assets):
     row = events.all_events([], [hosts.events(alarms, assets)]).where("host.ip = 'c'").first()
     assert (row.type, row.traffic, row.host.n_names, row.host.names[0].asset_name) == (1, None, 1, "only")
+
+
+def test_alarms_without_an_address_are_reported(spark, assets):
+    rows = [(1, None, f"{NEW}1", D1), (2, "a", f"{NEW}2", D1), (3, None, f"{NEW}3", D1), (4, "", f"{NEW}4", D1)]
+    got = hosts.events(spark.createDataFrame(rows, ALARM), assets).collect()
+    assert sorted((str(r.ip), r.detail.replace(NEW, "|")) for r in got) == [("", "|4"), ("None", "|1|3"), ("a", "|2")]
+
+
+def test_no_name_is_lost_above_one_list(spark, alarms, tmp_path):
+    rows = [("a", f"n{i:03d}") for i in range(51)]
+    named = hosts.with_asset_names(alarms.where("ip = 'a'").limit(1), spark.createDataFrame(rows, ASSET), part_rows=10)
+    got = named.collect()
+    assert sorted(n.asset_name for r in got for n in r.names) == [n for _, n in rows]
+    assert {r.n_names for r in got} == {51} and len({r.name_part for r in got}) == len(got)

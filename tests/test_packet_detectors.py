@@ -38,15 +38,17 @@ def test_ratio_and_share_are_strict(table):
     at_limit = [packet(i, length=80 if i < 8 else 60) for i in range(11)]
     assert ddos.events(table(at_limit), RULE, size=10).count() == 0
     over = [packet(i, dst="x" if i < 3 else "y", length=60 if i == 0 else 80) for i in range(11)]
-    got = ddos.events(table(over), RULE, size=10).collect()
+    got = ddos.events(table(over), RULE, size=10, trailing="followed").collect()
     assert [(r.dst_ip, r.detail, r.src_ip) for r in got] == [("y", "[3,4,5,6,7,8,9]", "")]
+    every = ddos.events(table(over), RULE, size=10).collect()  # the last window is judged as it is
+    assert sorted((r.batch_id, r.dst_ip, r.detail) for r in every) == [(0, "y", "[3,4,5,6,7,8,9]"), (1, "y", "[10]")]
     assert got[0].time == T0 + timedelta(seconds=9)
 
 
 def test_undecodable_packets_keep_their_place(table):
     """They count as packets of the window and in ``i``, but not in the hostile ratio."""
     rows = [packet(i, layers=["eth"], ip=None) if i in (0, 5) else packet(i, dst=f"d{i % 2}") for i in range(11)]
-    flat = windows.count_window(ddos.flatten(table(rows)), 10)
+    flat = windows.count_window(ddos.flatten(table(rows)), 10, trailing="full")
     feats = ddos.features(flat).orderBy("pkt_no").collect()
     assert [r.i for r in feats] == [1, 2, 3, 4, 6, 7, 8, 9]
     assert [r.packet_rate for r in feats] == [1.0] * 8
@@ -56,7 +58,7 @@ def test_undecodable_packets_keep_their_place(table):
 
 
 def test_equal_timestamps_give_rate_zero(table):
-    flat = windows.count_window(ddos.flatten(table([packet(i, seconds=0) for i in range(4)])), 3)
+    flat = windows.count_window(ddos.flatten(table([packet(i, seconds=0) for i in range(4)])), 3, trailing="full")
     assert [r.packet_rate for r in ddos.features(flat).collect()] == [0.0, 0.0, 0.0]
 
 
@@ -79,7 +81,7 @@ def test_allow_list(spark, table):
 def test_windows_of_sensors_are_apart(table):
     rows = [packet(i, sensor="ab"[i % 2]) for i in range(22)]
     got = ddos.events(table(rows), RULE, size=5, by=["sensor"])
-    assert Counter((r.sensor, r.batch_id) for r in got.collect()) == {(s, b): 1 for s in "ab" for b in (0, 1)}
+    assert Counter((r.sensor, r.batch_id) for r in got.collect()) == {(s, b): 1 for s in "ab" for b in (0, 1, 2)}
 
 
 def test_botnet_features_and_rejects(table):
