@@ -210,8 +210,9 @@ def ftp_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ).alias("src"),
                 F.lit("192.168.4.1").alias("dst"),
             ).alias("ip"),
-            F.lit(1024).alias("src_port"),
-            F.lit(21).alias("dst_port"),
+            # text has connections of its own, one for each packet's number
+            F.when(is_data, F.col("seq") % 1000 + 2000).otherwise(1024).cast("int").alias("src_port"),
+            F.when(is_data, 20).otherwise(21).alias("dst_port"),
             F.struct(F.lit("1").alias("seq"), F.lit("1").alias("ack"), "fin").alias("tcp"),
             F.when(~is_data, F.struct("request_command", "request_arg")).alias("ftp"),
             "text_lines",

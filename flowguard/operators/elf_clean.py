@@ -73,7 +73,8 @@ def file_events(
     """Trojan, worm and virus events of the closed transfers.
 
     ``judged`` maps an event type to its verdicts (``key``, ``prediction``).  Types in ``force``
-    alarm on every closed transfer whatever the verdict.  The transfers are read once; detectors
+    alarm on every closed transfer whatever the verdict; a transfer without content (too large to be
+    put together) alarms for all types, as nothing cleared it.  The transfers are read once; detectors
     that share a table of verdicts share its join.
     """
     unknown = set(judged) - {TROJAN, WORM, VIRUS}
@@ -92,7 +93,8 @@ def file_events(
             closed = closed.join(hostile, key, "left")
             joined[id(verdict)] = F.col(bad)
         flags[kind] = joined[id(verdict)]
-    kinds = F.filter(F.array(*[F.when(f, F.lit(k)) for k, f in flags.items()]), lambda k: k.isNotNull())
+    unread = F.col("content").isNull() if "content" in transfers.columns else F.lit(False)
+    kinds = F.filter(F.array(*[F.when(f | unread, F.lit(k)) for k, f in flags.items()]), lambda k: k.isNotNull())
     time = F.col("time") if "time" in transfers.columns else F.lit(None)
     return closed.select("*", F.explode(kinds).alias("type")).select(
         "type",

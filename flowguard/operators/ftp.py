@@ -1,6 +1,7 @@
 """Files carried over FTP: which file a packet belongs to, and the file's content.
 
-Rows need ``flow`` (one TCP connection), ``seq`` (order within it), ``request_command``,
+Commands travel on one connection and the text of the files on others, so a ``flow`` is a pair of
+hosts, whatever their ports. Rows also need ``seq`` (order within the flow), ``request_command``,
 ``request_arg``, ``text_lines`` and ``fin``; endpoints ``src_ip``/``dst_ip`` are optional.
 """
 
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions.network import layer_at
 from flowguard.functions.text import trim_ftp_text
-from flowguard.operators.ordered import Last, Sum, scan
+from flowguard.operators.ordered import Last, Sum, Total, scan
 
-MAX_FILE_BYTES = 1 << 30  # a larger file does not fit one row; it is reported, not assembled
+MAX_FILE_BYTES = 1 << 30  # a larger file does not fit one row; it has no content here, and alarms unread
 
 
 def command_file() -> Column:
@@ -26,13 +27,8 @@ def is_data() -> Column:
 
 
 def from_packets(packets: DataFrame) -> DataFrame:
-    """FTP rows of a packet table; a flow is an unordered pair of endpoints with their ports."""
-    ends = F.array_sort(
-        F.array(
-            F.concat_ws(":", F.col("ip.src"), F.col("src_port").cast("string")),
-            F.concat_ws(":", F.col("ip.dst"), F.col("dst_port").cast("string")),
-        )
-    )
+    """FTP rows of a packet table; a flow is an unordered pair of hosts."""
+    ends = F.array_sort(F.array("ip.src", "ip.dst"))
     is_command = layer_at(4) == "ftp"
     return packets.where((layer_at(3) == "tcp") & F.col("ip").isNotNull()).select(
         F.array_join(ends, "-").alias("flow"),
@@ -48,9 +44,10 @@ def from_packets(packets: DataFrame) -> DataFrame:
 
 
 def sessions(rows: DataFrame) -> DataFrame:
-    """Add ``sess`` (transfers of the flow closed so far) and ``file_name`` (the open one).
+    """Add ``sess`` (FINs of the flow so far), ``file_name`` and ``file_no`` (name and place of the command
+    that opened the file) and ``closed`` (a FIN comes yet).
 
-    A command opens a transfer and a later one renames it; FIN closes it.  One ordered scan
+    A command opens a file; the next command or a FIN of either connection ends it.  One ordered scan
     carries both the latest command and the latest FIN, and whichever is later decides.
     """
     ends = [c for c in ("src_ip", "dst_ip") if c in rows.columns]
@@ -58,6 +55,7 @@ def sessions(rows: DataFrame) -> DataFrame:
     carried = scan(
         rows, ["flow"], "seq",
         sess=Sum(F.col("fin").cast("long"), before=True),
+        _fins=Total(F.col("fin").cast("long")),
         _cmd=Last(F.when(named.isNotNull(), F.struct("seq", named.alias("file"), *ends))),
         _fin=Last(F.when(F.col("fin") == 1, F.struct("seq")), before=True),
     )
@@ -66,12 +64,14 @@ def sessions(rows: DataFrame) -> DataFrame:
         *[c for c in rows.columns if c not in ends],
         "sess",
         F.when(is_open, F.col("_cmd.file")).alias("file_name"),
+        F.when(is_open, F.col("_cmd.seq")).alias("file_no"),
+        (F.col("sess") < F.col("_fins")).alias("closed"),
         *[F.when(is_open, F.col(f"_cmd.{c}")).alias(c) for c in ends],
     )
 
 
 def files(with_sessions: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row per transfer that has a name: its pieces, cleaned and joined in order.
+    """One row per command that named a file: the file's pieces, cleaned and joined in order.
 
     A second scan gives each piece its byte offset in the file.  Pieces from ``max_bytes`` on are
     counted but not gathered, so one giant file cannot fill a task; its ``content`` is null and
@@ -84,18 +84,18 @@ def files(with_sessions: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFram
     ends = [c for c in ("src_ip", "dst_ip") if c in pieces.columns]
     time = ["sniff_ts"] if "sniff_ts" in pieces.columns else []
     placed = scan(
-        pieces.select("flow", "sess", "seq", "file_name", "fin", "piece", *ends, *time),
-        ["flow", "sess"], "seq", _offset=Sum(size, before=True),
+        pieces.select("flow", "sess", "file_no", "seq", "file_name", "closed", "piece", *ends, *time),
+        ["flow", "sess", "file_no"], "seq", _offset=Sum(size, before=True),
     )
     kept = F.when(F.col("_offset") + size <= max_bytes, F.col("piece"))
     return (
         placed.withColumn("_kept", kept)
-        .groupBy("flow", "sess")
+        .groupBy("flow", "sess", "file_no")
         .agg(
             F.max_by("file_name", "seq").alias("file_name"),
             *[F.max_by(c, "seq").alias(c) for c in ends],
             *[F.max(c).alias("time") for c in time],
-            (F.max("fin") == 1).alias("closed"),
+            F.max("closed").alias("closed"),
             F.sum(size).alias("size"),
             F.expr("listagg(_kept, '') WITHIN GROUP (ORDER BY seq)").alias("content"),
         )

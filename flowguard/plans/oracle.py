@@ -119,7 +119,10 @@ VIEWS = {
           CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS fin
         FROM conversations""",
     "ftp_rows": r"""
-        SELECT *, last_value(command_file IGNORE NULLS) OVER (PARTITION BY flow, sess ORDER BY seq
+        SELECT *, max(fin) OVER (PARTITION BY flow, sess) AS ends,
+          last_value(CASE WHEN command_file IS NOT NULL THEN seq END IGNORE NULLS) OVER (PARTITION BY flow, sess ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file_no,
+          last_value(command_file IGNORE NULLS) OVER (PARTITION BY flow, sess ORDER BY seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS file_name FROM (
           SELECT *, CAST(coalesce(sum(fin) OVER (PARTITION BY flow ORDER BY seq
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sess FROM ftp)""",
@@ -131,9 +134,9 @@ VIEWS = {
                 0) AS BIGINT)) || chr(10)), ''), '') AS piece
         FROM ftp_rows WHERE file_name IS NOT NULL""",
     "transfers": r"""
-        SELECT flow, sess, arg_max(file_name, seq) AS file_name, max(src_ip) AS src_ip, max(fin) = 1 AS closed,
+        SELECT flow, sess, file_no, any_value(file_name) AS file_name, max(src_ip) AS src_ip, max(ends) = 1 AS closed,
           CAST(sum(octet_length(encode(piece))) AS BIGINT) AS size, string_agg(piece, '' ORDER BY seq) AS content
-        FROM ftp_pieces GROUP BY flow, sess""",
+        FROM ftp_pieces GROUP BY flow, sess, file_no""",
     "programs": r"""
         SELECT doc_id, 'doc' || doc_id || '.bin' AS file_name, octet_length(encode(text)) AS text_size,
           doc_id % 10 <> 9 AND doc_id % 20 <> 0 AS readable, doc_id % 2 = 0 AS is64, doc_id // 2 % 2 = 0 AS little,

@@ -31,7 +31,7 @@ def test_sessions_follow_commands_and_fin(make):
         ("b", 0, None, None, None, 1),  # FIN without a command
         ("a", 2, "USER", "me", None, 0),
         ("a", 3, None, None, line("x"), 0),
-        ("a", 4, "RETR", "two", None, 0),  # renames the open transfer
+        ("a", 4, "RETR", "two", None, 0),  # ends the file before
         ("a", 5, None, None, line("y"), 1),
         ("a", 6, None, None, line("late"), 0),
         ("a", 7, "RETR", "three", None, 1),  # opened and closed by one packet
@@ -66,6 +66,31 @@ def test_a_file_too_large_for_a_row_is_reported(make):
     assert got == {"a": (None, 8), "b": ("x1#\n", 4)}
 
 
+def test_each_command_has_a_file_of_its_own(make):
+    df = make(
+        ("a", 1, "STOR", "one", None, 0), ("a", 2, None, None, line("1"), 0), ("a", 3, "STOR", "two", None, 0),
+        ("a", 4, None, None, line("2"), 1), ("a", 5, "STOR", "one", None, 0), ("a", 6, None, None, line("3"), 0),
+    )
+    got = sorted((r.file_no, r.file_name, r.content, r.closed) for r in ftp.files(ftp.sessions(df)).collect())
+    assert got == [(1, "one", "x1#\n", True), (3, "two", "x2#\n", True), (5, "one", "x3#\n", False)]
+
+
+def test_commands_and_data_on_different_ports(spark):
+    def packet(n, src, sport, dport, layers, highest, fin=0, **more):
+        return {"pkt_no": n, "layers": layers, "highest_layer": highest, "ip": {"src": src, "dst": "sd"[src == "s"]},
+                "src_port": sport, "dst_port": dport, "tcp": {"fin": fin}, **more}
+
+    rows = [
+        packet(0, "s", 999, 21, ["eth", "ip", "tcp", "ftp"], "FTP", ftp={"request_command": "STOR", "request_arg": "a"}),
+        packet(1, "s", 1000, 20, ["eth", "ip", "tcp", "ftp-data"], "DATA-TEXT-LINES", text_lines=line("q")),
+        packet(2, "d", 20, 1000, ["eth", "ip", "tcp"], "TCP", fin=1),
+        packet(3, "d", 21, 999, ["eth", "ip", "tcp"], "TCP", fin=1),
+    ]
+    df = spark.createDataFrame([tuple(r.get(f.name) for f in PACKET) for r in rows], PACKET)
+    got = ftp.files(ftp.sessions(ftp.from_packets(as_packets(df)))).collect()
+    assert [(r.file_name, r.content, r.closed) for r in got] == [("a", "xq#\n", True)]
+
+
 def test_from_packets_gives_one_flow_for_both_directions(spark):
     def packet(n, src, sport, layers, highest, **more):
         return {"pkt_no": n, "layers": layers, "highest_layer": highest, "ip": {"src": src, "dst": "sd"[src == "s"]},

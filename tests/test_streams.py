@@ -51,7 +51,7 @@ def test_count_windows_over_micro_batches_and_restarts(spark, feed, tmp_path):
         judge = lambda w: ddos.window_events(w, RULE, ["sensor"])
         run(jobs.count_windows(flat, judge, out, state, size=10, by=["sensor"], availableNow=True))
     got = spark.read.parquet(out).drop("run")
-    want = ddos.events(spark.createDataFrame(packets, PACKET), RULE, size=10, by=["sensor"])
+    want = ddos.events(spark.createDataFrame(packets, PACKET), RULE, size=10, by=["sensor"], trailing="followed")
     assert got.count() > 3
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
@@ -63,7 +63,7 @@ def test_carried_rows_stay_below_a_window(spark, feed, tmp_path):
     run(jobs.count_windows(flat, lambda w: w, out, state, size=10, by=["sensor"], availableNow=True))
     carried = spark.read.parquet(f"{state}/carried/slot=0").groupBy("sensor").count().collect()
     assert all(1 <= r["count"] <= 10 for r in carried)
-    batch = windows.count_window(ddos.flatten(spark.createDataFrame([flood(n) for n in range(95)], PACKET), ["sensor"]), 10, ["sensor"])
+    batch = windows.count_window(ddos.flatten(spark.createDataFrame([flood(n) for n in range(95)], PACKET), ["sensor"]), 10, ["sensor"], trailing="followed")
     assert spark.read.parquet(out).count() == batch.count()
 
 
