@@ -49,28 +49,67 @@ OSABI = {
 }
 FILE_TYPES = {0: "ET_NONE", 1: "ET_REL", 2: "ET_EXEC", 3: "ET_DYN", 4: "ET_CORE"}
 MACHINES = {
-    0: "EM_NONE", 2: "EM_SPARC", 3: "EM_386", 4: "EM_68K", 8: "EM_MIPS", 15: "EM_PARISC",
-    18: "EM_SPARC32PLUS", 20: "EM_PPC", 21: "EM_PPC64", 22: "EM_S390", 40: "EM_ARM", 42: "EM_SH",
-    43: "EM_SPARCV9", 50: "EM_IA_64", 62: "EM_X86_64", 93: "EM_ARC_COMPACT", 183: "EM_AARCH64",
-    243: "EM_RISCV", 258: "EM_LOONGARCH",
+    0: "EM_NONE", 1: "EM_M32", 2: "EM_SPARC", 3: "EM_386", 4: "EM_68K", 5: "EM_88K", 6: "EM_IAMCU", 7: "EM_860",
+    8: "EM_MIPS", 9: "EM_S370", 10: "EM_MIPS_RS3_LE", 15: "EM_PARISC", 17: "EM_VPP500", 18: "EM_SPARC32PLUS",
+    19: "EM_960", 20: "EM_PPC", 21: "EM_PPC64", 22: "EM_S390", 23: "EM_SPU", 36: "EM_V800", 37: "EM_FR20",
+    38: "EM_RH32", 39: "EM_RCE", 40: "EM_ARM", 41: "EM_ALPHA", 42: "EM_SH", 43: "EM_SPARCV9", 44: "EM_TRICORE",
+    45: "EM_ARC", 46: "EM_H8_300", 47: "EM_H8_300H", 48: "EM_H8S", 49: "EM_H8_500", 50: "EM_IA_64",
+    51: "EM_MIPS_X", 52: "EM_COLDFIRE", 53: "EM_68HC12", 54: "EM_MMA", 55: "EM_PCP", 56: "EM_NCPU", 57: "EM_NDR1",
+    58: "EM_STARCORE", 59: "EM_ME16", 60: "EM_ST100", 61: "EM_TINYJ", 62: "EM_X86_64", 63: "EM_PDSP",
+    64: "EM_PDP10", 65: "EM_PDP11", 66: "EM_FX66", 67: "EM_ST9PLUS", 68: "EM_ST7", 69: "EM_68HC16",
+    70: "EM_68HC11", 71: "EM_68HC08", 72: "EM_68HC05", 73: "EM_SVX", 74: "EM_ST19", 75: "EM_VAX", 76: "EM_CRIS",
+    77: "EM_JAVELIN", 78: "EM_FIREPATH", 79: "EM_ZSP", 80: "EM_MMIX", 81: "EM_HUANY", 82: "EM_PRISM", 83: "EM_AVR",
+    84: "EM_FR30", 85: "EM_D10V", 86: "EM_D30V", 87: "EM_V850", 88: "EM_M32R", 89: "EM_MN10300", 90: "EM_MN10200",
+    91: "EM_PJ", 92: "EM_OPENRISC", 93: "EM_ARC_COMPACT", 94: "EM_XTENSA", 95: "EM_VIDEOCORE", 96: "EM_TMM_GPP",
+    97: "EM_NS32K", 98: "EM_TPC", 99: "EM_SNP1K", 100: "EM_ST200", 105: "EM_MSP430", 106: "EM_BLACKFIN",
+    113: "EM_ALTERA_NIOS2", 140: "EM_TI_C6000", 164: "EM_QDSP6", 183: "EM_AARCH64", 185: "EM_AVR32",
+    188: "EM_TILEPRO", 189: "EM_MICROBLAZE", 190: "EM_CUDA", 191: "EM_TILEGX", 195: "EM_ARC_COMPACT2",
+    224: "EM_AMDGPU", 243: "EM_RISCV", 247: "EM_BPF", 252: "EM_CSKY", 258: "EM_LOONGARCH",
 }
 ARCHITECTURES = {
-    2: "SPARC", 3: "x86", 4: "Motorola 68000", 8: "MIPS", 20: "PowerPC", 21: "64-bit PowerPC",
-    22: "IBM System/390", 40: "ARM", 42: "Hitachi SH", 50: "Intel IA-64", 62: "x64", 183: "AArch64",
-    243: "RISC-V", 258: "LoongArch",
+    1: "AT&T WE 32100", 2: "SPARC", 3: "x86", 4: "Motorola 68000", 5: "Motorola 88000", 6: "Intel MCU",
+    7: "Intel 80860", 8: "MIPS", 9: "IBM System/370", 10: "MIPS RS3000 Little-endian", 15: "Hewlett-Packard PA-RISC",
+    17: "Fujitsu VPP500", 18: "Enhanced SPARC", 19: "Intel 80960", 20: "PowerPC", 21: "64-bit PowerPC",
+    22: "IBM System/390", 23: "IBM SPU/SPC", 36: "NEC V800", 37: "Fujitsu FR20", 38: "TRW RH-32",
+    39: "Motorola RCE", 40: "ARM", 41: "Digital Alpha", 42: "Hitachi SH", 43: "SPARC Version 9",
+    44: "Siemens TriCore embedded processor", 45: "Argonaut RISC Core, Argonaut Technologies Inc.", 46: "Hitachi H8/300",
+    47: "Hitachi H8/300H", 48: "Hitachi H8S", 49: "Hitachi H8/500", 50: "Intel IA-64", 51: "MIPS-X",
+    52: "Motorola ColdFire", 62: "x64", 183: "AArch64", 243: "RISC-V", 258: "LoongArch",
 }
 SEGMENT_TYPES = {
     0: "PT_NULL", 1: "PT_LOAD", 2: "PT_DYNAMIC", 3: "PT_INTERP", 4: "PT_NOTE", 5: "PT_SHLIB", 6: "PT_PHDR",
     7: "PT_TLS", 0x6474E550: "PT_GNU_EH_FRAME", 0x6474E551: "PT_GNU_STACK", 0x6474E552: "PT_GNU_RELRO",
-    0x6474E553: "PT_GNU_PROPERTY", 0x70000000: "PT_ARM_ARCHEXT", 0x70000001: "PT_ARM_EXIDX",
+    0x6474E553: "PT_GNU_PROPERTY",
+}
+# The upper codes mean something else on each machine.
+MACHINE_SEGMENT_TYPES = {
+    8: {0x70000000: "PT_MIPS_REGINFO", 0x70000001: "PT_MIPS_RTPROC", 0x70000002: "PT_MIPS_OPTIONS", 0x70000003: "PT_MIPS_ABIFLAGS"},
+    40: {0x70000000: "PT_ARM_ARCHEXT", 0x70000001: "PT_ARM_EXIDX"},
+    183: {0x70000000: "PT_AARCH64_ARCHEXT", 0x70000001: "PT_AARCH64_UNWIND", 0x70000002: "PT_AARCH64_MEMTAG_MTE"},
+    243: {0x70000003: "PT_RISCV_ATTRIBUTES"},
 }
 SECTION_TYPES = {
     0: "SHT_NULL", 1: "SHT_PROGBITS", 2: "SHT_SYMTAB", 3: "SHT_STRTAB", 4: "SHT_RELA", 5: "SHT_HASH",
     6: "SHT_DYNAMIC", 7: "SHT_NOTE", 8: "SHT_NOBITS", 9: "SHT_REL", 10: "SHT_SHLIB", 11: "SHT_DYNSYM",
     14: "SHT_INIT_ARRAY", 15: "SHT_FINI_ARRAY", 16: "SHT_PREINIT_ARRAY", 17: "SHT_GROUP",
     18: "SHT_SYMTAB_SHNDX", 0x6FFFFFF6: "SHT_GNU_HASH", 0x6FFFFFFD: "SHT_GNU_verdef",
-    0x6FFFFFFE: "SHT_GNU_verneed", 0x6FFFFFFF: "SHT_GNU_versym", 0x70000001: "SHT_ARM_EXIDX",
-    0x70000003: "SHT_ARM_ATTRIBUTES",
+    0x6FFFFFFE: "SHT_GNU_verneed", 0x6FFFFFFF: "SHT_GNU_versym",
+}
+MACHINE_SECTION_TYPES = {
+    8: {
+        0x70000000: "SHT_MIPS_LIBLIST", 0x70000001: "SHT_MIPS_MSYM", 0x70000002: "SHT_MIPS_CONFLICT",
+        0x70000003: "SHT_MIPS_GPTAB", 0x70000004: "SHT_MIPS_UCODE", 0x70000005: "SHT_MIPS_DEBUG",
+        0x70000006: "SHT_MIPS_REGINFO", 0x7000000B: "SHT_MIPS_IFACE", 0x7000000C: "SHT_MIPS_CONTENT",
+        0x7000000D: "SHT_MIPS_OPTIONS", 0x7000001E: "SHT_MIPS_DWARF", 0x70000020: "SHT_MIPS_SYMBOL_LIB",
+        0x70000021: "SHT_MIPS_EVENTS", 0x7000002A: "SHT_MIPS_ABIFLAGS",
+    },
+    40: {
+        0x70000001: "SHT_ARM_EXIDX", 0x70000002: "SHT_ARM_PREEMPTMAP", 0x70000003: "SHT_ARM_ATTRIBUTES",
+        0x70000004: "SHT_ARM_DEBUGOVERLAY", 0x70000005: "SHT_ARM_OVERLAYSECTION",
+    },
+    62: {0x70000001: "SHT_AMD64_UNWIND"},
+    183: {0x70000003: "SHT_AARCH64_ATTRIBUTES"},
+    243: {0x70000003: "SHT_RISCV_ATTRIBUTES"},
 }
 NUMBER = "decimal(20,0)"  # holds any unsigned 64-bit value
 MAGIC = "7F454C46"
@@ -82,6 +121,12 @@ def named(code: str, names: dict) -> str:
     return f"coalesce(try_element_at(map({pairs}), bigint({code})), string({code}))"
 
 
+def named_on_machine(code: str, names: dict, by_machine: dict) -> str:
+    """SQL: the name of a code whose upper range depends on the file's machine."""
+    own = " ".join(f"WHEN {machine} THEN {named(code, more)}" for machine, more in by_machine.items())
+    return f"if({code} < 1879048192, {named(code, names)}, CASE int(_head.e_machine) {own} ELSE string({code}) END)"
+
+
 def uint(h: str, at: int, size: int) -> str:
     """SQL: unsigned number of ``size`` bytes at byte ``at`` of the hex text ``h``."""
     straight = f"substring({h}, {2 * at + 1}, {2 * size})"
@@ -111,7 +156,8 @@ def _struct(fields: dict[str, str]) -> str:
 
 
 def _section_row(s: str) -> dict[str, str]:
-    return {f: named(f"{s}.{f}", SECTION_TYPES) if f == "sh_type" else f"{s}.{f}" for f in SECTION_FIELDS}
+    kind = named_on_machine(f"{s}.sh_type", SECTION_TYPES, MACHINE_SECTION_TYPES)
+    return {f: kind if f == "sh_type" else f"{s}.{f}" for f in SECTION_FIELDS}
 
 
 def parse(files: DataFrame, content: str = "content") -> DataFrame:
@@ -137,31 +183,42 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
     )
     top = once(top, _head=f"if(_e1 IS NULL, {record('_h', HEADER, 16)}, NULL)")
 
-    # 2: the two tables
+    # 2: the two tables; where their numbers are too large for the header, the first section has them
+    first = f"hex(substring({content}, int(_head.e_shoff) + 1, {_size(SECTION)}))"
+    has_first = f"_e1 IS NULL AND _head.e_shoff > 0 AND _head.e_shoff + {_size(SECTION)} <= file_size"
+    top = once(top, _z=f"if({has_first}, {first}, NULL)")
+    top = once(top, _zero=f"if(_z IS NULL, NULL, {record('_z', SECTION)})")
+    top = once(
+        top,
+        _phnum="if(_head.e_phnum = 65535 AND _zero IS NOT NULL, _zero.sh_info, _head.e_phnum)",
+        _shnum="if(_head.e_shnum = 0 AND _zero IS NOT NULL, _zero.sh_size, _head.e_shnum)",
+        _shstr="if(_head.e_shstrndx = 65535 AND _zero IS NOT NULL, _zero.sh_link, _head.e_shstrndx)",
+    )
+
     def fits(offset: str, stride: str, count: str, layouts: dict) -> str:
-        end = f"_head.{offset} + _head.{stride} * _head.{count}"
-        return f"(_head.{count} = 0 OR ({end} <= file_size AND _head.{stride} >= {_size(layouts)}))"
+        end = f"_head.{offset} + _head.{stride} * {count}"
+        return f"({count} = 0 OR ({end} <= file_size AND _head.{stride} >= {_size(layouts)}))"
 
-    segments, sections = ("e_phoff", "e_phentsize", "e_phnum"), ("e_shoff", "e_shentsize", "e_shnum")
+    segments, sections = ("e_phoff", "e_phentsize", "_phnum"), ("e_shoff", "e_shentsize", "_shnum")
     checked = once(
         top,
         _e2=f"""CASE WHEN _e1 IS NOT NULL THEN _e1
             WHEN NOT ({fits(*segments, SEGMENT)} AND {fits(*sections, SECTION)}) THEN 'truncated tables'
-            WHEN _head.e_shstrndx >= _head.e_shnum THEN 'no section names' END""",
+            WHEN _shstr >= _shnum THEN 'no section names' END""",
     )
 
     def records(offset: str, stride: str, count: str, layouts: dict) -> str:
         """Each record is cut out of the file on its own, then decoded."""
         at = f"int(_head.{offset}) + i * int(_head.{stride}) + 1"
-        cuts = f"transform(sequence(0, int(_head.{count}) - 1), i -> hex(substring({content}, {at}, {_size(layouts)})))"
+        cuts = f"transform(sequence(0, int({count}) - 1), i -> hex(substring({content}, {at}, {_size(layouts)})))"
         none = f"cast(array() AS array<{'struct<' + ','.join(f'{n}:{NUMBER}' for n, _ in layouts[32]) + '>'}>)"
-        return f"""CASE WHEN _e2 IS NOT NULL THEN NULL WHEN _head.{count} = 0 THEN {none}
+        return f"""CASE WHEN _e2 IS NOT NULL THEN NULL WHEN {count} = 0 THEN {none}
             ELSE transform({cuts}, h -> {record("h", layouts)}) END"""
 
     tables = once(checked, _segments=records(*segments, SEGMENT), _sections=records(*sections, SECTION))
 
     # 3: the section names
-    found = once(tables, _strtab="try_element_at(_sections, int(_head.e_shstrndx) + 1)")
+    found = once(tables, _strtab="try_element_at(_sections, int(_shstr) + 1)")
     found = once(
         found,
         error="""CASE WHEN _e2 IS NOT NULL THEN _e2
@@ -178,7 +235,7 @@ def parse(files: DataFrame, content: str = "content") -> DataFrame:
     rest = f"decode(substring(_names, {at}, int(_strtab.sh_size)), 'ISO-8859-1')"
     name = f"substring_index(if(contains({near}, chr(0)), {near}, {rest}), chr(0), 1)"
     segment_row = _struct(
-        {"p_type": named("s.p_type", SEGMENT_TYPES), **{f: f"s.{f}" for f in SEGMENT_FIELDS}}
+        {"p_type": named_on_machine("s.p_type", SEGMENT_TYPES, MACHINE_SEGMENT_TYPES), **{f: f"s.{f}" for f in SEGMENT_FIELDS}}
     )
     arch = ", ".join(f"{k}L, '{v}'" for k, v in ARCHITECTURES.items())
     head = {

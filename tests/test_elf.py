@@ -159,3 +159,31 @@ def test_verdicts_and_events(spark):
     assert sorted((r.type, r.detail.split('"file_name":"')[1][0]) for r in got) == [(3, "b"), (5, "a"), (5, "b"), (5, "c")]
     with pytest.raises(ValueError):
         elf_clean.file_events(transfers, {9: verdict}, "key")
+
+
+def test_upper_codes_depend_on_the_machine(parse):
+    sections = [("", 0, 0), ("xdata", 0x70000001, 4)]
+    files = {str(m): build(machine=m, segments=[0x70000001], sections=sections) for m in (8, 40, 62, 183, 15)}
+    parsed = parse(**files).collect()
+    got = {r.file_name: (r.segments[0].p_type, r.sections[1].sh_type) for r in parsed}
+    assert got == {
+        "8": ("PT_MIPS_RTPROC", "SHT_MIPS_MSYM"), "40": ("PT_ARM_EXIDX", "SHT_ARM_EXIDX"), "62": ("1879048193", "SHT_AMD64_UNWIND"),
+        "183": ("PT_AARCH64_UNWIND", "1879048193"), "15": ("1879048193", "1879048193"),
+    }
+    found = rows(parse(**files))
+    assert {k: r.has_ehabi_info for k, r in found.items()} == {"8": False, "40": True, "62": False, "183": False, "15": False}
+    assert found["15"].machine_arch == "Hewlett-Packard PA-RISC"
+
+
+def test_extended_numbering(parse):
+    plain = build(segments=[1, 2], sections=[("", 0, 0), (".text", 1, 7)])
+    extended = bytearray(plain)
+    table = struct.unpack_from("<Q", plain, 40)[0]
+    struct.pack_into("<HH", extended, 60, 0, 0xFFFF)  # no number of sections, no index of the names
+    struct.pack_into("<Q", extended, table + 32, 3)
+    struct.pack_into("<I", extended, table + 40, 2)
+    got = {r.file_name: r for r in parse(a=plain, b=bytes(extended)).collect()}
+    assert got["b"].error is None
+    assert [s.name for s in got["b"].sections] == [s.name for s in got["a"].sections] == ["", ".text", ".shstrtab"]
+    struct.pack_into("<Q", extended, table + 32, 1 << 60)
+    assert parse(c=bytes(extended)).first().error == "truncated tables"
