@@ -129,7 +129,7 @@ def payload_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("192.168.3.1").alias("dst"),
         ).alias("ip"),
         F.struct(F.hex("text").alias("data")).alias("http"),
-        F.when(doc % 7 == 0, F.struct(F.hex(F.upper("lang")).alias("data"))).alias("mime_multipart"),
+        F.when(doc % 7 == 0, F.struct(F.hex(F.concat_ws(" ", F.upper("lang"), "text")).alias("data"))).alias("mime_multipart"),
         "label",
     )
 

@@ -71,8 +71,8 @@ VIEWS = {
         WHERE tags * 20 > n""",
     "payloads": r"""
         SELECT doc_id AS pkt_no, '10.2.0.' || (doc_id % 256) AS src_ip, '192.168.3.1' AS dst_ip,
-          CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE text END AS payload
-        FROM documents WHERE length(CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE text END) > 0""",
+          CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', upper(lang), text) ELSE text END AS payload
+        FROM documents WHERE length(CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', upper(lang), text) ELSE text END) > 0""",
     "terms": r"""
         SELECT pkt_no, term, count(*) AS tf FROM (
           SELECT pkt_no, unnest(regexp_extract_all(lower(payload), '[\p{L}\p{N}_]{2,}')) AS term FROM payloads)
@@ -194,7 +194,8 @@ _BODIES = {
     "event_sink": """
         SELECT 0 AS message, type AS kind, count(*) AS events, count(DISTINCT src_ap) AS sources
         FROM ids WHERE type IS NOT NULL GROUP BY type""",
-    "scan_ids_alerts": 'SELECT line_no, msg, stamp AS "timestamp", src_ap, dst_ap FROM ids',
+    "scan_ids_alerts": 'SELECT msg, stamp AS "timestamp", src_ap, dst_ap FROM ids',
+    "tail_ids_alerts": 'SELECT msg, stamp AS "timestamp", src_ap, dst_ap FROM ids',
     "scan_alarms": f"SELECT seq, ip, info, strftime(datetime, {STAMP}) AS datetime FROM alarms",
     "host_sink": """
         SELECT n_names > 0 AS kept, ip, count(*) AS rows, CAST(sum(length(detail)) AS BIGINT) AS characters

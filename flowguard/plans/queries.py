@@ -101,7 +101,21 @@ def event_sink(spark, sf):
 
 @query
 def scan_ids_alerts(spark, sf):
-    return ids.parse_alerts(fx.ids_lines(spark, sf)).drop("line")
+    """Alerts of a log that is written to files and read back."""
+    log = work_folder(spark, "log")
+    fx.ids_lines(spark, sf).select("line").write.text(log)
+    return ids.parse_alerts(tables.alert_lines(spark, log)).drop("line")
+
+
+@query
+def tail_ids_alerts(spark, sf):
+    """Alerts of a log to which files are added between two readings: each line comes once."""
+    log, out, state = (work_folder(spark, n) for n in ("log", "out", "state"))
+    lines = fx.ids_lines(spark, sf)
+    for half in (0, 1):
+        lines.where(F.col("line_no") % 2 == half).select("line").write.mode("append").text(log)
+        tables.tail_log(spark, log, state, lambda new, run: new.write.mode("overwrite").parquet(f"{out}/run={run}"))
+    return ids.parse_alerts(spark.read.parquet(out).select("line")).drop("line")
 
 
 @query
@@ -120,12 +134,6 @@ def host_sink(spark, sf):
     )
 
 
-@query
-def elf_scan(spark, sf):
-    """Names and sizes of all files of the data folder; their content is never read."""
-    return tables.binary_files(spark, sf, "*.parquet").select("file_name", "file_size")
-
-
 # --- projections and filters ---------------------------------------------------------------------
 
 

@@ -21,7 +21,9 @@ def alert_lines(spark: SparkSession, path: str, stream: bool = False, **options:
     return reader.text(path).select(F.col("value").alias("line"))
 
 
-def tail_log(spark: SparkSession, path: str, state: str, sink: Callable[[DataFrame, int], None]) -> int:
+def tail_log(
+    spark: SparkSession, path: str, state: str, sink: Callable[[DataFrame, int], None], pattern: str = "*"
+) -> int:
     """Hand the lines that were added to the files of ``path`` since the last call to ``sink``.
 
     ``sink`` gets rows (``path``, ``place``, ``line``), ``place`` being the order within the new lines of a
@@ -33,7 +35,7 @@ def tail_log(spark: SparkSession, path: str, state: str, sink: Callable[[DataFra
     kept = f"{state}/read"
     seen = _last_state(spark, kept)
     run = 0 if seen is None else 1 + seen.agg(F.max("run")).first()[0]
-    source = spark.read.format("binaryFile").load(path)
+    source = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     # the sizes are settled first, as the files may grow while they are read
     sizes = materialize(source.select("path", F.col("length").alias("size")), "log-sizes")
     files = source.select("path", "content").join(sizes, "path")
