@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
@@ -30,21 +29,21 @@ def label_encode(
 
 
 def dense_code(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
-    """Replace each column by its 1-based rank among the sorted distinct values of the scan ``by``.
+    """Replace each text column by its 1-based rank among the sorted distinct values of the scan ``by``.
 
-    For categories: only the distinct combinations of values are ranked, so copies are folded before
-    the shuffle and a hot scan stays cheap; one join brings the ranks back.  Nulls keep no code.
+    The distinct values of all columns are gathered in one pass, in long form, so copies are folded
+    before the shuffle; each column is ranked on its own values, and joins by value, which adaptive
+    execution broadcasts while the lists are short, bring the ranks back.  Nulls keep no code.
     """
-    values = df.select(by, *columns).distinct()
-
-    def rank(c: str) -> Column:
-        window = Window.partitionBy(by).orderBy(F.col(c).asc_nulls_last())
-        return F.when(F.col(c).isNotNull(), F.dense_rank().over(window)).alias(f"_r_{c}")
-
-    ranks = values.select(*[F.col(c).alias(f"_k_{c}") for c in (by, *columns)], *[rank(c) for c in columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (by, *columns)]
-    joined = df.join(ranks, reduce(Column.__and__, same))
-    return joined.selectExpr(*[f"_r_{c} AS {c}" if c in columns else c for c in df.columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    values = df.select(F.col(by).alias("scan"), F.inline(pairs)).where("value IS NOT NULL").distinct()
+    rank = F.dense_rank().over(Window.partitionBy("scan", "column").orderBy("value"))
+    ranks = values.withColumn("rank", rank)
+    for c in columns:
+        own = ranks.where(F.col("column") == c).select(F.col("scan").alias("_s"), F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"_r_{c}"))
+        df = df.join(own, F.col(by).eqNullSafe(F.col("_s")) & (F.col(c) == F.col(f"_v_{c}")), "left").drop("_s")
+    wanted = [c for c in df.columns if not c.startswith(("_v_", "_r_"))]
+    return df.selectExpr(*[f"_r_{c} AS {c}" if c in columns else c for c in wanted])
 
 
 def value_map(column: str, table: Mapping) -> Column:
