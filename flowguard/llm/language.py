@@ -13,8 +13,9 @@ For each language the log posterior of a row adds up
 better, and rows without any letter, end there and are rejected.
 
 The gram model is fitted on a bounded sample of labelled rows (``SAMPLE`` of each run, dealt by the
-hash of the text): a table of fixed size that is broadcast. Priors are joined by host and left to
-adaptive execution, so a host with very many rows may be split.
+hash of the text): a table of fixed size that is broadcast. Priors are broadcast
+while the hosts are counted to be few; otherwise they are joined by host and left to adaptive execution,
+which splits a host of very many rows.
 
 Defined results: null or empty text has no text evidence; unknown or missing declarations, suffixes and
 hosts are no evidence either; equal rows get equal results; ties go to the first language by name.
@@ -42,6 +43,8 @@ BITS = 15
 SAMPLE = 4000
 EVIDENCE = 120.0
 DECLARED, SUFFIXED = 0.9, 0.7
+#: Hosts up to which their priors, some fifty bytes each, are broadcast instead of joined by a shuffle.
+FEW_HOSTS = 50_000
 #: Rows that a smoothed prior weighs.
 PRIOR = 10.0
 #: Languages of address suffixes.
@@ -57,15 +60,14 @@ _EVIDENCE = StructType().add("ll", ArrayType(DoubleType())).add("declared", Stri
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each three-byte gram that has a letter in it."""
-    b = _LETTER[data].astype(np.int64)
-    if len(b) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keep = (row[:-2] == row[2:]) & (code != 0x202020)
-    bucket = ((code[keep] * 2654435761) & 0xFFFFFFFF) >> (32 - BITS)
-    return row[:-2][keep], bucket
+    """(row, bucket) of each three-byte gram that has a letter in it; a text has a space before and after it."""
+    n = len(offsets) - 1
+    # two spaces stand between rows: no gram has letters of two, and each belongs to the row of its middle
+    b = np.insert(_LETTER[data], np.repeat(offsets, 2), 32).astype(np.uint32)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets) + 2)
+    code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
+    keep = code != 0x202020
+    return row[keep], ((code[keep] * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 @dataclass
@@ -198,10 +200,12 @@ def identify(
     blank = F.forall(lit, lambda x: x == 0)
     by_text = F.when(blank, F.lit(UNKNOWN)).otherwise(by_text)
     priors = _priors(seen.select(F.col(key).alias("host"), F.col(group).alias("domain"), by_text.alias("vote")), names)
+    priors = materialize(priors, "language-priors")
+    few = priors.count() <= FEW_HOSTS
     priors = priors.select(F.col("host").alias(key), *[F.col(f"p{k}").alias(f"{into}_p{k}") for k in range(len(names))])
     said = F.col(found)["declared"] if declared is None else F.lower(F.substring(declared, 1, 2))
     place = nowhere if suffix is None else suffix
-    joined = seen.join(priors, key, "left")
+    joined = seen.join(F.broadcast(priors) if few else priors, key, "left")
     scores = [
         ll[k] + F.coalesce(F.col(f"{into}_p{k}"), F.lit(0.0)) + _says(said, names, k, DECLARED) + _says(place, names, k, SUFFIXED)
         for k in range(len(names))

@@ -35,15 +35,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words whose encodings a worker remembers, twice over.
-CACHE = 250_000
+CACHE = 120_000
 #: Pairs of pieces of which a worker remembers whether they may follow each other.
-PAIRS = 1_000_000
+PAIRS = 400_000
 #: Characters of one long word after which its states are no longer shared.
 SHARED = 1 << 12
 #: Score of a character that has no piece.
 UNKNOWN = -1e10
 #: Bytes of text whose distinct words are sorted together.
-SLICE = 4 << 20
+SLICE = 3 << 20
 
 CODED = StructType().add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
 
