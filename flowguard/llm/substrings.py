@@ -16,6 +16,9 @@ start earlier (smaller doc_id, or an earlier start in the same document) is remo
    earliest place is another one are reported.
 3. The reported intervals go back to the documents, which are cut.
 
+A minimiser whose different segments outgrow a shard (a phrase that very many documents use differently) is
+no group of one task: its windows are compared by 128-bit hashes, with minima by group (``_by_window``).
+
 Segments are at most ``CUT`` windows long, so repetitive texts spread over a document's segments, and a
 passage that many documents share shrinks to one segment per task before anything is shuffled.
 
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowguard.llm.common import materialize
 from flowguard.llm.fmindex import FMIndex
-from flowguard.llm.words import NOT_SPACE, Words, grams, running, slices, span_hash, text_column
+from flowguard.llm.words import NOT_SPACE, Words, grams, mix, running, slices, span_hash, text_column
 
 WINDOW = 20
 GRAM = 8
@@ -49,7 +52,8 @@ NULL_ID = -(1 << 63)
 
 _SEGMENTS = "m long, s long, doc long, start int, n int, twice boolean, repeat boolean"
 _FOUND = "m long, doc long, start int, n int, repeat boolean"
-_WORDS = "m long, doc long, start int, n int, text string"
+_WORDS = "m long, doc long, start int, n int, text string, heavy boolean"
+_WINDOWS = "a long, b long, doc long, start int"
 _SPANS = "doc long, start int, n int"
 
 
@@ -149,16 +153,16 @@ def _fetch(window: int):
             if not any(asked):
                 continue
             w = Words(*text_column(part.column(1)), NOT_SPACE, lower=False)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for r, doc in enumerate(part.column(0).to_pylist()):
                 for one in asked[r] or ():
                     a = int(w.first[r]) + one["start"]
                     text = w.text(a, a + one["n"] + window - 1)
-                    for column, value in zip(out, (one["m"], doc, one["start"], one["n"], text.decode())):
+                    for column, value in zip(out, (one["m"], doc, one["start"], one["n"], text.decode(), one["heavy"])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
-                 pa.array(out[4], pa.string())], ["m", "doc", "start", "n", "text"],
+                 pa.array(out[4], pa.string()), pa.array(out[5], pa.bool_())], ["m", "doc", "start", "n", "text", "heavy"],
             )
 
     return run
@@ -202,6 +206,36 @@ def repeats(doc: np.ndarray, start: np.ndarray, texts: list[str], window: int) -
     return out
 
 
+def _each_window(window: int):
+    """Two 64-bit hashes of each window of the segments, and where it stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 4):
+            w = Words(*text_column(part.column(4)), NOT_SPACE, lower=False)
+            h = w.hashes()
+            at = np.flatnonzero(w.left >= window)
+            a, b = grams(h, window)[at], grams(mix(h + np.uint64(1)), window)[at]
+            row = w.row[at]
+            start = part.column(2).to_numpy()[row] + at - w.first[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(part.column(1).to_numpy()[row]), pa.array(start.astype(np.int32))],
+                ["a", "b", "doc", "start"],
+            )
+
+    return run
+
+
+def _by_window(words: DataFrame, window: int) -> DataFrame:
+    """Repeats among the segments of a minimiser that outgrows a shard: by 128-bit hashes of the windows.
+
+    First places are minima, which are pre-aggregated; the join back by hash is split where it is skewed.
+    """
+    windows = materialize(words.mapInArrow(_each_window(window), _WINDOWS), "substrings-windows")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    again = windows.join(first.drop("k"), ["a", "b"]).where(F.struct("doc", "start") > F.col("first"))
+    return again.select("doc", "start", F.lit(1).alias("n"))
+
+
 def _index(window: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -247,14 +281,22 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     dealt = segments.withColumn("key", key).repartition("key").sortWithinPartitions("repeat", "m", "s", "n", "doc", "start")
     found = materialize(dealt.drop("key").mapInArrow(_split, _FOUND), "substrings-found")
     asked = found.where("NOT repeat")
-    total = asked.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0))).first()[0]
+    words = asked.groupBy("m").agg(F.sum(F.col("n") + window).alias("words"))
+    words = words.withColumn("heavy", F.col("words") > SHARD_WORDS)
+    heavy = materialize(words.where("heavy").select("m", "heavy"), "substrings-heavy")
+    total = words.where("NOT heavy").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_WORDS))
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n")).alias("asked"))
+    any_heavy = not heavy.isEmpty()
+    asked = asked.join(heavy, "m", "left") if any_heavy else asked.withColumn("heavy", F.lit(False))
+    asked = asked.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n", "heavy")).alias("asked"))
     # an outer join, so that this exchange of the texts equals the one below and is made once
     words = named.join(wanted, "doc", "left").select("doc", "text", "asked").mapInArrow(_fetch(window), _WORDS)
-    by_shard = words.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard")
+    by_shard = words.where("NOT heavy").withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard")
     indexed = by_shard.applyInArrow(_index(window), _SPANS)
     spans = found.where("repeat").select("doc", "start", "n").unionByName(indexed)
+    if any_heavy:
+        spans = spans.unionByName(_by_window(words.where("heavy"), window))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     cut = named.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(window), schema)

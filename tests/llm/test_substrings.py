@@ -30,8 +30,9 @@ def test_equals_brute_force(docs, plain, window, gram):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in rows} == brute(plain, window)
 
 
-def test_many_shards_give_the_same(docs, plain, monkeypatch):
-    monkeypatch.setattr(s, "SHARD_WORDS", 200)
+@pytest.mark.parametrize("shard", [30, 200, 2000])
+def test_small_shards_and_heavy_minimisers_give_the_same(docs, plain, monkeypatch, shard):
+    monkeypatch.setattr(s, "SHARD_WORDS", shard)
     rows = s.deduplicate(docs).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in rows} == brute(plain, 20)
 
