@@ -255,8 +255,6 @@ _BODIES = {
     "ddos_targets": """
         SELECT batch_id, dst_ip, packets, round(ratio, 6) AS ratio FROM per_target t JOIN ratios r USING (batch_id)
         WHERE packets > CAST(0.3 AS DOUBLE) * batch_size""",
-    "ddos_followed": r"""
-        SELECT * FROM ddos WHERE (batch_id + 1) * 100 < (SELECT count(*) FROM packets)""",
     "ddos_evidence": "SELECT batch_id, dst_ip, evidence FROM per_target",
     "ddos_events": f"""
         SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos""",
