@@ -46,6 +46,8 @@ GRAM = 8
 #: Most windows of a segment.
 CUT = 256
 SHARD_WORDS = 1 << 18
+#: Words of one minimiser from which its windows are compared by hash; an index of so many fits a task.
+HEAVY_WORDS = 1 << 20
 #: Bytes of text in which copies of segments are collapsed before the shuffle.
 SLICE = 4 << 20
 NULL_ID = -(1 << 63)
@@ -282,7 +284,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     found = materialize(dealt.drop("key").mapInArrow(_split, _FOUND), "substrings-found")
     asked = found.where("NOT repeat")
     words = asked.groupBy("m").agg(F.sum(F.col("n") + window).alias("words"))
-    words = words.withColumn("heavy", F.col("words") > SHARD_WORDS)
+    words = words.withColumn("heavy", F.col("words") > HEAVY_WORDS)
     heavy = materialize(words.where("heavy").select("m", "heavy"), "substrings-heavy")
     total = words.where("NOT heavy").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_WORDS))

@@ -33,6 +33,7 @@ def test_equals_brute_force(docs, plain, window, gram):
 @pytest.mark.parametrize("shard", [30, 200, 2000])
 def test_small_shards_and_heavy_minimisers_give_the_same(docs, plain, monkeypatch, shard):
     monkeypatch.setattr(s, "SHARD_WORDS", shard)
+    monkeypatch.setattr(s, "HEAVY_WORDS", shard)
     rows = s.deduplicate(docs).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in rows} == brute(plain, 20)
 
