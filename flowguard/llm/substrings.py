@@ -22,8 +22,9 @@ no group of one task: its windows are compared by 128-bit hashes, with minima by
 Segments are at most ``CUT`` windows long, so repetitive texts spread over a document's segments, and a
 passage that many documents share shrinks to one segment per task before anything is shuffled.
 
-Defined results: a null or empty text has no words; ids name documents: rows that repeat an id are one
-document, with null as the smallest id; an empty table gives an empty one.
+Defined results: a null or empty text has no words; rows that repeat an id and its text are one
+document; texts that differ under one id are documents of their own, told apart and ordered by a 64-bit hash of
+the text (``sub``); null is the smallest id; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -52,11 +53,11 @@ HEAVY_WORDS = 1 << 20
 SLICE = 4 << 20
 NULL_ID = -(1 << 63)
 
-_SEGMENTS = "m long, s long, doc long, start int, n int, twice boolean, repeat boolean"
-_FOUND = "m long, doc long, start int, n int, repeat boolean"
-_WORDS = "m long, doc long, start int, n int, text string, heavy boolean"
-_WINDOWS = "a long, b long, doc long, start int"
-_SPANS = "doc long, start int, n int"
+_SEGMENTS = "m long, s long, doc long, sub long, start int, n int, twice boolean, repeat boolean"
+_FOUND = "m long, doc long, sub long, start int, n int, repeat boolean"
+_WORDS = "m long, doc long, sub long, start int, n int, text string, heavy boolean"
+_WINDOWS = "a long, b long, doc long, sub long, start int"
+_SPANS = "doc long, sub long, start int, n int"
 
 
 def _segments(w: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -87,39 +88,39 @@ def _segments(w: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def _scan(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1, SLICE):
-            w = Words(*text_column(part.column(1)), NOT_SPACE, lower=False)
+        for part in slices(batches, 2, SLICE):
+            w = Words(*text_column(part.column(2)), NOT_SPACE, lower=False)
             m, s, start, n, twice = _segments(w, window, gram)
             row = w.row[start] if len(start) else start
-            doc = part.column(0).to_numpy()[row]
+            doc, sub = part.column(0).to_numpy()[row], part.column(1).to_numpy()[row]
             own = start - w.first[row]
             # the first of equal segments stays in question, the others are repeats
-            order = np.lexsort((own, doc, n, s, m))
+            order = np.lexsort((own, sub, doc, n, s, m))
             a, b = order[1:], order[:-1]
             same = (m[a] == m[b]) & (s[a] == s[b]) & (n[a] == n[b])
-            place = ~((doc[a] == doc[b]) & (own[a] == own[b]))  # not the same place in a repeated row
+            place = ~((doc[a] == doc[b]) & (sub[a] == sub[b]) & (own[a] == own[b]))  # not the same place in a repeated row
             repeat = np.zeros(len(m), bool)
             repeat[a] = same & place
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(own.astype(np.int32)),
+                [pa.array(m.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(sub), pa.array(own.astype(np.int32)),
                  pa.array(n.astype(np.int32)), pa.array(twice), pa.array(repeat)],
-                ["m", "s", "doc", "start", "n", "twice", "repeat"],
+                ["m", "s", "doc", "sub", "start", "n", "twice", "repeat"],
             )
 
     return run
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of (m, s, n, doc, start): repeats, and segments that share a minimiser or hold it twice."""
+    """Rows in order of (m, s, n, doc, sub, start): repeats, and segments that share a minimiser or hold it twice."""
     held = None  # the last first-of-its-kind, of which it is open whether another shares its minimiser
     shared = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
         if held is not None:
             columns = [np.concatenate([[x], y]) for x, y in zip(held, columns)]
-        m, s, doc, start, n, twice = columns
+        m, s, doc, sub, start, n, twice = columns
         first = np.ones(len(m), bool)
         first[1:] = (m[1:] != m[:-1]) | (s[1:] != s[:-1]) | (n[1:] != n[:-1])
         lead = np.flatnonzero(first)
@@ -128,21 +129,21 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = lead[with_next | with_last | twice[lead]]
         # copies of a first: repeats unless they are the same place of a repeated row
         head = lead[np.cumsum(first) - 1]
-        copy = ~first & ~((doc == doc[head]) & (start == start[head]))
+        copy = ~first & ~((doc == doc[head]) & (sub == sub[head]) & (start == start[head]))
         final = lead[-1]
         held, shared = [x[final] for x in columns], bool(with_last[-1])
         keep = np.concatenate([open_[open_ != final], np.flatnonzero(copy)])
         if len(keep):
-            yield _found(m, doc, start, n, keep, copy[keep])
-    if held is not None and (shared or held[5]):
+            yield _found(m, doc, sub, start, n, keep, copy[keep])
+    if held is not None and (shared or held[6]):
         one = [np.array([x]) for x in held]
-        yield _found(one[0], one[2], one[3], one[4], np.array([0]), np.array([False]))
+        yield _found(one[0], one[2], one[3], one[4], one[5], np.array([0]), np.array([False]))
 
 
-def _found(m, doc, start, n, keep, repeat) -> pa.RecordBatch:
+def _found(m, doc, sub, start, n, keep, repeat) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(m[keep]), pa.array(doc[keep]), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(repeat)],
-        ["m", "doc", "start", "n", "repeat"],
+        [pa.array(m[keep]), pa.array(doc[keep]), pa.array(sub[keep]), pa.array(start[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), pa.array(repeat)],
+        ["m", "doc", "sub", "start", "n", "repeat"],
     )
 
 
@@ -150,30 +151,30 @@ def _fetch(window: int):
     """The words of the segments in question of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            asked = part.column(2).to_pylist()
+        for part in slices(batches, 2):
+            asked = part.column(3).to_pylist()
             if not any(asked):
                 continue
-            w = Words(*text_column(part.column(1)), NOT_SPACE, lower=False)
-            out = [[], [], [], [], [], []]
-            for r, doc in enumerate(part.column(0).to_pylist()):
+            w = Words(*text_column(part.column(2)), NOT_SPACE, lower=False)
+            out = [[], [], [], [], [], [], []]
+            for r, (doc, sub) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 for one in asked[r] or ():
                     a = int(w.first[r]) + one["start"]
                     text = w.text(a, a + one["n"] + window - 1)
-                    for column, value in zip(out, (one["m"], doc, one["start"], one["n"], text.decode(), one["heavy"])):
+                    for column, value in zip(out, (one["m"], doc, sub, one["start"], one["n"], text.decode(), one["heavy"])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()),
-                 pa.array(out[4], pa.string()), pa.array(out[5], pa.bool_())], ["m", "doc", "start", "n", "text", "heavy"],
+                [*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()),
+                 pa.array(out[5], pa.string()), pa.array(out[6], pa.bool_())], ["m", "doc", "sub", "start", "n", "text", "heavy"],
             )
 
     return run
 
 
-def repeats(doc: np.ndarray, start: np.ndarray, texts: list[str], window: int) -> list[tuple[int, int, int]]:
-    """(doc, start, windows) of the windows of segments that stand earlier among them."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
+def repeats(doc: np.ndarray, sub: np.ndarray, start: np.ndarray, texts: list[str], window: int) -> list[tuple[int, int, int, int]]:
+    """(doc, sub, start, windows) of the windows of segments that stand earlier among them."""
+    order = np.lexsort((start, sub, doc))
+    doc, sub, start = doc[order], sub[order], start[order]
     words, length = [], []
     for k in order.tolist():
         own = texts[k].split(" ")
@@ -196,14 +197,16 @@ def repeats(doc: np.ndarray, start: np.ndarray, texts: list[str], window: int) -
         here, there = segment[spot], mark[place]
         own = start[here] + spot - first_of[here]
         other = start[there] + place - there - first_of[there]
-        hits[spot] = (doc[there] < doc[here]) | (doc[there] == doc[here]) & (other < own)
+        same = (doc[there] == doc[here]) & (sub[there] == sub[here])
+        # segments stand in order of their documents
+        hits[spot] = np.where(same, other < own, there < here)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hits, [False]]).astype(np.int8)))
     out = []
     for a, b in edge.reshape(-1, 2).tolist():
         while a < b:  # runs end with their segment
             k = int(segment[a])
             to = min(b, int(ends[k]))
-            out.append((int(doc[k]), int(start[k] + a - first_of[k]), to - a))
+            out.append((int(doc[k]), int(sub[k]), int(start[k] + a - first_of[k]), to - a))
             a = to
     return out
 
@@ -212,16 +215,16 @@ def _each_window(window: int):
     """Two 64-bit hashes of each window of the segments, and where it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4):
-            w = Words(*text_column(part.column(4)), NOT_SPACE, lower=False)
+        for part in slices(batches, 5):
+            w = Words(*text_column(part.column(5)), NOT_SPACE, lower=False)
             h = w.hashes()
             at = np.flatnonzero(w.left >= window)
             a, b = grams(h, window)[at], grams(mix(h + np.uint64(1)), window)[at]
             row = w.row[at]
-            start = part.column(2).to_numpy()[row] + at - w.first[row]
+            start = part.column(3).to_numpy()[row] + at - w.first[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(part.column(1).to_numpy()[row]), pa.array(start.astype(np.int32))],
-                ["a", "b", "doc", "start"],
+                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(part.column(1).to_numpy()[row]),
+                 pa.array(part.column(2).to_numpy()[row]), pa.array(start.astype(np.int32))], ["a", "b", "doc", "sub", "start"],
             )
 
     return run
@@ -233,17 +236,17 @@ def _by_window(words: DataFrame, window: int) -> DataFrame:
     First places are minima, which are pre-aggregated; the join back by hash is split where it is skewed.
     """
     windows = materialize(words.mapInArrow(_each_window(window), _WINDOWS), "substrings-windows")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("k")).where("k > 1")
-    again = windows.join(first.drop("k"), ["a", "b"]).where(F.struct("doc", "start") > F.col("first"))
-    return again.select("doc", "start", F.lit(1).alias("n"))
+    first = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "sub", "start")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    again = windows.join(first.drop("k"), ["a", "b"]).where(F.struct("doc", "sub", "start") > F.col("first"))
+    return again.select("doc", "sub", "start", F.lit(1).alias("n"))
 
 
 def _index(window: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        found = repeats(group["doc"].to_numpy(), group["start"].to_numpy().astype(np.int64), group["text"].to_pylist(), window)
-        a, b, c = zip(*found) if found else ((), (), ())
-        return pa.table({"doc": pa.array(a, pa.int64()), "start": pa.array(b, pa.int32()), "n": pa.array(c, pa.int32())})
+        found = repeats(group["doc"].to_numpy(), group["sub"].to_numpy(), group["start"].to_numpy().astype(np.int64), group["text"].to_pylist(), window)
+        a, b, c, d = zip(*found) if found else ((), (), (), ())
+        return pa.table({"doc": pa.array(a, pa.int64()), "sub": pa.array(b, pa.int64()), "start": pa.array(c, pa.int32()), "n": pa.array(d, pa.int32())})
 
     return run
 
@@ -276,11 +279,11 @@ def _cut(window: int):
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256): each document without the words of repeated windows."""
-    named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
+    named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sub"), F.col(text).alias("text"))
     segments = named.mapInArrow(_scan(window, gram), _SEGMENTS)
     # repeats need no meeting; they are dealt evenly
-    key = F.when(F.col("repeat"), F.xxhash64("doc", "start")).otherwise(F.col("m"))
-    dealt = segments.withColumn("key", key).repartition("key").sortWithinPartitions("repeat", "m", "s", "n", "doc", "start")
+    key = F.when(F.col("repeat"), F.xxhash64("doc", "sub", "start")).otherwise(F.col("m"))
+    dealt = segments.withColumn("key", key).repartition("key").sortWithinPartitions("repeat", "m", "s", "n", "doc", "sub", "start")
     found = materialize(dealt.drop("key").mapInArrow(_split, _FOUND), "substrings-found")
     asked = found.where("NOT repeat")
     words = asked.groupBy("m").agg(F.sum(F.col("n") + window).alias("words"))
@@ -291,17 +294,17 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     any_heavy = not heavy.isEmpty()
     asked = asked.join(heavy, "m", "left") if any_heavy else asked.withColumn("heavy", F.lit(False))
     asked = asked.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
-    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n", "heavy")).alias("asked"))
+    wanted = asked.groupBy("doc", "sub").agg(F.collect_list(F.struct("m", "start", "n", "heavy")).alias("asked"))
     # an outer join, so that this exchange of the texts equals the one below and is made once
-    words = named.join(wanted, "doc", "left").select("doc", "text", "asked").mapInArrow(_fetch(window), _WORDS)
+    words = named.join(wanted, ["doc", "sub"], "left").select("doc", "sub", "text", "asked").mapInArrow(_fetch(window), _WORDS)
     by_shard = words.where("NOT heavy").withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards))).groupBy("shard")
     indexed = by_shard.applyInArrow(_index(window), _SPANS)
-    spans = found.where("repeat").select("doc", "start", "n").unionByName(indexed)
+    spans = found.where("repeat").select("doc", "sub", "start", "n").unionByName(indexed)
     if any_heavy:
         spans = spans.unionByName(_by_window(words.where("heavy"), window))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    cut = named.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut(window), schema)
+    cut = named.join(spans, ["doc", "sub"], "left").select("doc", "text", "spans").mapInArrow(_cut(window), schema)
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -311,7 +314,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def open_rows():
         for batch in batches:
-            repeat = batch.column(6).to_numpy(zero_copy_only=False)
+            repeat = batch.column(7).to_numpy(zero_copy_only=False)
             if not repeat.any():
                 yield batch
                 continue
@@ -323,7 +326,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     yield from _sift(open_rows())
     for batch in chain(known, batches):
-        yield batch.select(["m", "doc", "start", "n", "repeat"])
+        yield batch.select(["m", "doc", "sub", "start", "n", "repeat"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

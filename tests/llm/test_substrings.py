@@ -59,3 +59,13 @@ def test_matching_statistics(text, query, depth):
         assert m == max(fits, default=0)
         if m:
             assert sorted(index.suffix[lo[0] : hi[0]]) == [k for k in range(len(text) - m + 1) if text[k : k + m] == query[i : i + m]]
+
+
+@pytest.mark.parametrize("shard", [30, 1 << 18])
+def test_texts_under_one_id_keep_their_own_spans(spark, monkeypatch, shard):
+    monkeypatch.setattr(s, "SHARD_WORDS", shard)
+    monkeypatch.setattr(s, "HEAVY_WORDS", shard)
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(50)) for x in "abcd")
+    rows = [(None, a), (None, f"{b} {c}"), (None, d), (1, f"x {a} y"), (1, f"{d} z"), (1, "own " + b), (1, "own " + b), (2, f"{c[:100]} tail")]
+    kept = sorted(((r.doc_id, r.kept) for r in s.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(None, a), (None, f"{b} {c}"), (None, d), (1, "x y"), (1, "z"), (1, "own"), (1, "own"), (2, "c2 tail")], key=str)
