@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowguard.llm import decontaminate, kneser_ney, language, licenses, pieces, pii, simhash, substrings, topk, url_filter
+from flowguard.llm import bytebpe, decontaminate, kneser_ney, language, licenses, pieces, pii, simhash, substrings, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_kneser_ney": kneser_ney.query,
     "op9_language": language.query,
     "op10_substrings": substrings.query,
+    "op11_byte_bpe": bytebpe.query,
 }
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
