@@ -5,9 +5,12 @@ bytes is written as one visible character (the table of ``byte_characters``) and
 one byte gets the one merge that makes it: the two parts that its bytes come to by merges of lower rank.
 The lowest rank first is then the order of merges too, and the library's ids equal those of the ranks.
 
-Ids never leave their slice of rows: no shuffle. A long text is cut where a character that is no white
-space stands before a space or line end; no match of the pattern reaches over such a place, so memory is bounded
-by a slice and the longest stretch without one. The vocabulary, a file of fixed size, is broadcast.
+Ids never leave their slice of rows: no shuffle. Matches of the pattern are found first and each different one is
+encoded once in a slice. The quick pattern engine knows another version of Unicode than the library, so it splits only
+texts of ``AGREED`` characters, on which the two are compared when the vocabulary is read. A long text is cut where a
+character that is no white space stands before a space or line end; no match reaches over such a place, so memory is
+bounded by a slice, a cache of ``CACHE`` matches and the longest stretch without one. The vocabulary, a file of
+fixed size, is broadcast.
 
 Places of tokens come from the byte table: a token's bytes are mapped to the characters they belong to,
 and the tokens that share one character have that character's place. Decoding joins the
@@ -26,10 +29,12 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
@@ -41,15 +46,25 @@ PATTERN = public_tokenizers.PATTERN
 #: Bytes of text that a task encodes at a time, and characters of a text after which it may be cut.
 SLICE = 1 << 20
 PIECE = 1 << 17
+#: Matches whose ids a worker remembers, twice over, and the longest of them in characters.
+CACHE = 120_000
+CACHED = 48
+#: Scripts, punctuation and symbols that have long been in Unicode.
+AGREED = "\x00-\u0557\u0590-\u05ff\u0621-\u063a\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b0\u2190-\u23ff\u3000-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f64f"
+OTHER = re.compile(f"[^{AGREED}]")
 CUT = re.compile(r"[^\s\x1c-\x1f\x85](?=[ \n])")
 
 
 @dataclass
 class Vocabulary:
-    """Byte strings by id (b"" where an id is free), and the library's form of the whole."""
+    """Byte strings by id (b"" where an id is free), the library's form of the merges, the pattern, and whether the quick
+    engine splits the agreed characters as the library does.
+    """
 
     raw: list[bytes]
     tokenizer: str
+    pattern: str
+    agreed: bool
 
 
 def byte_characters() -> list[str]:
@@ -72,7 +87,7 @@ def _parts(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 def read_vocabulary(path: str = RANKS, pattern: str = PATTERN) -> Vocabulary:
     """The vocabulary of a rank file: a line for each token, its bytes in base64 and its rank."""
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import Tokenizer, models, pre_tokenizers
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -92,12 +107,21 @@ def read_vocabulary(path: str = RANKS, pattern: str = PATTERN) -> Vocabulary:
                 raise ValueError(f"{path}: no merge makes {token!r}")
             merges.append((spell(parts[0]), spell(parts[1])))
     tokenizer = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    split = pre_tokenizers.Split(Regex(pattern), "isolated")
-    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     raw = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         raw[rank] = token
-    return Vocabulary(raw, tokenizer.to_str())
+    chars = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000 and not OTHER.match(chr(c))]
+    text = "".join([f"a{c}1{c} {c}!" for c in chars])
+    agreed = regex.compile(pattern).findall(text) == _splitter(pattern)(text)
+    return Vocabulary(raw, tokenizer.to_str(), pattern, agreed)
+
+
+def _splitter(pattern: str):
+    from tokenizers import Regex, pre_tokenizers
+
+    split = pre_tokenizers.Split(Regex(pattern), "isolated")
+    return lambda text: [word for word, _ in split.pre_tokenize_str(text)]
 
 
 def cuts(text: str, piece: int = PIECE) -> Iterator[str]:
@@ -121,27 +145,56 @@ class Coder:
 
         self.vocabulary = vocabulary
         self.tokenizer = Tokenizer.from_str(vocabulary.tokenizer)
+        self.split, self.quick = _splitter(vocabulary.pattern), regex.compile(vocabulary.pattern).findall
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.long = np.array([len(t) for t in vocabulary.raw], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.long)])
         self.bytes = np.frombuffer(b"".join(vocabulary.raw), np.uint8)
 
+    def words(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        return self.quick(text) if self.vocabulary.agreed and not OTHER.search(text) else self.split(text)
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each different word, as 32-bit integers."""
+        table, fresh = {}, []
+        for w in set(words):
+            ids = self.young.get(w) or self.old.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                table[w] = self.young[w] = ids
+        for k in range(0, len(fresh), 1 << 14):
+            part = fresh[k : k + (1 << 14)]
+            for w, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                ids = table[w] = np.array(coded.ids, np.uint32).tobytes()
+                if len(w) <= CACHED:
+                    self.young[w] = ids
+        if len(self.young) > CACHE:  # what the last slices did not use goes next time
+            self.old, self.young = self.young, {}
+        return table
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces, owner = [], []
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            table = self._ids(list(chain.from_iterable(words for _, words in held)))
+            for k, words in held:
+                out[k].append(b"".join([table[w] for w in words]))
+            held.clear()
+
         for k, t in enumerate(texts):
             for piece in cuts(t) if t else ():
-                pieces.append(piece)
-                owner.append(k)
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        at = 0
-        while at < len(pieces):
-            to, size = at, 0
-            while to < len(pieces) and (to == at or size + len(pieces[to]) <= SLICE):
-                size += len(pieces[to])
-                to += 1
-            for k, coded in zip(owner[at:to], self.tokenizer.encode_batch_fast(pieces[at:to], add_special_tokens=False)):
-                out[k].append(np.array(coded.ids, np.uint32))
-            at = to
-        return [np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
+                held.append((k, self.words(piece)))
+                size += len(piece)
+                if size > SLICE:
+                    flush()
+                    size = 0
+        flush()
+        return [np.frombuffer(b"".join(x), np.uint32) for x in out]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, gathered from the joined byte strings of the vocabulary."""
