@@ -1,15 +1,15 @@
 """From raw documents to token ids: five stages, each written as Parquet and read by the next.
 
 Every stage takes all that its predecessor kept and returns the columns of the documents; the last one
-adds the ids of the text. Near duplicates are groups of documents linked by a Jaccard similarity of 0.8 or
-more of their 5-word shingles, of which the document with the least id stays.
+adds the ids of the text. Near duplicates are groups of documents whose fingerprints link, by the SimHash operator
+with its own shingle length and distance; the row with the least id of each group stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowguard.llm import decontaminate, language, near, pieces, pii
+from flowguard.llm import decontaminate, language, pieces, pii, simhash
 from flowguard.llm.common import materialize, spare, table
 
 
@@ -21,8 +21,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies, that of the least id; ids do not join texts that differ."""
-    return near.keep(docs)
+    """One row of each group of near copies, that of the least id (null ids last).
+
+    Rows are told apart by a number of their own, as ids may be null or repeat.
+    """
+    number, key = spare(docs, "row_number"), spare(docs, "row_key")
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "pipeline-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(number).alias("row"))
+    found = simhash.groups(rows.select(order.alias(key), "text"), key)
+    kept = found.where(F.col("doc_id")["row"] == F.col("component_id")["row"]).select(F.col("doc_id")["row"].alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
