@@ -24,6 +24,11 @@ def _k() -> Column:
     return F.regexp_extract("props", "([0-9]+)", 1).cast("int")
 
 
+def _second(number: Column) -> Column:
+    """The number-th second of 2024."""
+    return F.timestamp_seconds(F.lit(1704067200) + number)
+
+
 def packets_from_events(events: DataFrame) -> DataFrame:
     """One packet per event.  Errors become ARP packets, sign-ups UDP, the others TCP."""
     user, kind, number = F.col("user_id"), F.col("event_type"), F.col("event_id")
@@ -89,14 +94,16 @@ def mixed_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One HTTP packet per page; the page number decides which field carries the text."""
+    """One HTTP packet per page; the page number decides which field carries the text. Every page's html is in one of them."""
     page, url, html = F.col("page_id"), F.col("url"), F.col("html")
     turn = page % 5
-    uri = F.when(turn == 0, F.concat(url, F.lit("&q=%3Cb%3Ex%3C/b%3E+1%")))
-    form = F.concat(F.lit("Form item:\n  Key: a\n  Value: "), url)
+    uri = F.when(turn == 0, F.concat(url, F.lit("&q=%3Cb%3Ex%3C/b%3E+1%"), html))
+    # a value ends with its line
+    form = F.concat(F.lit("Form item:\n  Key: a\n  Value: "), url, F.lit("\n  Key: b\n  Value: x "), F.translate("html", "\n", " "))
     return as_packets(
         texts(spark, sf_dir, "pages", "page_id", "url", "html").select(
             page.alias("pkt_no"),
+            _second(page).alias("sniff_ts"),
             F.struct(
                 F.concat(F.lit("10.1.0."), (page % 256).cast("string")).alias("src"),
                 F.lit("192.168.2.1").alias("dst"),
@@ -124,6 +131,7 @@ def payload_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     return docs.join(labels, "doc_id", "left").select(
         doc.alias("pkt_no"),
+        _second(doc).alias("sniff_ts"),
         F.struct(
             F.concat(F.lit("10.2.0."), (doc % 256).cast("string")).alias("src"),
             F.lit("192.168.3.1").alias("dst"),
@@ -142,6 +150,7 @@ def ftp_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talks.join(ends, "conv_id").select(
         F.col("conv_id").alias("flow"),
         F.col("turn").alias("seq"),
+        _second(F.col("conv_id") * 60 + F.col("turn")).alias("sniff_ts"),
         F.concat(F.lit("10.3.0."), (F.col("conv_id") % 256).cast("string")).alias("src_ip"),
         F.lit("192.168.4.1").alias("dst_ip"),
         F.when(role == "user", "STOR").when(role == "system", "USER").alias("request_command"),
@@ -200,7 +209,7 @@ def ftp_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.select(
             (F.col("flow") * 1000 + F.col("seq")).alias("pkt_no"),
             F.lit("edge-0").alias("sensor"),
-            F.timestamp_seconds(F.lit(1704067200) + F.col("flow") * 60 + F.col("seq")).alias("sniff_ts"),
+            "sniff_ts",
             F.array(F.lit("eth"), F.lit("ip"), F.lit("tcp"), layer).alias("layers"),
             F.when(is_data, "DATA-TEXT-LINES").otherwise("FTP").alias("highest_layer"),
             F.lit("TCP").alias("transport_layer"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StructType
 
 # Typographic marks that the character model knows, with their codes.
 MARK_CODES = {"’": (134, 132), "”": (129,), "“": (130,), "‘": (131,), "–": (133,)}
@@ -73,6 +75,25 @@ def frame_vector(frame: Column) -> Column:
     return F.concat(values, F.array_repeat(F.lit(0.0), F.lit(FRAME) - F.size(values)))
 
 
+def frame_sparse(frame: Column) -> Column:
+    """The same as an MLlib sparse vector, of the places that have a code; its size is that of the text.
+
+    A vector column is a struct inside; no built-in function makes a sparse one, but the JSON reader does.
+    """
+    found = F.filter(
+        F.transform(codes(frame), lambda c, i: F.struct(i.alias("at"), (c / F.lit(float(CODE_SCALE))).alias("value"))),
+        lambda p: p.value != 0,
+    )
+    row = F.struct(
+        F.lit(0).alias("type"),
+        F.lit(FRAME).alias("size"),
+        found["at"].alias("indices"),
+        found["value"].alias("values"),
+    )
+    kind = StructType().add("x", VectorUDT())
+    return F.from_json(F.to_json(F.struct(row.alias("x"))), kind)["x"]
+
+
 def hex_text(h: Column) -> Column:
     """UTF-8 text given as hex digits; null when either encoding is broken."""
     pairs = h.rlike(r"^[0-9A-Fa-f]*\z") & (F.length(h) % 2 == 0)

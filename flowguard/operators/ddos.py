@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowguard.functions.encode import label_encode
 from flowguard.functions.network import ip_field
+from flowguard.operators.events import detected
 from flowguard.operators.scoring import Scorer
 from flowguard.operators.windows import count_window
 from flowguard.schemas import DDOS
@@ -28,11 +29,7 @@ def allow_flag(src: Column, allowed: Sequence[str] = ()) -> Column:
 
 
 def drop_allowed(df: DataFrame, allowed: DataFrame, ip: str = "src_ip") -> DataFrame:
-    """Packets whose source is not in a table of allowed addresses (column ``ip``).
-
-    The table may be of any size: it is counted, broadcast when small, and otherwise joined by a
-    shuffle in which hot addresses are split.
-    """
+    """Packets whose source is not in a table of allowed addresses (column ``ip``), which may be of any size."""
     return df.join(allowed.select(F.col("ip").alias(ip)).distinct(), ip, "left_anti")
 
 
@@ -135,6 +132,7 @@ def window_events(
     return targets(scored, by).where(F.col("ratio") > HOSTILE_RATIO).select(
         F.lit(DDOS).alias("type"),
         "time",
+        detected(),
         F.lit("").alias("src_ip"),
         "dst_ip",
         F.to_json("evidence").alias("detail"),

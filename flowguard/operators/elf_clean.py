@@ -9,6 +9,7 @@ from flowguard.operators import elf
 from flowguard.operators.elf_columns import (
     CODED, FEATURES, FILL, FLAGS, MODEL_INPUTS, TEXTS, VALUE_MAPS,
 )
+from flowguard.operators.events import detected
 from flowguard.operators.scoring import Scorer
 from flowguard.schemas import TROJAN, VIRUS, WORM
 
@@ -99,6 +100,7 @@ def file_events(
     return closed.select("*", F.explode(kinds).alias("type")).select(
         "type",
         time.cast("timestamp").alias("time"),
+        detected(),
         "src_ip",
         "dst_ip",
         F.to_json(F.struct("flow", "sess", "file_name", "size")).alias("detail"),

@@ -10,12 +10,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from flowguard.schemas import ENVELOPE, HOST_EVENT, MSG_HOST, MSG_TRAFFIC, TRAFFIC_EVENT
 
 
+#: Column with the time of detection.
+DETECTED = "detected_at"
+
+
+def detected() -> Column:
+    """The processing time: one value for all rows of a batch query; a stream puts its micro-batch's time in its place."""
+    return F.current_timestamp().alias(DETECTED)
+
+
 def packet_event(hits: DataFrame, kind: int, detail: Sequence[str]) -> DataFrame:
     """One traffic event per packet; ``detail`` names the packet columns kept as evidence."""
     time = F.col("sniff_ts") if "sniff_ts" in hits.columns else F.lit(None).cast("timestamp")
     return hits.select(
         F.lit(kind).alias("type"),
         time.alias("time"),
+        detected(),
         F.col("ip.src").alias("src_ip"),
         F.col("ip.dst").alias("dst_ip"),
         F.to_json(F.struct(*detail)).alias("detail"),

@@ -43,29 +43,48 @@ def from_packets(packets: DataFrame) -> DataFrame:
     )
 
 
-def sessions(rows: DataFrame) -> DataFrame:
+def since_last(rows: DataFrame) -> DataFrame:
+    """Add ``_seen``, the time of the flow's row before."""
+    return scan(rows, ["flow"], "seq", _seen=Last(F.col("sniff_ts"), before=True))
+
+
+def sessions(rows: DataFrame, idle_seconds: int | None = None) -> DataFrame:
     """Add ``sess`` (FINs of the flow so far), ``file_name`` and ``file_no`` (name and place of the command
-    that opened the file) and ``closed`` (a FIN comes yet).
+    that opened the file) and ``closed`` (a FIN, or silence, comes yet).
 
     A command opens a file; the next command or a FIN of either connection ends it.  One ordered scan
-    carries both the latest command and the latest FIN, and whichever is later decides.
+    carries both the latest command and the latest FIN, and whichever is later decides.  With
+    ``idle_seconds`` a flow that was silent for longer (by ``sniff_ts``) ends its file as well: what comes
+    after the silence belongs to no file until the next command.
     """
     ends = [c for c in ("src_ip", "dst_ip") if c in rows.columns]
     named = command_file()
+    silence: dict[str, Last | Sum | Total] = {}
+    columns = [c for c in rows.columns if c != "_seen"]
+    if idle_seconds is not None:
+        rows = rows if "_seen" in rows.columns else since_last(rows)
+        gap = F.unix_micros("sniff_ts") - F.unix_micros("_seen") > idle_seconds * 1_000_000
+        n = F.coalesce(gap, F.lit(False)).cast("long")
+        silence = {"_gap": Last(F.when(gap, F.struct("seq"))), "_gaps": Sum(n), "_all_gaps": Total(n)}
     carried = scan(
         rows, ["flow"], "seq",
         sess=Sum(F.col("fin").cast("long"), before=True),
         _fins=Total(F.col("fin").cast("long")),
         _cmd=Last(F.when(named.isNotNull(), F.struct("seq", named.alias("file"), *ends))),
         _fin=Last(F.when(F.col("fin") == 1, F.struct("seq")), before=True),
+        **silence,
     )
     is_open = F.col("_fin").isNull() | (F.col("_cmd.seq") > F.col("_fin.seq"))
+    closed = F.col("sess") < F.col("_fins")
+    if silence:
+        is_open &= F.col("_gap").isNull() | (F.col("_cmd.seq") >= F.col("_gap.seq"))
+        closed |= F.col("_gaps") < F.col("_all_gaps")
     return carried.select(
-        *[c for c in rows.columns if c not in ends],
+        *[c for c in columns if c not in ends],
         "sess",
         F.when(is_open, F.col("_cmd.file")).alias("file_name"),
         F.when(is_open, F.col("_cmd.seq")).alias("file_no"),
-        (F.col("sess") < F.col("_fins")).alias("closed"),
+        closed.alias("closed"),
         *[F.when(is_open, F.col(f"_cmd.{c}")).alias(c) for c in ends],
     )
 

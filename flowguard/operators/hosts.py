@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowguard.operators.events import detected
 from flowguard.operators.ordered import Last, Sum, scan
 
 NEW_ALARM = "[新报警]"  # fixed value: prefix of alarms that were not handled yet
@@ -80,12 +81,17 @@ def events(alarms: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) ->
     next stretch of text.
     """
     numbered = runs(new_alarms(alarms)).withColumn("part", F.expr(f"place div {part_rows}"))
-    merged = numbered.groupBy("ip", "run", "part").agg(
+    return merged(numbered, assets)
+
+
+def merged(numbered: DataFrame, assets: DataFrame) -> DataFrame:
+    """Events of alarms that carry the ``run`` and ``part`` they belong to."""
+    rows = numbered.groupBy("ip", "run", "part").agg(
         F.expr("listagg(info, '') WITHIN GROUP (ORDER BY seq)").alias("detail"),
         F.min("datetime").alias("time"),
         F.count("*").alias("alarms"),
     )
-    return with_asset_names(merged, assets)
+    return with_asset_names(rows.select("*", detected()), assets)
 
 
 def takeover_ips(alarms: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from flowguard.operators.events import detected
 from flowguard.schemas import IDS_ALERT, PORT_SCAN, SQL_INJECT, XML_INJECT
 
 # Phrases in the alert message and the event they mean; the first match wins.
@@ -33,6 +34,7 @@ def events(lines: DataFrame, line: str = "line") -> DataFrame:
     return classify(parse_alerts(lines, line)).select(
         "type",
         time.alias("time"),
+        detected(),
         F.col("src_ap").alias("src_ip"),
         F.col("dst_ap").alias("dst_ip"),
         F.col("timestamp").alias("detail"),

@@ -2,14 +2,14 @@
 
 ``Window.partitionBy(group)`` sends a group to a single task, which fails once one flow, host or
 sensor holds a large share of the rows.  ``scan`` gives the same running sums and carried values
-in three levels instead:
+level by level instead:
 
 1. the order key is cut into blocks of ``2**BLOCK_BITS``; as the key is unique within its group,
    no block can hold more rows than that, whatever the skew;
-2. one partially aggregated row per block, with prefixes over the blocks of a super-block and over
-   the super-blocks of a group: these tables are smaller than the data by those factors;
-3. the block prefix joins back and a window over (group, block) finishes the work.  Join and window
-   share one exchange of the data.
+2. one partially aggregated row per block, the same per ``2**SUPER_BITS`` blocks, and once more: with four digits of
+   16 bits every 64-bit key is covered, so that no window sees more than 65 536 rows, however far apart the keys are;
+3. prefixes go back down, level by level; that of the block joins the rows and a window over (group,
+   block) finishes the work.  Join and window share one exchange of the data.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK_BITS = 16
-SUPER_BITS = 12
+SUPER_BITS = 16
+LEVELS = 2  # above the blocks
 
 
 @dataclass(frozen=True)
@@ -78,45 +79,42 @@ def scan(
             else:
                 yield F.sum(v).alias(f"_v_{name}")
 
-    def earlier(window, suffix: str):
-        """Values of all ranges before this one."""
+    def earlier(window):
+        """Values of all ranges before this one, within the window."""
         for name, r in out.items():
             v = F.col(f"_v_{name}")
             if isinstance(r, Last):
-                yield F.last(v, ignorenulls=True).over(window).alias(f"{suffix}{name}")
+                yield F.last(v, ignorenulls=True).over(window).alias(f"_e_{name}")
             elif isinstance(r, Sum):
-                yield F.sum(v).over(window).alias(f"{suffix}{name}")
+                yield F.sum(v).over(window).alias(f"_e_{name}")
 
-    blocks = (
-        rows.groupBy(*group, "_blk")
-        .agg(*folded(order))
-        .withColumn("_sup", F.shiftright("_blk", super_bits))
-    )
-    one_group = F.lit(0).alias("_g")
-    whole = Window.partitionBy(*group) if group else Window.partitionBy(one_group)
-    before_super = whole.orderBy("_sup").rowsBetween(Window.unboundedPreceding, -1)
-    supers = (
-        blocks.groupBy(*group, "_sup")
-        .agg(*folded("_blk"))
-        .select(
-            *group,
-            "_sup",
-            *earlier(before_super, "_s_"),
-            *[
-                F.sum(f"_v_{n}").over(whole).alias(f"_t_{n}")
-                for n, r in out.items()
-                if isinstance(r, Total)
-            ],
-        )
-    )
-    before_block = (
-        Window.partitionBy(*group, "_sup").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    prefixes = (
-        blocks.select(*group, "_sup", "_blk", *earlier(before_block, "_b_"))
-        .join(supers, [*group, "_sup"])
-        .drop("_sup")
-    )
+    def with_above():
+        """Those values, and what lies before the range of the next level; totals as they are."""
+        for name, r in out.items():
+            e, p = F.col(f"_e_{name}"), F.col(f"_p_{name}")
+            if isinstance(r, Last):
+                yield F.coalesce(e, p).alias(f"_p_{name}")
+            elif isinstance(r, Sum):
+                yield (F.coalesce(e, F.lit(0)) + F.coalesce(p, F.lit(0))).alias(f"_p_{name}")
+            else:
+                yield F.col(f"_t_{name}")
+
+    # level 0 are the blocks, each further level is coarser
+    at = ["_blk", *[f"_sup{k}" for k in range(1, LEVELS + 1)]]
+    levels = [rows.groupBy(*group, "_blk").agg(*folded(order))]
+    for fine, coarse in zip(at, at[1:]):
+        levels[-1] = levels[-1].withColumn(coarse, F.shiftright(fine, super_bits))
+        levels.append(levels[-1].groupBy(*group, coarse).agg(*folded(fine)))
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = whole.orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum(f"_v_{n}").over(whole).alias(f"_t_{n}") for n, r in out.items() if isinstance(r, Total)]
+    prefixes = levels[-1].select(*group, at[-1], *earlier(before), *totals)
+    prefixes = prefixes.withColumnsRenamed({f"_e_{n}": f"_p_{n}" for n in out})
+    for k in reversed(range(LEVELS)):
+        fine, coarse = at[k], at[k + 1]
+        before = Window.partitionBy(*group, coarse).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
+        finer = levels[k].select(*group, fine, coarse, *earlier(before))
+        prefixes = finer.join(prefixes, [*group, coarse]).select(*group, fine, *with_above())
 
     in_block = Window.partitionBy(*group, "_blk").orderBy(order)
 
@@ -126,15 +124,8 @@ def scan(
         window = in_block.rowsBetween(Window.unboundedPreceding, -1 if r.before else 0)
         v = F.col(f"_v_{name}")
         if isinstance(r, Last):
-            return F.coalesce(
-                F.last(v, ignorenulls=True).over(window), F.col(f"_b_{name}"), F.col(f"_s_{name}")
-            )
-        zero = F.lit(0)
-        return (
-            F.coalesce(F.sum(v).over(window), zero)
-            + F.coalesce(F.col(f"_b_{name}"), zero)
-            + F.coalesce(F.col(f"_s_{name}"), zero)
-        )
+            return F.coalesce(F.last(v, ignorenulls=True).over(window), F.col(f"_p_{name}"))
+        return F.coalesce(F.sum(v).over(window), F.lit(0)) + F.col(f"_p_{name}")
 
     return rows.join(prefixes, [*group, "_blk"]).select(
         *df.columns, *[finished(name, r).alias(name) for name, r in out.items()]

@@ -30,10 +30,29 @@ def model(fitted: PipelineModel) -> Scorer:
     return score
 
 
+def save(fitted: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline to the shared folder, from which any session loads it."""
+    fitted.write().overwrite().save(path)
+    return path
+
+
 def load(path: str) -> Scorer:
     return model(PipelineModel.load(path))
 
 
+def held_out(key: Column, share: int = 5) -> Column:
+    """Whether a row is kept from training: one of ``share`` keys, by a digest, so that copies of a key stay together."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 7), 16, 10).cast("long") % share == 0
+
+
+def quality(scored: DataFrame, label: str = "label", least: float = 0.9) -> DataFrame:
+    """One row on scored rows with their label: how many, how many positive ones, and whether ``least`` of all are right."""
+    right = F.avg((F.col(label).cast("int") == F.col("prediction")).cast("double"))
+    return scored.agg(
+        F.count("*").alias("rows"), F.count_if(F.col(label) == 1).alias("positives"), (right >= least).alias("good")
+    )
+
+
 def train_forest(
     df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 7
 ) -> PipelineModel:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions import text as tx
@@ -56,8 +55,8 @@ def frames(judged: DataFrame) -> DataFrame:
 
 
 def with_vector(framed: DataFrame) -> DataFrame:
-    """Add the frame as an MLlib vector, for trained scorers."""
-    return framed.withColumn("x", array_to_vector(tx.frame_vector(F.col("frame"))))
+    """Add the frame as a sparse MLlib vector, for trained scorers."""
+    return framed.withColumn("x", tx.frame_sparse(F.col("frame")))
 
 
 def events(

@@ -52,25 +52,30 @@ VIEWS = {
         SELECT 2 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, sniff_ts, pkt_no
         FROM packets WHERE transport_layer = 'TCP' AND dst_port < 50 AND length >= 70""",
     "http": r"""
-        SELECT page_id AS pkt_no, '10.1.0.' || (page_id % 256) AS src_ip, '192.168.2.1' AS dst_ip,
+        SELECT page_id AS pkt_no, '10.1.0.' || (page_id % 256) AS src_ip, '192.168.2.1' AS dst_ip, 0 AS item,
+          TIMESTAMP '2024-01-01' + to_seconds(page_id) AS sniff_ts,
           CASE page_id % 5 WHEN 0 THEN 'uri' WHEN 1 THEN 'referer' WHEN 2 THEN 'cookie' WHEN 3 THEN 'user-agent'
             ELSE 'form' END AS field,
-          CASE page_id % 5 WHEN 0 THEN '<b>x</b>' WHEN 1 THEN regexp_extract(url, '<[^\n]*>')
+          CASE page_id % 5 WHEN 0 THEN regexp_extract('<b>x</b>+1%' || html, '<[^\n]*>') WHEN 1 THEN regexp_extract(url, '<[^\n]*>')
             WHEN 2 THEN regexp_extract(html, '<[^\n]*>') WHEN 3 THEN regexp_extract(html, '<[^\n]*>')
             ELSE regexp_replace(url, '^.*:', '') END AS text
-        FROM pages""",
+        FROM pages UNION ALL
+        SELECT page_id, '10.1.0.' || (page_id % 256), '192.168.2.1', 1, TIMESTAMP '2024-01-01' + to_seconds(page_id), 'form',
+          regexp_replace(regexp_replace('Value: x ' || replace(html, chr(10), ' '), '^.*:', ''), '^\s+|\s+$', '', 'g')
+        FROM pages WHERE page_id % 5 = 4""",
     "http_codes": r"""
-        SELECT pkt_no, src_ip, dst_ip, c, row_number() OVER (PARTITION BY pkt_no ORDER BY p) - 1 AS place FROM (
-          SELECT pkt_no, src_ip, dst_ip, unnest(string_split(text, '')) AS c,
+        SELECT pkt_no, src_ip, dst_ip, sniff_ts, item, c, row_number() OVER (PARTITION BY pkt_no, item ORDER BY p) - 1 AS place FROM (
+          SELECT pkt_no, src_ip, dst_ip, sniff_ts, item, unnest(string_split(text, '')) AS c,
             generate_subscripts(string_split(text, ''), 1) AS p FROM http)
         WHERE c <> '' AND (unicode(c) <= 128)""",
     "xss": r"""
-        SELECT DISTINCT 8 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, pkt_no FROM (
-          SELECT pkt_no, src_ip, dst_ip, place // 10000 AS frame, count(*) AS n,
+        SELECT DISTINCT 8 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, pkt_no, sniff_ts FROM (
+          SELECT pkt_no, src_ip, dst_ip, sniff_ts, item, place // 10000 AS frame, count(*) AS n,
             count(*) FILTER (WHERE c IN ('<', '>')) AS tags FROM http_codes GROUP BY ALL)
         WHERE tags * 20 > n""",
     "payloads": r"""
         SELECT doc_id AS pkt_no, '10.2.0.' || (doc_id % 256) AS src_ip, '192.168.3.1' AS dst_ip,
+          TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS sniff_ts,
           CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', upper(lang), text) ELSE text END AS payload
         FROM documents WHERE length(CASE WHEN doc_id % 7 = 0 THEN concat_ws(' ', upper(lang), text) ELSE text END) > 0""",
     "terms": r"""
@@ -83,7 +88,7 @@ VIEWS = {
           FROM terms t JOIN (SELECT term, count(*) AS df FROM terms GROUP BY term) USING (term),
             (SELECT count(*) AS n FROM payloads))""",
     "shells": r"""
-        SELECT 1 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, pkt_no FROM payloads
+        SELECT 1 AS type, src_ip, dst_ip, '{"pkt_no":' || pkt_no || '}' AS detail, pkt_no, sniff_ts FROM payloads
         WHERE pkt_no IN (SELECT pkt_no FROM weights GROUP BY pkt_no HAVING -1.0 + sum(tfidf * CASE term
           WHEN 'de' THEN 3.0 WHEN 'the' THEN 2.0 WHEN 'la' THEN -2.5 WHEN 'el' THEN 1.5 ELSE 0 END) > 0)""",
     "ids": r"""
@@ -113,11 +118,26 @@ VIEWS = {
           count(*) AS alarms, coalesce(max(names), 'none') AS names, coalesce(max(n_names), 0) AS n_names
         FROM runs r LEFT JOIN assets a ON r.ip = a.ip GROUP BY r.ip, run""",
     "ftp": r"""
-        SELECT conv_id AS flow, turn AS seq, '10.3.0.' || (conv_id % 256) AS src_ip,
+        SELECT conv_id AS flow, turn AS seq, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS sniff_ts, '10.3.0.' || (conv_id % 256) AS src_ip,
           CASE WHEN role = 'user' THEN 'f' || turn || '.TXT' END AS command_file,
           CASE WHEN role = 'assistant' THEN text END AS text_lines,
           CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN 1 ELSE 0 END AS fin
         FROM conversations""",
+    "all_packets": r"""
+        SELECT *, idx // 100 AS batch_id, least(100, n - idx // 100 * 100) AS batch_size FROM (
+          SELECT *, row_number() OVER (ORDER BY number) - 1 AS idx, count(*) OVER () AS n FROM (
+            SELECT pkt_no * 4 AS number, dst_ip, length, sniff_ts FROM packets UNION ALL
+            SELECT DISTINCT pkt_no * 4 + 1, dst_ip, NULL, sniff_ts FROM http UNION ALL
+            SELECT doc_id * 4 + 2, '192.168.3.1', NULL, TIMESTAMP '2024-01-01' + to_seconds(doc_id) FROM documents UNION ALL
+            SELECT (flow * 1000 + seq) * 4 + 3, '192.168.4.1', NULL, sniff_ts FROM ftp))""",
+    "all_floods": r"""
+        SELECT t.*, last_ts FROM (
+          SELECT batch_id, dst_ip, count(*) AS packets, max(batch_size) AS batch_size,
+            '[' || string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) || ']' AS evidence FROM all_packets GROUP BY ALL) t
+        JOIN (SELECT batch_id, max(sniff_ts) AS last_ts, count(*) FILTER (WHERE length >= 70) / CAST(count(*) AS DOUBLE) AS ratio
+          FROM all_packets GROUP BY batch_id) USING (batch_id)
+        WHERE ratio > CAST(0.8 AS DOUBLE) AND packets > CAST(0.3 AS DOUBLE) * batch_size
+          AND (batch_id + 1) * 100 < (SELECT count(*) FROM all_packets)""",
     "ftp_rows": r"""
         SELECT *, max(fin) OVER (PARTITION BY flow, sess) AS ends,
           last_value(CASE WHEN command_file IS NOT NULL THEN seq END IGNORE NULLS) OVER (PARTITION BY flow, sess ORDER BY seq
@@ -135,6 +155,7 @@ VIEWS = {
         FROM ftp_rows WHERE file_name IS NOT NULL""",
     "transfers": r"""
         SELECT flow, sess, file_no, any_value(file_name) AS file_name, max(src_ip) AS src_ip, max(ends) = 1 AS closed,
+          max(sniff_ts) AS last_ts, max(max(sniff_ts)) OVER (PARTITION BY flow) AS last_of_flow,
           CAST(sum(octet_length(encode(piece))) AS BIGINT) AS size, string_agg(piece, '' ORDER BY seq) AS content
         FROM ftp_pieces GROUP BY flow, sess, file_no""",
     "programs": r"""
@@ -157,7 +178,7 @@ VIEWS = {
         SELECT t.* FROM transfers t WHERE closed AND flow % 2 = 0 AND flow IN (SELECT doc_id FROM hostile_files)""",
     "carried": r"""
         SELECT kind AS type, src_ip, '192.168.4.1' AS dst_ip, '{"flow":' || flow || ',"sess":' || sess
-          || ',"file_name":"' || file_name || '","size":' || size || '}' AS detail
+          || ',"file_name":"' || file_name || '","size":' || size || '}' AS detail, last_ts
         FROM (SELECT 3 AS kind, * FROM bad_transfers UNION ALL SELECT 4, * FROM bad_transfers
           UNION ALL SELECT 5, * FROM transfers WHERE closed)""",
 }
@@ -180,6 +201,8 @@ def _statement(body: str) -> str:
     return f"WITH {views}\n{body.strip()}" if views else body.strip()
 
 
+#: Rows that are kept from training.
+HELD = "CAST('0x' || left(md5(CAST({0} AS VARCHAR)), 7) AS BIGINT) % 5 = 0"
 STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 
 _BODIES = {
@@ -257,9 +280,9 @@ _BODIES = {
         WHERE packets > CAST(0.3 AS DOUBLE) * batch_size""",
     "ddos_evidence": "SELECT batch_id, dst_ip, evidence FROM per_target",
     "ddos_events": f"""
-        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos""",
+        SELECT type, strftime(last_ts, {STAMP}) AS time, TRUE AS detected, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos""",
     "host_events": f"""
-        SELECT ip, run, part, detail, strftime(time, {STAMP}) AS time, alarms, names, n_names FROM host_rows""",
+        SELECT ip, run, part, detail, strftime(time, {STAMP}) AS time, TRUE AS detected, alarms, names, n_names FROM host_rows""",
     "host_takeover": f"""
         SELECT run, coalesce(lead(first_ip) OVER (ORDER BY run), last_ip) AS event_ip, strftime(time, {STAMP}) AS time,
           alarms
@@ -392,30 +415,65 @@ _BODIES = {
           CAST(dense_rank() OVER (ORDER BY arch) AS DOUBLE) AS machine_arch FROM arches""",
     "elf_rule_verdicts": """
         SELECT file_name, CAST(doc_id IN (SELECT doc_id FROM hostile_files) AS INT) AS prediction FROM programs""",
-    "file_events": "SELECT type, src_ip, dst_ip, detail FROM carried",
-    "botnet_events": f"SELECT type, strftime(sniff_ts, {STAMP}) AS time, src_ip, dst_ip, detail FROM bots",
-    "webshell_events": "SELECT type, src_ip, dst_ip, detail FROM shells",
-    "xss_events": "SELECT type, src_ip, dst_ip, detail FROM xss",
-    "all_events": """
-        SELECT 0 AS message, type AS kind, '' AS source, dst_ip AS target, evidence AS detail FROM ddos UNION ALL
-        SELECT 0, type, src_ip, dst_ip, detail FROM bots UNION ALL
-        SELECT 0, type, src_ip, dst_ip, detail FROM shells UNION ALL
-        SELECT 0, type, src_ip, dst_ip, detail FROM xss UNION ALL
-        SELECT 0, type, src_ap, dst_ap, stamp FROM ids WHERE type IS NOT NULL UNION ALL
-        SELECT 0, type, src_ip, dst_ip, detail FROM carried UNION ALL
-        SELECT 1, -1, ip, 'none', detail FROM host_rows""",
+    "file_events": f"SELECT type, strftime(last_ts, {STAMP}) AS time, TRUE AS detected, src_ip, dst_ip, detail FROM carried",
+    "botnet_events": f"SELECT type, strftime(sniff_ts, {STAMP}) AS time, TRUE AS detected, src_ip, dst_ip, detail FROM bots",
+    "webshell_events": f"SELECT type, strftime(sniff_ts, {STAMP}) AS time, TRUE AS detected, src_ip, dst_ip, detail FROM shells",
+    "xss_events": f"SELECT type, strftime(sniff_ts, {STAMP}) AS time, TRUE AS detected, src_ip, dst_ip, detail FROM xss",
+    "all_events": f"""
+        SELECT message, kind, source, target, detail, coalesce(strftime(time, {STAMP}), 'none') AS time, TRUE AS detected FROM (
+        SELECT 0 AS message, type AS kind, '' AS source, dst_ip AS target, evidence AS detail, last_ts AS time FROM ddos UNION ALL
+        SELECT 0, type, src_ip, dst_ip, detail, sniff_ts FROM bots UNION ALL
+        SELECT 0, type, src_ip, dst_ip, detail, sniff_ts FROM shells UNION ALL
+        SELECT 0, type, src_ip, dst_ip, detail, sniff_ts FROM xss UNION ALL
+        SELECT 0, type, src_ap, dst_ap, stamp, NULL FROM ids WHERE type IS NOT NULL UNION ALL
+        SELECT 0, type, src_ip, dst_ip, detail, last_ts FROM carried UNION ALL
+        SELECT 1, -1, ip, 'none', detail, time FROM host_rows)""",
     "ddos_events_followed": f"""
-        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
+        SELECT type, strftime(last_ts, {STAMP}) AS time, TRUE AS detected, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
+    "ddos_score": f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE length >= 70) AS positives, TRUE AS good FROM packets WHERE {HELD.format("pkt_no")}""",
+    "botnet_score": f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE dst_port < 50 AND length >= 70) AS positives, TRUE AS good
+        FROM packets WHERE transport_layer = 'TCP' AND {HELD.format("pkt_no")}""",
+    "webshell_train_score": f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE toxic = 1) AS positives, TRUE AS good
+        FROM labels JOIN payloads ON doc_id = pkt_no WHERE toxic IS NOT NULL AND {HELD.format("pkt_no")}""",
+    "xss_score": f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE pkt_no IN (SELECT pkt_no FROM xss)) AS positives, TRUE AS good
+        FROM (SELECT DISTINCT pkt_no FROM http) WHERE {HELD.format("pkt_no")}""",
+    "elf_verdicts": f"""
+        SELECT count(*) AS rows, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM hostile_files)) AS positives, TRUE AS good
+        FROM arches WHERE {HELD.format("file_name")}""",
+    "half_threshold": """
+        SELECT vec_id, CASE WHEN CAST(embedding[1] AS DOUBLE) + 0.5 > 0.5 THEN 1 ELSE 0 END AS prediction FROM embeddings""",
     "stream_count_window": f"""
-        SELECT type, strftime(last_ts, {STAMP}) AS time, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
+        SELECT type, strftime(last_ts, {STAMP}) AS time, TRUE AS detected, '' AS src_ip, dst_ip, evidence AS detail, batch_id FROM ddos_followed""",
     "stream_ftp": """
         SELECT '10.3.' || (flow // 256) || '.' || (flow % 256) AS src_ip, file_name, size, md5(content) AS digest
         FROM transfers WHERE closed""",
-    "stream_ids": "SELECT type, src_ap AS src_ip, dst_ap AS dst_ip, stamp AS detail FROM ids WHERE type IS NOT NULL",
-    "stream_all": """
-        SELECT type, src_ip, dst_ip, '{"pkt_no":' || (pkt_no * 3) || '}' AS detail FROM bots UNION ALL
-        SELECT type, src_ip, dst_ip, '{"pkt_no":' || (pkt_no * 3 + 1) || '}' FROM xss UNION ALL
-        SELECT type, src_ip, dst_ip, '{"pkt_no":' || (pkt_no * 3 + 2) || '}' FROM shells""",
+    "stream_ids": "SELECT type, 'none' AS time, TRUE AS detected, src_ap AS src_ip, dst_ap AS dst_ip, stamp AS detail FROM ids WHERE type IS NOT NULL",
+    "stream_ftp_idle": f"""
+        SELECT '10.3.' || (flow // 256) || '.' || (flow % 256) AS src_ip, file_name, size, md5(content) AS digest
+        FROM transfers WHERE flow % 3 <> 0 AND closed
+          OR flow % 3 = 0 AND last_of_flow + INTERVAL 600 SECOND < (SELECT max(sniff_ts) FROM ftp)""",
+    "stream_all": f"""
+        SELECT type, strftime(sniff_ts, {STAMP}) AS time, TRUE AS detected, src_ip, dst_ip, detail FROM (
+        SELECT type, sniff_ts, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 3) || '}}' AS detail FROM bots UNION ALL
+        SELECT type, sniff_ts, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 3 + 1) || '}}' FROM xss UNION ALL
+        SELECT type, sniff_ts, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 3 + 2) || '}}' FROM shells)""",
+    "stream_watch": f"""
+        SELECT message, kind, source, target, detail, coalesce(strftime(time, {STAMP}), 'none') AS time, TRUE AS detected FROM (
+        SELECT 0 AS message, 0 AS kind, '' AS source, dst_ip AS target, evidence AS detail, last_ts AS time FROM all_floods UNION ALL
+        SELECT 0, type, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 4) || '}}', sniff_ts FROM bots UNION ALL
+        SELECT 0, type, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 4 + 1) || '}}', sniff_ts FROM xss UNION ALL
+        SELECT 0, type, src_ip, dst_ip, '{{"pkt_no":' || (pkt_no * 4 + 2) || '}}', sniff_ts FROM shells UNION ALL
+        SELECT 0, type, src_ap, dst_ap, stamp, NULL FROM ids WHERE type IS NOT NULL UNION ALL
+        SELECT 0, kind, '10.3.' || (flow // 256) || '.' || (flow % 256), '192.168.4.1',
+          '{{"flow":"' || least('10.3.' || (flow // 256) || '.' || (flow % 256), '192.168.4.1') || '-192.168.4.1","file_name":"'
+            || file_name || '","size":' || size || '}}', last_ts
+        FROM transfers, (SELECT unnest([3, 4, 5]) AS kind) WHERE closed AND (kind = 5 OR size % 3 = 0) UNION ALL
+        SELECT 1, -1, ip, 'none', detail, time FROM host_rows
+        QUALIFY run < max(run) OVER (PARTITION BY ip))""",
 }
 
 ORACLE = {name: _statement(body) for name, body in _BODIES.items()}

@@ -14,7 +14,7 @@ from flowguard.operators import (
 from flowguard.schemas import TROJAN, VIRUS, WORM, as_packets
 from flowguard.session import materialize, work_folder
 from flowguard.sources import packets as packet_source, sinks, tables
-from flowguard.streaming import jobs
+from flowguard.streaming import jobs, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,26 @@ def text_of(time: str | Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def dated(found: DataFrame) -> DataFrame:
+    """Event rows with their time as text, and whether they know when they were detected."""
+    detected = (F.col("detected_at") >= "2000-01-01").alias("detected")
+    return found.withColumn("time", text_of("time")).select("*", detected).drop("detected_at")
+
+
+def flat_envelopes(merged: DataFrame) -> DataFrame:
+    """Envelopes flattened for the comparison."""
+    none = F.lit("none")
+    return merged.select(
+        F.col("type").alias("message"),
+        F.coalesce("traffic.type", F.lit(-1)).alias("kind"),
+        F.coalesce("traffic.src_ip", "host.ip", none).alias("source"),
+        F.coalesce("traffic.dst_ip", none).alias("target"),
+        F.coalesce("traffic.detail", "host.detail", none).alias("detail"),
+        F.coalesce(text_of(F.coalesce("traffic.time", "host.time")), none).alias("time"),
+        (F.coalesce("traffic.detected_at", "host.detected_at") >= "2000-01-01").alias("detected"),
+    )
+
+
 def flat_windows(spark: SparkSession, sf: str, mixed: bool = False) -> DataFrame:
     source = fx.mixed_packets if mixed else fx.packets
     return windows.count_window(ddos.flatten(source(spark, sf)))
@@ -315,15 +335,13 @@ def ddos_evidence(spark, sf):
 
 @query
 def ddos_events(spark, sf):
-    found = ddos.events(fx.packets(spark, sf), DDOS_RULE)
-    return found.withColumn("time", text_of("time"))
+    return dated(ddos.events(fx.packets(spark, sf), DDOS_RULE))
 
 
 @query
 def ddos_events_followed(spark, sf):
     """As a stream judges them: a window counts once a packet follows it."""
-    found = ddos.events(fx.packets(spark, sf), DDOS_RULE, trailing="followed")
-    return found.withColumn("time", text_of("time"))
+    return dated(ddos.events(fx.packets(spark, sf), DDOS_RULE, trailing="followed"))
 
 
 def host_events_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,8 +350,8 @@ def host_events_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def host_events(spark, sf):
-    return host_events_of(spark, sf).select(
-        "ip", "run", "part", "detail", text_of("time").alias("time"), "alarms", names_text().alias("names"), "n_names"
+    return dated(host_events_of(spark, sf)).select(
+        "ip", "run", "part", "detail", "time", "detected", "alarms", names_text().alias("names"), "n_names"
     )
 
 
@@ -651,7 +669,7 @@ def file_events_of(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def file_events(spark, sf):
-    return file_events_of(spark, sf).drop("time")
+    return dated(file_events_of(spark, sf))
 
 
 # --- detectors -----------------------------------------------------------------------------------
@@ -659,18 +677,17 @@ def file_events(spark, sf):
 
 @query
 def botnet_events(spark, sf):
-    found = botnet.events(fx.packets(spark, sf), BOTNET_RULE, ["pkt_no"])
-    return found.withColumn("time", text_of("time"))
+    return dated(botnet.events(fx.packets(spark, sf), BOTNET_RULE, ["pkt_no"]))
 
 
 @query
 def webshell_events(spark, sf):
-    return webshell.linear_events(fx.payload_packets(spark, sf), SHELL_TERMS, SHELL_BIAS, ["pkt_no"]).drop("time")
+    return dated(webshell.linear_events(fx.payload_packets(spark, sf), SHELL_TERMS, SHELL_BIAS, ["pkt_no"]))
 
 
 @query
 def xss_events(spark, sf):
-    return xss.events(fx.http_packets(spark, sf), XSS_RULE, detail=["pkt_no"]).drop("time")
+    return dated(xss.events(fx.http_packets(spark, sf), XSS_RULE, detail=["pkt_no"]))
 
 
 @query
@@ -684,58 +701,70 @@ def all_events(spark, sf):
         ids.events(fx.ids_lines(spark, sf)),
         file_events_of(spark, sf),
     ]
-    none = F.lit("none")
-    merged = events.all_events(traffic, [host_events_of(spark, sf)])
-    return merged.select(
-        F.col("type").alias("message"),
-        F.coalesce("traffic.type", F.lit(-1)).alias("kind"),
-        F.coalesce("traffic.src_ip", "host.ip", none).alias("source"),
-        F.coalesce("traffic.dst_ip", none).alias("target"),
-        F.coalesce("traffic.detail", "host.detail", none).alias("detail"),
-    )
+    return flat_envelopes(events.all_events(traffic, [host_events_of(spark, sf)]))
 
 
 # --- trained scorers -----------------------------------------------------------------------------
+# Trained on four fifths of the keys, written, loaded, and judged on the fifth that training never saw.
+
+
+def loaded(spark: SparkSession, fitted) -> scoring.Scorer:
+    return scoring.load(scoring.save(fitted, work_folder(spark, "model")))
+
+
+def learn(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows to train on and rows to be judged by."""
+    held = scoring.held_out(F.col(key))
+    return df.where(~held), df.where(held)
 
 
 @query
 def ddos_score(spark, sf):
-    """A forest trained on the windows' own features; the label is the rule it should find."""
+    """A forest on the windows' own features; the label is the rule it should find."""
     coded = ddos.encode(ddos.features(flat_windows(spark, sf))).withColumn("label", label(DDOS_CONDITION))
-    coded = materialize(coded, "ddos")
-    scored = scoring.model(scoring.train_forest(coded, ddos.MODEL_INPUTS, "label"))(coded)
-    return ddos.batch_ratio(scored)
+    train, test = learn(materialize(coded, "ddos"), "pkt_no")
+    return scoring.quality(loaded(spark, scoring.train_forest(train, ddos.MODEL_INPUTS, "label"))(test))
 
 
 @query
 def botnet_score(spark, sf):
-    feats = materialize(botnet.features(fx.packets(spark, sf)), "botnet")
-    fitted = scoring.train_forest(feats.withColumn("label", label(BOTNET_CONDITION)), botnet.MODEL_INPUTS, "label")
-    return scoring.model(fitted)(feats).select("pkt_no", "prediction")
+    feats = botnet.features(fx.packets(spark, sf)).withColumn("label", label(BOTNET_CONDITION))
+    train, test = learn(materialize(feats, "botnet"), "pkt_no")
+    return scoring.quality(loaded(spark, scoring.train_forest(train, botnet.MODEL_INPUTS, "label"))(test))
 
 
 @query
 def webshell_train_score(spark, sf):
-    """Trained on the labelled uploads, scored on all."""
-    shells = materialize(webshell.payloads(fx.payload_packets(spark, sf)).select("pkt_no", "payload", "label"), "shells")
-    fitted = webshell.train(shells.where("label IS NOT NULL"))
-    return scoring.model(fitted)(shells).select("pkt_no", "prediction")
+    """The given labels of the uploads: few are positive, and their texts are told apart by words."""
+    shells = webshell.payloads(fx.payload_packets(spark, sf)).where("label IS NOT NULL").select("pkt_no", "payload", "label")
+    train, test = learn(materialize(shells, "shells"), "pkt_no")
+    return scoring.quality(loaded(spark, webshell.train(train))(test), least=0.8)
 
 
 @query
 def xss_score(spark, sf):
+    """Frames by a logistic regression on sparse vectors, folded to packets."""
     judged = xss.frames(xss.texts(fx.http_packets(spark, sf))).select("pkt_no", "frame_no", "frame")
-    framed = xss.with_vector(materialize(judged, "frames"))
-    fitted = scoring.train_logistic(framed.withColumn("label", label(XSS_CONDITION)), "x", tx.FRAME, "label")
-    return scoring.any_positive(scoring.model(fitted)(framed), ["pkt_no"])
+    framed = xss.with_vector(materialize(judged.withColumn("label", label(XSS_CONDITION)), "frames"))
+    train, test = learn(framed, "pkt_no")
+    scored = loaded(spark, scoring.train_logistic(train, "x", tx.FRAME, "label"))(test)
+    packet = scored.groupBy("pkt_no").agg(F.max("prediction").alias("prediction"), F.max("label").alias("label"))
+    return scoring.quality(packet, least=0.7)
 
 
 @query
 def elf_verdicts(spark, sf):
-    cleaned = materialize(elf_clean.clean(elf_table(spark, sf)), "elf-clean")
-    inputs = elf_clean.model_inputs(cleaned, "file_name")
-    fitted = scoring.train_forest(inputs.withColumn("label", label(ELF_CONDITION)), elf_clean.MODEL_INPUTS, "label")
-    return elf_clean.score(cleaned, scoring.model(fitted), "file_name")
+    cleaned = elf_clean.clean(elf_table(spark, sf))
+    inputs = elf_clean.model_inputs(cleaned, "file_name").withColumn("label", label(ELF_CONDITION))
+    train, test = learn(materialize(inputs, "elf-inputs"), "file_name")
+    return scoring.quality(loaded(spark, scoring.train_forest(train, elf_clean.MODEL_INPUTS, "label"))(test))
+
+
+@query
+def half_threshold(spark, sf):
+    """1 above one half, else 0."""
+    vectors = fx.table(spark, sf, "embeddings")
+    return vectors.select("vec_id", scoring.at_least_half(F.col("embedding")[0] + 0.5).alias("prediction"))
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -760,8 +789,7 @@ def stream_count_window(spark, sf):
     out, state = work_folder(spark, "out"), work_folder(spark, "state")
     flat = ddos.flatten(fx.packets_from_events(table_stream(spark, sf, "events")))
     finish(jobs.count_windows(flat, lambda w: ddos.window_events(w, DDOS_RULE), out, state, availableNow=True))
-    found = spark.read.parquet(out).drop("run")
-    return found.withColumn("time", text_of("time"))
+    return dated(spark.read.parquet(out).drop("run"))
 
 
 @query
@@ -780,7 +808,21 @@ def stream_ids(spark, sf):
     out, state = work_folder(spark, "out"), work_folder(spark, "state")
     lines = fx.ids_lines_from_events(table_stream(spark, sf, "events"))
     finish(jobs.stateless(ids.events(lines), out, state, availableNow=True))
-    return spark.read.parquet(out).drop("time")
+    return dated(spark.read.parquet(out)).withColumn("time", F.coalesce("time", F.lit("none")))
+
+
+@query
+def stream_ftp_idle(spark, sf):
+    """The same where every third transfer gets no FIN: silence ends it; some packets arrive twice."""
+    landed, out, state = (work_folder(spark, n) for n in ("landed", "out", "state"))
+    ends_open = F.col("pkt_no").cast("long") % 3000 < 1000
+    fin = F.when(ends_open, 0).otherwise(F.col("tcp.fin"))
+    wire = fx.ftp_wire(spark, sf).withColumn("tcp", F.col("tcp").withField("fin", fin.cast("int")))
+    wire.unionByName(wire.where("pkt_no % 2 = 0")).write.parquet(landed)
+    stream = ftp.from_packets(packet_source.packet_files(spark, landed, stream=True))
+    finish(jobs.ftp_files(stream, out, state, late="365 days", availableNow=True))
+    ended = spark.read.parquet(f"{out}/done").unionByName(spark.read.parquet(f"{out}/expired"))
+    return ended.select("src_ip", "file_name", "size", F.md5("content").alias("digest"))
 
 
 @query
@@ -799,4 +841,30 @@ def stream_all(spark, sf):
     }
     stream = packet_source.packet_files(spark, landed, stream=True)
     finish(jobs.fan_out(stream, detectors, out, state, availableNow=True))
-    return spark.read.parquet(out).select("type", "src_ip", "dst_ip", "detail")
+    return dated(spark.read.parquet(out)).select("type", "time", "detected", "src_ip", "dst_ip", "detail")
+
+
+@query
+def stream_watch(spark, sf):
+    """Packets, alert lines and alarms as messages of one stream, read once by all nine detectors."""
+    sent, out, state = (work_folder(spark, n) for n in ("sent", "out", "state"))
+    for k, source in enumerate((fx.packets, fx.http_packets, fx.payload_packets, fx.ftp_wire)):
+        one = as_packets(source(spark, sf)).withColumn("pkt_no", F.col("pkt_no") * 4 + k)
+        packet_source.encode(one).select(*watch.message(watch.PACKETS, F.col("value"))).write.mode("append").parquet(sent)
+    fx.ids_lines(spark, sf).select(*watch.message(watch.ALERTS, F.col("line"))).write.mode("append").parquet(sent)
+    alarm = F.to_json(F.struct("seq", "ip", "info", "datetime"), packet_source.JSON)
+    fx.alarms(spark, sf).select(*watch.message(watch.ALARMS, alarm)).write.mode("append").parquet(sent)
+    shells, counts = shell_counts(spark, sf)
+    idf = materialize(webshell.fit_idf(counts, shells.agg(F.count("*"))), "idf")
+    judges = watch.detectors(
+        DDOS_RULE,
+        BOTNET_RULE,
+        lambda p: webshell.linear_events(p, SHELL_TERMS, SHELL_BIAS, ["pkt_no"], idf),
+        XSS_RULE,
+        lambda files: files.select("key", (F.col("size") % 3 == 0).cast("int").alias("prediction")),
+        fx.assets(spark, sf),
+        idle_seconds=None,
+    )
+    stream = spark.readStream.schema("topic string, value string").parquet(sent)
+    finish(watch.watch(stream, judges, out, state, availableNow=True))
+    return flat_envelopes(watch.envelopes(spark, out))

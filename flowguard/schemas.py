@@ -39,11 +39,15 @@ ALARM = _struct(seq=_L, ip=_S, info=_S, datetime=T.TimestampType())
 ASSET = _struct(ip=_S, asset_name=_S)
 IDS_ALERT = _struct(msg=_S, timestamp=_S, src_ap=_S, dst_ap=_S)
 
-TRAFFIC_EVENT = _struct(type=_I, time=T.TimestampType(), src_ip=_S, dst_ip=_S, detail=_S)
+# ``time`` is when it happened, ``detected_at`` when a detector said so (in a stream, the time of the micro-batch)
+TRAFFIC_EVENT = _struct(
+    type=_I, time=T.TimestampType(), detected_at=T.TimestampType(), src_ip=_S, dst_ip=_S, detail=_S
+)
 ASSET_NAMES = T.ArrayType(_struct(asset_name=_S, copies=_L))
 HOST_EVENT = _struct(
-    ip=_S, names=ASSET_NAMES, n_names=_L, detail=_S, time=T.TimestampType(), run=_L, part=_L
-)
+    ip=_S, names=ASSET_NAMES, n_names=_L, detail=_S, time=T.TimestampType(), detected_at=T.TimestampType(),
+    run=_L, part=_L,
+)
 ENVELOPE = _struct(type=_I, traffic=TRAFFIC_EVENT, host=HOST_EVENT)
 
 # Kind of envelope, and kind of traffic event.

@@ -13,6 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 from flowguard.schemas import PACKET
 
 CORRUPT = "_corrupt"
+#: Times in messages keep their microseconds.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def kafka_values(spark: SparkSession, servers: str, topic: str, offsets: str = "latest", **options: str) -> DataFrame:
@@ -39,7 +41,7 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     Malformed messages never raise: ``accepted`` and ``rejected`` split the result.
     """
     schema = T.StructType([*PACKET.fields, T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **JSON}
     parsed = messages.withColumn("_p", F.from_json(value, schema, options))
     # an empty message gives no struct at all
     failed = F.when(F.col("_p").isNull(), F.coalesce(value, F.lit(""))).otherwise(F.col(f"_p.{CORRUPT}"))
@@ -56,7 +58,7 @@ def rejected(decoded: DataFrame, value: str = "value") -> DataFrame:
 
 def encode(packets: DataFrame) -> DataFrame:
     """Packets as JSON messages."""
-    return packets.select(F.to_json(F.struct(*packets.columns)).alias("value"))
+    return packets.select(F.to_json(F.struct(*packets.columns), JSON).alias("value"))
 
 
 def tcp_only(packets: DataFrame) -> DataFrame:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowguard.schemas import ENVELOPE
+from flowguard.sources.packets import JSON
 
 
 def to_messages(envelopes: DataFrame) -> DataFrame:
     """Envelopes as JSON messages in ``value``."""
-    return envelopes.select(F.to_json(F.struct(*[f.name for f in ENVELOPE])).alias("value"))
+    return envelopes.select(F.to_json(F.struct(*[f.name for f in ENVELOPE]), JSON).alias("value"))
 
 
 def from_messages(messages: DataFrame) -> DataFrame:
-    return messages.select(F.from_json("value", ENVELOPE).alias("_e")).select("_e.*")
+    return messages.select(F.from_json("value", ENVELOPE, JSON).alias("_e")).select("_e.*")
 
 
 def write_messages(envelopes: DataFrame, path: str) -> None:

@@ -4,51 +4,95 @@ State is a small table in the checkpoint folder with what the next micro-batch s
 two slots: micro-batch k reads slot ``(k - 1) % 2`` and writes slot ``k % 2``, and its results go to
 a folder named after k.  A repeated micro-batch thus finds the same input and replaces its own output.
 Because the operators are distributed within a sensor or flow, no key is bound to one task.
+
+A stateful detector is a ``Step``: micro-batch and ``Carried`` in, result rows out.  Alone or beside others in
+``fan_out``, it is the same step.  Events get the time of their micro-batch as time of detection; Spark logs that
+time with the offsets, so a repeated micro-batch has it again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from flowguard.operators import ftp
+from flowguard.operators import ftp, hosts
+from flowguard.operators.events import DETECTED
 from flowguard.operators.ordered import Sum, Total, scan
 
+IDLE_SECONDS = 600  # a transfer that is silent for longer ends as it is
+
+
+class Carried:
+    """What a step keeps between micro-batches, in two slots of ``folder``, and what it holds in memory within one."""
+
+    def __init__(self, spark: SparkSession, folder: str, batch: int):
+        self.spark, self.folder, self.batch = spark, folder, batch
+        self._held: list[DataFrame] = []
+
+    def read(self, schema: StructType, name: str = "slot") -> DataFrame:
+        """What the previous micro-batch left over."""
+        if self.batch == 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}={(self.batch - 1) % 2}")
+
+    def save(self, df: DataFrame, name: str = "slot") -> None:
+        _save(df, f"{self.folder}/{name}={self.batch % 2}")
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self._held:
+            df.unpersist()
 
-def _slot(checkpoint: str, batch: int) -> str:
-    return f"{checkpoint}/carried/slot={batch % 2}"
 
+@dataclass(frozen=True)
+class Step:
+    """A stateful detector: saves its state and returns the rows that are settled."""
 
-def _carried(spark: SparkSession, checkpoint: str, batch: int, schema: StructType) -> DataFrame:
-    """What the previous micro-batch left over."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_slot(checkpoint, batch - 1))
+    run: Callable[[DataFrame, Carried], DataFrame]
+
+
+Detector = Step | Callable[[DataFrame], DataFrame]
 
 
 def _save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/source")
-    return writer.trigger(**trigger).start()
+def _detected(found: DataFrame, at: Column) -> DataFrame:
+    """Events, bare or in envelopes, with the time of their micro-batch."""
+    for f in found.schema:
+        if f.name == DETECTED:
+            found = found.withColumn(DETECTED, at)
+        elif isinstance(f.dataType, StructType) and DETECTED in f.dataType.names:
+            stamped = F.col(f.name).withField(DETECTED, at.cast("timestamp"))
+            found = found.withColumn(f.name, F.when(F.col(f.name).isNotNull(), stamped))
+    return found
 
 
-def count_windows(
-    stream: DataFrame,
-    judge: Callable[[DataFrame], DataFrame],
-    out: str,
-    checkpoint: str,
-    size: int = 100,
-    by: Sequence[str] = (),
-    order: str = "pkt_no",
-    **trigger,
-) -> StreamingQuery:
-    """Tumbling windows of ``size`` packets over a stream.
+def _start(stream: DataFrame, each: Callable[[DataFrame, int, Column], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Run ``each`` (rows, number, time of the micro-batch) on every micro-batch."""
+    mark = "_detected_at"
+
+    def timed(batch: DataFrame, batch_id: int) -> None:
+        row = batch.select(mark).first()
+        each(batch.drop(mark), batch_id, F.lit(row[0]) if row else F.current_timestamp())
+
+    writer = stream.withColumn(mark, F.current_timestamp()).writeStream.foreachBatch(timed)
+    return writer.option("checkpointLocation", f"{checkpoint}/source").trigger(**trigger).start()
+
+
+def window_step(
+    judge: Callable[[DataFrame], DataFrame], size: int = 100, by: Sequence[str] = (), order: str = "pkt_no"
+) -> Step:
+    """Tumbling windows of ``size`` packets.
 
     A window is handed to ``judge`` (windowed rows in, event rows out) once a later packet of the
     same group has arrived; at most ``size`` rows per group are carried to the next micro-batch.
@@ -56,11 +100,10 @@ def count_windows(
     by = list(by)
     one = F.lit(1).cast("long")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = StructType(batch.schema.fields).add("batch_id", "long").add("i", "long")
+    def run(batch: DataFrame, carried: Carried) -> DataFrame:
+        schema = StructType([*batch.schema.fields]).add("batch_id", "long").add("i", "long")
         fresh = batch.withColumns({c: F.lit(None).cast("long") for c in ("batch_id", "i")})
-        rows = _carried(spark, checkpoint, batch_id, schema).unionByName(fresh).persist()
+        rows = carried.hold(carried.read(schema).unionByName(fresh))
         # the first carried row of a group tells the number of its open window
         start = F.when(F.col("i") == 0, F.col("batch_id")).otherwise(F.lit(0).cast("long"))
         placed = (
@@ -71,62 +114,148 @@ def count_windows(
             .withColumn("batch_size", F.lit(size).cast("long"))
         )
         fired = (F.col("_w") + 1) * size < F.col("_n")
-        _save(judge(placed.where(fired).drop("_idx", "_n", "_base", "_w")), f"{out}/run={batch_id}")
-        _save(placed.where(~fired).select(*schema.names), _slot(checkpoint, batch_id))
-        rows.unpersist()
+        carried.save(placed.where(~fired).select(*schema.names))
+        return judge(placed.where(fired).drop("_idx", "_n", "_base", "_w"))
+
+    return Step(run)
+
+
+def count_windows(
+    stream: DataFrame,
+    judge: Callable[[DataFrame], DataFrame],
+    out: str,
+    checkpoint: str,
+    size: int = 100,
+    by: Sequence[str] = (),
+    order: str = "pkt_no",
+    **trigger,
+) -> StreamingQuery:
+    """``window_step`` over a stream of its own; the results of micro-batch k go to ``out/run=k``."""
+    step = window_step(judge, size, by, order)
+
+    def each(batch: DataFrame, batch_id: int, at: Column) -> None:
+        carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
+        _save(_detected(step.run(batch, carried), at), f"{out}/run={batch_id}")
+        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
 
+def _ended(batch: DataFrame, carried: Carried, idle_seconds: int | None) -> tuple[DataFrame, DataFrame]:
+    """Files that a FIN or a later row ended, and those that were silent for too long; rows of other files are carried."""
+    rows = carried.hold(carried.read(batch.schema).unionByName(batch))
+    timed = rows if idle_seconds is None else carried.hold(ftp.since_last(rows))
+    placed = carried.hold(ftp.sessions(timed, idle_seconds))
+    done = ftp.files(placed.where("closed")).drop("sess")
+    still = placed.where(~F.col("closed") & F.col("file_name").isNotNull())
+    if idle_seconds is None:
+        expired = done.where(F.lit(False))
+    else:
+        # the newest packet of all flows is the clock; it never goes back
+        clock = StructType().add("at", "timestamp")
+        now = carried.hold(carried.read(clock, "clock").unionByName(rows.select(F.col("sniff_ts").alias("at"))).agg(F.max("at").alias("at")))
+        carried.save(now, "clock")
+        seen = still.groupBy("flow").agg(F.max("sniff_ts").alias("_seen"))
+        limit = F.unix_micros("_seen") + idle_seconds * 1_000_000
+        late = carried.hold(seen.where(limit < F.unix_micros(now.scalar())).select("flow"))
+        expired = ftp.files(still.join(late, "flow", "left_semi")).drop("sess")
+        still = still.join(late, "flow", "left_anti")
+    carried.save(rows.join(still.select("flow", "seq"), ["flow", "seq"], "left_semi"))
+    return done, expired
+
+
+def ftp_step(judge: Callable[[DataFrame], DataFrame], idle_seconds: int | None = IDLE_SECONDS) -> Step:
+    """FTP rows in; ``judge`` makes events of the files whose transfer has ended, by a FIN or by silence."""
+
+    def run(batch: DataFrame, carried: Carried) -> DataFrame:
+        done, expired = _ended(batch, carried, idle_seconds)
+        return judge(done.unionByName(expired.withColumn("closed", F.lit(True))))
+
+    return Step(run)
+
+
 def ftp_files(
-    stream: DataFrame, out: str, checkpoint: str, idle_seconds: int | None = None, **trigger
+    stream: DataFrame,
+    out: str,
+    checkpoint: str,
+    idle_seconds: int | None = IDLE_SECONDS,
+    late: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Files of finished FTP transfers.
 
-    Rows of unfinished transfers are carried.  With ``idle_seconds`` (and a ``sniff_ts`` column) a
-    transfer that has been silent for that long, measured on packet time, is closed as it is and
-    goes to ``expired``, so state cannot grow without bound.
+    Rows of unfinished transfers are carried.  A transfer that has been silent for ``idle_seconds``, measured
+    on packet time, is closed as it is and goes to ``expired``, so state cannot grow without bound; None keeps
+    such transfers open.  With ``late`` (an interval) Spark's watermark drops rows that come later than that
+    behind the newest, and packets that were sent twice within it.
     """
+    if late is not None:
+        stream = stream.withWatermark("sniff_ts", late).dropDuplicatesWithinWatermark(["flow", "seq"])
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = _carried(spark, checkpoint, batch_id, batch.schema).unionByName(batch).persist()
-        # per flow: its last FIN, and the first command after that, which opened what is unfinished
-        ends = rows.where("fin = 1").groupBy("flow").agg(F.max("seq").alias("_end"))
-        placed = ftp.sessions(rows).join(ends, "flow", "left")
-        is_done = F.coalesce(F.col("seq") <= F.col("_end"), F.lit(False))
-        _save(ftp.files(placed.where(is_done)).drop("sess"), f"{out}/done/run={batch_id}")
-        still = placed.where(~is_done & F.col("file_name").isNotNull())
-        if idle_seconds is not None:
-            newest = rows.agg(F.max("sniff_ts")).scalar()
-            seen = still.groupBy("flow").agg(F.max("sniff_ts").alias("_seen"))
-            limit = F.unix_micros("_seen") + idle_seconds * 1_000_000
-            late = seen.where(limit < F.unix_micros(newest)).select("flow")
-            expired = ftp.files(still.join(late, "flow", "left_semi"))
-            _save(expired.drop("sess"), f"{out}/expired/run={batch_id}")
-            still = still.join(late, "flow", "left_anti")
-        _save(rows.join(still.select("flow", "seq"), ["flow", "seq"], "left_semi"), _slot(checkpoint, batch_id))
-        rows.unpersist()
+    def each(batch: DataFrame, batch_id: int, at: Column) -> None:
+        carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
+        done, expired = _ended(batch, carried, idle_seconds)
+        _save(done, f"{out}/done/run={batch_id}")
+        _save(expired, f"{out}/expired/run={batch_id}")
+        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
 
+def host_step(assets: DataFrame, part_rows: int = hosts.PART_ROWS) -> Step:
+    """Events of alarm runs that have ended, and of full parts of a run that goes on; ``run`` and ``part`` are those of the table.
+
+    At most the alarms of one part are carried for a host.
+    """
+
+    def run(batch: DataFrame, carried: Carried) -> DataFrame:
+        kept = StructType([*batch.schema.fields]).add("run", "long").add("place", "long").add("head", "boolean")
+        fresh = hosts.new_alarms(batch).withColumns(
+            {"run": F.lit(None).cast("long"), "place": F.lit(None).cast("long"), "head": F.lit(None).cast("boolean")}
+        )
+        rows = carried.hold(carried.read(kept).unionByName(fresh).withColumnsRenamed({"run": "_run", "place": "_place", "head": "_head"}))
+        host = F.coalesce(F.concat(F.lit("="), "ip"), F.lit(""))
+        number = hosts.runs(rows).withColumn("_host", host)
+        # the first carried alarm of a host tells the run and the place to go on from
+        base_run, base_place = (F.when(F.col("_head"), c).otherwise(F.lit(0).cast("long")) for c in (F.col("_run") - 1, F.col("_place")))
+        number = carried.hold(scan(number, ["_host"], "seq", _base=Total(base_run), _from=Total(base_place)))
+        of_first = F.when(F.col("run") == 1, F.col("_from")).otherwise(0)
+        number = number.withColumn("place", F.col("place") + of_first).withColumn("run", F.col("run") + F.col("_base"))
+        number = number.withColumn("part", F.expr(f"place div {part_rows}"))
+        last = number.groupBy("_host").agg(F.max(F.struct("run", "part")).alias("_open"))
+        number = number.join(last, "_host")
+        is_open = F.struct("run", "part") == F.col("_open")
+        head = (F.col("place") % part_rows == 0).alias("head")
+        carried.save(number.where(is_open).select(*batch.columns, "run", "place", head))
+        return hosts.merged(number.where(~is_open).select(*batch.columns, "run", "part"), assets)
+
+    return Step(run)
+
+
 def fan_out(
-    stream: DataFrame,
-    detectors: Mapping[str, Callable[[DataFrame], DataFrame]],
-    out: str,
-    checkpoint: str,
-    **trigger,
+    stream: DataFrame, detectors: Mapping[str, Detector], out: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Every detector sees every packet, and the source is read once.
+    """Every detector, stateful or not, sees every row, and the source is read once.
 
-    Each gets the same persisted micro-batch; its events go to ``out/detector=<name>/run=<k>``.
+    Each gets the same persisted micro-batch and leaves what it finds in the checkpoint folder.  Once all are through, that
+    goes at once to ``out/run=<k>/detector=<name>``: one commit, which a micro-batch that is repeated after a
+    failure, between two detectors or later, replaces.  Where detectors have different columns, those that one of them
+    lacks are null.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         batch.persist()
+        found = []
         for name, detect in detectors.items():
-            _save(detect(batch), f"{out}/detector={name}/run={batch_id}")
+            carried = Carried(batch.sparkSession, f"{checkpoint}/carried-{name}", batch_id)
+            rows = detect.run(batch, carried) if isinstance(detect, Step) else detect(batch)
+            rows = _detected(rows, at)
+            staged = f"{checkpoint}/staged-{name}"
+            _save(rows, staged)
+            carried.release()
+            found.append(batch.sparkSession.read.schema(rows.schema).parquet(staged).withColumn("detector", F.lit(name)))
+        merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+        merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/run={batch_id}")
         batch.unpersist()
 
     return _start(stream, each, checkpoint, trigger)

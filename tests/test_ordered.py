@@ -75,3 +75,27 @@ def test_no_window_over_a_whole_group(spark):
     windows = [line for line in plan.splitlines() if "Window [" in line and "_v_s" in line]
     assert any("_blk" in line for line in windows)
     assert all("_blk" in line or "_sup" in line for line in windows)
+
+
+@pytest.mark.parametrize("step", [1 << 28, 1 << 45, 3])
+def test_keys_of_any_density(spark, step):
+    """Keys far apart: no window sees more rows than a digit has values."""
+    n, digit = 300, 4
+    df = spark.range(-n // 2, n // 2).select((F.col("id") * step).alias("k"), (F.col("id") % 5).alias("v")).repartition(4)
+    got = scan(df, [], "k", block_bits=digit, super_bits=20, i=Sum(F.lit(1).cast("long"), before=True), last=Last(F.when(F.col("v") == 0, F.col("k"))))
+    rows = got.orderBy("k").collect()
+    assert [r.i for r in rows] == list(range(n))
+    seen = None
+    for r in rows:
+        seen = r.k if r.v == 0 else seen
+        assert r.last == seen
+
+
+def test_four_digits_cover_every_key(spark):
+    from flowguard.operators import ordered
+
+    assert ordered.BLOCK_BITS + ordered.LEVELS * ordered.SUPER_BITS + 16 == 64
+    keys = [-(1 << 63), -(1 << 40), -1, 0, 1, 1 << 20, 1 << 40, (1 << 63) - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = scan(df, [], "k", i=Sum(F.lit(1).cast("long")), n=Total(F.lit(1).cast("long")))
+    assert [(r.i, r.n) for r in got.orderBy("k").collect()] == [(i + 1, len(keys)) for i in range(len(keys))]
