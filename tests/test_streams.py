@@ -170,20 +170,6 @@ def test_silence_ends_a_file_in_a_table(spark):
     assert any("late" in r.content for r in ftp.files(ftp.sessions(frame)).collect())
 
 
-def test_idle_close_does_not_depend_on_micro_batches(spark, feed, tmp_path):
-    a = transfer("a", 0, "xy", fin=False)
-    late = [("a", 900, T0 + timedelta(seconds=900), None, None, "h\n.late###\n", 0)]
-    b = transfer("b", 2000, "k")
-    out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    for rows in (a[:2], a[1:] + late, b):  # the second micro-batch brings a packet again
-        stream = spark.readStream.schema(FTP).parquet(feed(rows, FTP))
-        run(jobs.ftp_files(stream, out, state, late="1 hour", availableNow=True))
-    ended = spark.read.parquet(f"{out}/done").unionByName(spark.read.parquet(f"{out}/expired"))
-    assert sorted((r.file_name, r.content) for r in ended.collect()) == [("a0", "x#\ny#\n"), ("b2000", "k#\n")]
-    slots = [spark.read.parquet(f"{state}/carried/slot={k}").count() for k in (0, 1)]
-    assert 0 in slots  # nothing is left open
-
-
 def test_all_detectors_survive_a_failure_between_them(spark, feed, tmp_path, monkeypatch):
     """A repeated micro-batch replaces its events, finds its state again, and keeps its time of detection."""
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
