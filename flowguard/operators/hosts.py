@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from flowguard.operators.events import detected
@@ -16,11 +18,11 @@ def new_alarms(alarms: DataFrame) -> DataFrame:
     return alarms.where(F.col("info").startswith(NEW_ALARM))
 
 
-def runs(alarms: DataFrame) -> DataFrame:
+def runs(alarms: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Number the runs of equal consecutive ``datetime`` of each host, in ``seq`` order.
 
     Adds ``run`` (from 1) and ``place`` (from 0) within the run. Alarms without an address are a host
-    of their own.
+    of their own.  ``keep`` may hold what lies between the two scans, which read it several times.
     """
     host = F.coalesce(F.concat(F.lit("="), "ip"), F.lit(""))
     seen = scan(
@@ -31,7 +33,7 @@ def runs(alarms: DataFrame) -> DataFrame:
     starts = F.col("_before").isNull() | ~F.col("_before.datetime").eqNullSafe(F.col("datetime"))
     return (
         scan(
-            seen, ["_host"], "seq",
+            keep(seen), ["_host"], "seq",
             run=Sum(starts.cast("long")),
             _first=Last(F.when(starts, F.col("_idx"))),
         )

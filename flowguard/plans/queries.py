@@ -789,7 +789,7 @@ def stream_count_window(spark, sf):
     out, state = work_folder(spark, "out"), work_folder(spark, "state")
     flat = ddos.flatten(fx.packets_from_events(table_stream(spark, sf, "events")))
     finish(jobs.count_windows(flat, lambda w: ddos.window_events(w, DDOS_RULE), out, state, availableNow=True))
-    return dated(spark.read.parquet(out).drop("run"))
+    return dated(spark.read.parquet(out).drop(jobs.FOLDER))
 
 
 @query

@@ -25,6 +25,7 @@ from flowguard.operators.events import DETECTED
 from flowguard.operators.ordered import Sum, Total, scan
 
 IDLE_SECONDS = 600  # a transfer that is silent for longer ends as it is
+FOLDER = "micro_batch"  # a column of what is read back, so no event may have one of this name
 
 
 class Carried:
@@ -130,12 +131,12 @@ def count_windows(
     order: str = "pkt_no",
     **trigger,
 ) -> StreamingQuery:
-    """``window_step`` over a stream of its own; the results of micro-batch k go to ``out/run=k``."""
+    """``window_step`` over a stream of its own; the results of micro-batch k go to ``out/micro_batch=k``."""
     step = window_step(judge, size, by, order)
 
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
-        _save(_detected(step.run(batch, carried), at), f"{out}/run={batch_id}")
+        _save(_detected(step.run(batch, carried), at), f"{out}/{FOLDER}={batch_id}")
         carried.release()
 
     return _start(stream, each, checkpoint, trigger)
@@ -195,8 +196,8 @@ def ftp_files(
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
         done, expired = _ended(batch, carried, idle_seconds)
-        _save(done, f"{out}/done/run={batch_id}")
-        _save(expired, f"{out}/expired/run={batch_id}")
+        _save(done, f"{out}/done/{FOLDER}={batch_id}")
+        _save(expired, f"{out}/expired/{FOLDER}={batch_id}")
         carried.release()
 
     return _start(stream, each, checkpoint, trigger)
@@ -215,7 +216,7 @@ def host_step(assets: DataFrame, part_rows: int = hosts.PART_ROWS) -> Step:
         )
         rows = carried.hold(carried.read(kept).unionByName(fresh).withColumnsRenamed({"run": "_run", "place": "_place", "head": "_head"}))
         host = F.coalesce(F.concat(F.lit("="), "ip"), F.lit(""))
-        number = hosts.runs(rows).withColumn("_host", host)
+        number = carried.hold(hosts.runs(rows, carried.hold).withColumn("_host", host))
         # the first carried alarm of a host tells the run and the place to go on from
         base_run, base_place = (F.when(F.col("_head"), c).otherwise(F.lit(0).cast("long")) for c in (F.col("_run") - 1, F.col("_place")))
         number = carried.hold(scan(number, ["_host"], "seq", _base=Total(base_run), _from=Total(base_place)))
@@ -238,7 +239,7 @@ def fan_out(
     """Every detector, stateful or not, sees every row, and the source is read once.
 
     Each gets the same persisted micro-batch and leaves what it finds in the checkpoint folder.  Once all are through, that
-    goes at once to ``out/run=<k>/detector=<name>``: one commit, which a micro-batch that is repeated after a
+    goes at once to ``out/micro_batch=<k>/detector=<name>``: one commit, which a micro-batch that is repeated after a
     failure, between two detectors or later, replaces.  Where detectors have different columns, those that one of them
     lacks are null.
     """
@@ -255,7 +256,7 @@ def fan_out(
             carried.release()
             found.append(batch.sparkSession.read.schema(rows.schema).parquet(staged).withColumn("detector", F.lit(name)))
         merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
-        merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/run={batch_id}")
+        merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/{FOLDER}={batch_id}")
         batch.unpersist()
 
     return _start(stream, each, checkpoint, trigger)

@@ -94,7 +94,7 @@ def detectors(
 
 
 def watch(messages: DataFrame, judges: dict[str, Detector], out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Envelopes of all events of a stream of messages; micro-batch k is one commit, ``out/run=k``."""
+    """Envelopes of all events of a stream of messages; micro-batch k is one commit, ``out/micro_batch=k``."""
     return fan_out(decoded(messages), judges, out, checkpoint, **trigger)
 
 
