@@ -53,8 +53,12 @@ SUFFIX = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es"
 #: Letters stay, everything else is a space; bytes above ASCII are letters.
 _LETTER = np.where((np.arange(256) >= 128) | (np.arange(256) >= 97) & (np.arange(256) < 123), LOWER, 32).astype(np.uint8)
 _LETTER[65:91] = LOWER[65:91]
-HIDDEN = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&[a-z0-9#]{1,10};")
-LANG = re.compile(r"(?is)<html\b[^>]{0,2000}?\blang\s{0,4}=\s{0,4}[\"']?([a-z]{2,3})")
+#: Searched up to the last ">" only, so that each "<" finds its end and the search stays linear; an open script or comment runs to the end.
+HIDDEN = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|(?P<script>\Z))|<!--.*?(?:-->|(?P<comment>\Z))|<[^>]*>|&[a-z0-9#]{1,10};")
+#: After the last ">" there are no tags.
+REST = re.compile(r"(?is)<!--.*|&[a-z0-9#]{1,10};")
+HTML_TAG = re.compile(r"(?i)<html\b[^>]*")
+LANG = re.compile(r"(?i)\blang\s*=\s*[\"']?([a-z]{2,3})")
 
 _EVIDENCE = StructType().add("ll", ArrayType(DoubleType())).add("declared", StringType())
 
@@ -118,7 +122,25 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", languages: Seq
 
 def visible(html: str | None) -> str:
     """The text of a page without markup, comments, scripts and styles."""
-    return HIDDEN.sub(" ", html or "")
+    page = html or ""
+    last = page.rfind(">") + 1
+    unclosed = False
+
+    def blank(m: re.Match) -> str:
+        nonlocal unclosed
+        unclosed |= m["script"] is not None or m["comment"] is not None
+        return " "
+
+    head = HIDDEN.sub(blank, page[:last])
+    return head if unclosed else head + REST.sub(" ", page[last:])
+
+
+def declared_language(html: str | None) -> str | None:
+    """What the first html tag with a language declares."""
+    for tag in HTML_TAG.finditer(html or ""):
+        if found := LANG.search(tag[0]):
+            return found[1].lower()
+    return None
 
 
 def evidence(rows: DataFrame, into: str, model: Model, text: str, markup: bool) -> DataFrame:
@@ -130,7 +152,7 @@ def evidence(rows: DataFrame, into: str, model: Model, text: str, markup: bool)
         column, declared = part.column(at), [None] * part.num_rows
         if markup:
             pages = column.to_pylist()
-            declared = [m.group(1).lower() if (m := LANG.search(p or "")) else None for p in pages]
+            declared = [declared_language(p) for p in pages]
             column = pa.array([visible(p) for p in pages], pa.string())
         ll = shared.value.likelihoods(*text_column(column))
         ends = np.arange(len(ll) + 1, dtype=np.int32) * ll.shape[1]

@@ -1,7 +1,10 @@
 import os
+import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from flowguard.llm import language as l
@@ -69,3 +72,25 @@ def test_empty_table(none, model):
 def test_markup():
     assert l.visible("<html><style>p{}</style>a<!-- b --><b>c</b>&amp;d<script>never ends").split() == ["a", "c", "d"]
     assert l.visible(None) == ""
+
+
+PIECE = st.sampled_from(["<script>", "</script >", "<style a", "<!--", "-->", "<", ">", "&amp;", "a b", "<p>", "\n", "<html ", "lang = 'de'", "</style>"])
+
+
+@given(st.lists(PIECE, max_size=14).map("".join))
+def test_visible_text_equals_one_pattern_over_the_page(page):
+    plain = re.compile(r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>|&[a-z0-9#]{1,10};")
+    assert l.visible(page) == plain.sub(" ", page)
+    tag = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", page)
+    assert l.declared_language(page) == (tag[1].lower() if tag else None)
+
+
+def test_long_broken_markup_is_read_in_linear_time():
+    started = time.time()
+    for piece in ("<", "<script", "<html ", "<!-", "<p a=", "<html lang  "):
+        for page in (piece * 200_000, "<b>" + piece * 200_000, piece * 200_000 + ">"):
+            l.visible(page)
+            l.declared_language(page)
+    assert time.time() - started < 20
+    assert l.declared_language("<html " + "x" * 50_000 + " lang" + " " * 9 + "= fr>") == "fr"
+    assert l.visible(None) == "" and l.declared_language(None) is None
