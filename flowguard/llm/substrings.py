@@ -148,9 +148,10 @@ def _found(m, doc, sub, start, n, keep, repeat) -> pa.RecordBatch:
 
 
 def _fetch(window: int):
-    """The words of the segments in question of each document."""
+    """The words of the segments in question of each document, once however many rows repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # repeated rows meet in a task; those of others only add words
         for part in slices(batches, 2):
             asked = part.column(3).to_pylist()
             if not any(asked):
@@ -158,7 +159,10 @@ def _fetch(window: int):
             w = Words(*text_column(part.column(2)), NOT_SPACE, lower=False)
             out = [[], [], [], [], [], [], []]
             for r, (doc, sub) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                for one in asked[r] or ():
+                if not asked[r] or (doc, sub) in seen:
+                    continue
+                seen.add((doc, sub))
+                for one in asked[r]:
                     a = int(w.first[r]) + one["start"]
                     text = w.text(a, a + one["n"] + window - 1)
                     for column, value in zip(out, (one["m"], doc, sub, one["start"], one["n"], text.decode(), one["heavy"])):

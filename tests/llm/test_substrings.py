@@ -69,3 +69,16 @@ def test_texts_under_one_id_keep_their_own_spans(spark, monkeypatch, shard):
     rows = [(None, a), (None, f"{b} {c}"), (None, d), (1, f"x {a} y"), (1, f"{d} z"), (1, "own " + b), (1, "own " + b), (2, f"{c[:100]} tail")]
     kept = sorted(((r.doc_id, r.kept) for r in s.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert kept == sorted([(None, a), (None, f"{b} {c}"), (None, d), (1, "x y"), (1, "z"), (1, "own"), (1, "own"), (2, "c2 tail")], key=str)
+
+
+def test_repeated_rows_reach_the_index_once(spark):
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(40))
+    asked = [{"m": 1, "start": 0, "n": 3, "heavy": False}]
+    rows = pa.RecordBatch.from_pydict({"doc": [1] * 300 + [2], "sub": [9] * 301, "text": [text] * 301, "asked": [asked] * 301})
+    fetched = [r for b in s._fetch(20)(iter([rows.slice(0, 150), rows.slice(150)])) for r in b.to_pylist()]
+    assert [(r["doc"], r["text"]) for r in fetched] == [(k, " ".join(text.split()[:22])) for k in (1, 2)]
+    same = spark.createDataFrame([(1, text)] * 300 + [(2, text + " end")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_removed) for r in s.deduplicate(same).collect()}
+    assert got == {(1, 0), (2, 40)}
