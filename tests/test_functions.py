@@ -132,6 +132,30 @@ def test_dense_code_per_scan_and_null(spark):
     )
 
 
+@pytest.mark.parametrize("most", [0, 512])
+def test_dense_code_equals_sorted_places(spark, monkeypatch, most):
+    monkeypatch.setattr(encode, "MAP_VALUES", most)
+    rows = [(None if k % 5 == 0 else f"s{k % 5 % 2}", f"v{k * 7919 % 211}", None if k % 3 else str(k % 17), k) for k in range(1500)]
+    df = spark.createDataFrame(rows, "scan string, c string, d string, k int").repartition(7)
+    seen = {}
+    for scan, c, d, _ in rows:
+        seen.setdefault((scan, "c"), set()).add(c)
+        seen.setdefault((scan, "d"), set()).update({d} - {None})
+    want = {k: (scan, 1 + sorted(seen[scan, "c"]).index(c), None if d is None else 1 + sorted(seen[scan, "d"]).index(d)) for scan, c, d, k in rows}
+    got = encode.dense_code(df, ["c", "d"], "scan")
+    assert got.columns == df.columns
+    assert {r.k: (r.scan, r.c, r.d) for r in got.collect()} == want
+    assert encode.dense_code(df.where("false"), ["c", "d"], "scan").count() == 0
+
+
+def test_no_window_over_all_values_of_a_group(spark):
+    values = spark.range(20000).select(F.lit("g").alias("g"), F.format_string("%05d", "id").alias("v"))
+    ranks = encode.value_ranks(values, ["g"], "v")
+    assert ranks.where(F.col("v").cast("int") + 1 != F.col("rank")).count() == 0 and ranks.count() == 20000
+    windows = [line for line in ranks._jdf.queryExecution().executedPlan().toString().splitlines() if "row_number" in line and "Window" in line]
+    assert windows and all("_range" in line for line in windows)
+
+
 def test_value_map_replaces_all_at_once(column):
     assert column(["1", ".init", "0", None], encode.value_map("s", {1: 0, ".init": 1})) == ["0", "1", "0", None]
 
