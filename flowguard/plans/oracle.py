@@ -220,6 +220,17 @@ _BODIES = {
     "scan_ids_alerts": 'SELECT msg, stamp AS "timestamp", src_ap, dst_ap FROM ids',
     "tail_ids_alerts": 'SELECT msg, stamp AS "timestamp", src_ap, dst_ap FROM ids',
     "scan_alarms": f"SELECT seq, ip, info, strftime(datetime, {STAMP}) AS datetime FROM alarms",
+    "host_result_ids": """
+        SELECT append, count(*) AS rows, count(*) AS ids, CASE append WHEN 1 THEN 1 ELSE any_value(n) + 1 END AS lowest,
+          CASE append WHEN 1 THEN count(*) ELSE any_value(n) + count(*) END AS highest
+        FROM (SELECT ip, count(*) OVER () AS n FROM host_rows WHERE n_names > 0), (SELECT unnest([1, 2]) AS append)
+        WHERE append = 1 OR length(ip) % 2 = 0 GROUP BY append""",
+    "scan_files": """
+        SELECT 'upload' AS name, CAST(octet_length(encode(body)) AS BIGINT) AS file_size, md5(body) AS digest FROM (
+        SELECT string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body FROM documents GROUP BY doc_id // 100)""",
+    "ddos_evidence_packets": f"""
+        SELECT w.batch_id, w.dst_ip, w.pkt_no, w.src_ip, w.length, strftime(w.sniff_ts, {STAMP}) AS sniff_ts
+        FROM windowed w JOIN ddos USING (batch_id, dst_ip)""",
     "host_sink": """
         SELECT n_names > 0 AS kept, ip, count(*) AS rows, CAST(sum(length(detail)) AS BIGINT) AS characters
         FROM host_rows GROUP BY 1, 2""",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from flowguard import fixtures as fx
 from flowguard.functions import encode, network as net, text as tx
 from flowguard.operators import (
-    botnet, ddos, elf, elf_clean, events, ftp, hosts, ids, scoring, webshell, windows, xss,
+    botnet, ddos, elf, elf_clean, events, evidence, ftp, hosts, ids, scoring, webshell, windows, xss,
 )
 from flowguard.schemas import TROJAN, VIRUS, WORM, as_packets
 from flowguard.session import materialize, work_folder
@@ -154,6 +154,34 @@ def host_sink(spark, sf):
     )
 
 
+@query
+def host_result_ids(spark, sf):
+    """Two appends to the result table: how many rows each brought, and which ids."""
+    path = f"{work_folder(spark, 'results')}/rows"
+    kept, _ = sinks.host_rows(hosts.events(fx.alarms(spark, sf), fx.assets(spark, sf)))
+    kept = materialize(kept, "host-rows")
+    for k in (1, 2):
+        more = kept if k == 1 else kept.where(F.length("ip") % 2 == 0)
+        sinks.append_with_ids(more.withColumn("append", F.lit(k)), path)
+    return spark.read.parquet(path).groupBy("append").agg(
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.min("id").alias("lowest"), F.max("id").alias("highest")
+    )
+
+
+@query
+def scan_files(spark, sf):
+    """Documents written to files of a hundred each, and found again by a name pattern: names, sizes, digests."""
+    folder = work_folder(spark, "files")
+    docs = fx.table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 100).alias("number"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    dealt = docs.repartition("number").sortWithinPartitions("number", "doc_id").select("number", "text")
+    dealt.write.partitionBy("number").option("mapreduce.output.basename", "upload").text(folder)
+    files = tables.binary_files(spark, folder, "upload-*.txt")
+    name = F.regexp_extract("file_name", "^([a-z]+)-[0-9]+.*[.]([a-z]+)$", 1)
+    return files.select(name.alias("name"), "file_size", F.md5("content").alias("digest"))
+
+
 # --- projections and filters ---------------------------------------------------------------------
 
 
@@ -333,6 +361,16 @@ def ddos_evidence(spark, sf):
     )
 
 
+@query
+def ddos_evidence_packets(spark, sf):
+    """The packets behind each flood event, from a table that is kept by window."""
+    windowed = flat_windows(spark, sf)
+    kept = evidence.store(windowed, buckets=spark.sparkContext.defaultParallelism)
+    found = ddos.window_events(spark.table(kept), DDOS_RULE)
+    packets = evidence.packets_of(found, spark, kept)
+    return packets.select("batch_id", "dst_ip", "pkt_no", "src_ip", "length", text_of("sniff_ts").alias("sniff_ts"))
+
+
 @query
 def ddos_events(spark, sf):
     return dated(ddos.events(fx.packets(spark, sf), DDOS_RULE))

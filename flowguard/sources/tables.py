@@ -89,7 +89,7 @@ def asset_files(spark: SparkSession, path: str) -> DataFrame:
 def binary_files(spark: SparkSession, path: str, pattern: str = "*", stream: bool = False) -> DataFrame:
     """Every file below a folder, or a single one: ``file_name``, ``file_size``, ``content``.
 
-    ``content`` is only read when a later step uses it.
+    ``content`` is only read when a later step uses it. Spark's source leaves out files without a byte.
     """
     reader = spark.readStream if stream else spark.read
     files = (
