@@ -54,7 +54,7 @@ def value_ranks(values: DataFrame, group: Sequence[str], value: str) -> DataFram
     for k, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
     numbered = ranged.withColumn("_own", own).join(before, same)
-    return numbered.select(*values.columns, (F.col("_before") + F.col("_own")).cast("int").alias("rank"))
+    return numbered.select(*values.columns, (F.col("_before") + F.col("_own")).alias("rank"))
 
 
 def dense_code(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
@@ -66,7 +66,8 @@ def dense_code(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
     values = df.select(F.col(by).alias("scan"), F.inline(pairs)).where("value IS NOT NULL").distinct()
-    ranks = materialize(value_ranks(values, ["scan", "column"], "value"), "codes")
+    ranks = value_ranks(values, ["scan", "column"], "value").withColumn("rank", F.col("rank").cast("int"))
+    ranks = materialize(ranks, "codes")
     if ranks.count() <= MAP_VALUES:
         entry = F.struct(F.struct("column", "value"), "rank")
         maps = ranks.groupBy(F.col("scan").alias("_s")).agg(F.map_from_entries(F.collect_list(entry)).alias("_codes"))
