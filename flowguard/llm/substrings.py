@@ -24,7 +24,8 @@ passage that many documents share shrinks to one segment per task before anythin
 
 Defined results: a null or empty text has no words; rows that repeat an id and its text are one
 document; texts that differ under one id are documents of their own, told apart and ordered by a 64-bit hash of
-the text (``sub``); null is the smallest id; an empty table gives an empty one.
+the text (``sub``); null is the smallest id; an empty table gives an empty one. Ids that are no integers are ordered as their
+own type orders them, by ranks counted over range partitions.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
+from flowguard.functions.encode import value_ranks
 from flowguard.llm.common import materialize
 from flowguard.llm.fmindex import FMIndex
 from flowguard.llm.words import NOT_SPACE, Words, grams, mix, running, slices, span_hash, text_column
@@ -283,7 +286,12 @@ def _cut(window: int):
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256): each document without the words of repeated windows."""
-    named = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("sub"), F.col(text).alias("text"))
+    kind = docs.schema[id].dataType
+    rows, names = docs.select(F.col(id).alias("id"), F.col(text).alias("text")), None
+    if not isinstance(kind, IntegralType):  # the order is that of the ids' own type
+        names = materialize(value_ranks(rows.select("id").where("id IS NOT NULL").distinct(), [], "id"), "substrings-ids")
+        rows = rows.join(names, "id", "left").select(F.col("rank").alias("id"), "text")
+    named = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sub"), "text")
     segments = named.mapInArrow(_scan(window, gram), _SEGMENTS)
     # repeats need no meeting; they are dealt evenly
     key = F.when(F.col("repeat"), F.xxhash64("doc", "sub", "start")).otherwise(F.col("m"))
@@ -309,7 +317,11 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     spans = spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
     cut = named.join(spans, ["doc", "sub"], "left").select("doc", "text", "spans").mapInArrow(_cut(window), schema)
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    cut = cut.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    if names is None:
+        return cut.withColumn("doc_id", F.col("doc_id").cast(kind))
+    named_rows = cut.join(names.withColumnRenamed("rank", "doc_id"), "doc_id", "left").drop("doc_id")
+    return named_rows.select(F.col("id").alias("doc_id"), *cut.columns[1:])
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

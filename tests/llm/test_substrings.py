@@ -82,3 +82,15 @@ def test_repeated_rows_reach_the_index_once(spark):
     same = spark.createDataFrame([(1, text)] * 300 + [(2, text + " end")], "doc_id long, text string")
     got = {(r.doc_id, r.n_removed) for r in s.deduplicate(same).collect()}
     assert got == {(1, 0), (2, 40)}
+
+
+def test_ids_of_any_type(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(50)) for x in "ab")
+    rows = [("10", "x " + a), ("9", a), (None, b), ("", b + " tail"), ("z", "short")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.kept for r in s.deduplicate(df).collect()}
+    assert got == {"10": rows[0][1], "9": "", None: b, "": "tail", "z": "short"}
+    assert s.deduplicate(df).schema["doc_id"].dataType.simpleString() == "string"
+    assert s.deduplicate(df.where("false")).count() == 0
+    small = spark.createDataFrame([(2, a), (1, a)], "doc_id int, text string")
+    assert {(r.doc_id, r.n_removed) for r in s.deduplicate(small).collect()} == {(1, 0), (2, 50)}
