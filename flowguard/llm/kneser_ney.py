@@ -2,9 +2,10 @@
 
 Three jobs over the texts: single tokens, pairs of neighbours, scores. A task counts what it sees
 before anything is shuffled and sends its counts packed, as arrays, to parts of bounded size: single
-tokens by hash, pairs by the hash of their first word. First words that make up a thousandth of all
-tokens or more (so there are a thousand at most) are spread by the hash of the pair instead, and their
-totals are added up afterwards: no word is a hot key.
+tokens by hash, pairs by the hash of their first word. A first word that makes up more of all tokens than
+one part should hold is spread over as many parts as it fills, by the hash of the pair, and its totals are
+added up afterwards: no word is a hot key, and there are no more such words, nor rows of their totals,
+than a few for each part.
 
 A part merges its counts into sorted hash arrays in the shared folder (``hashstore``): occurrences of
 words, pairs with their counts, histories with their totals and how many successors they had once,
@@ -37,8 +38,6 @@ from flowguard.llm.words import NOT_SPACE, Words, mix, slices, text_column
 GROUP = 1 << 22
 #: Bytes of text for each part.
 PART_BYTES = 16 << 20
-#: A first word is spread if it makes up at least this share of the tokens.
-HOT = 1000
 END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64)))
 #: Counts of pairs from here on have a store of their own.
 LARGE = 255
@@ -118,13 +117,26 @@ def _frombuffers(column, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
+def _home(v: np.ndarray, key: np.ndarray, bits: int, hot: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The part of each pair: that of its first word, or one of the parts after it if the word is spread."""
+    if not bits:
+        return np.zeros(len(v), np.uint64)
+    home = v >> np.uint64(SHORT - bits)
+    at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+    own = hot[at] == v
+    step = (key[own] >> np.uint64(32)) % spread[at[own]]
+    home[own] = (home[own] + step) & np.uint64((1 << bits) - 1)
+    return home
+
+
 def _merge_words(store: Store):
     """One part: its words to a file; how many, their tokens, and the most frequent ones."""
+    parts = 1 << store.bits
 
     def run(group: pa.Table) -> pa.Table:
         ids, n = _sum_by(_frombuffers(group["w"], np.uint64), _frombuffers(group["n"], np.uint32))
         store.write(group["part"][0].as_py(), ids, n)
-        top = np.argsort(-n, kind="stable")[:HOT]
+        top = np.argsort(-n, kind="stable")[:parts]
         return pa.table(
             {"words": pa.array([len(ids)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
              "top": pa.array([ids[top].view(np.int64)], pa.list_(pa.int64())), "n": pa.array([n[top]], pa.list_(pa.int64()))}
@@ -133,13 +145,12 @@ def _merge_words(store: Store):
     return run
 
 
-def _count_pairs(bits: int, hot: np.ndarray):
+def _count_pairs(bits: int, hot: np.ndarray, spread: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.uint64(64 - SHORT)
         for w, v in _gathered(batches, lambda x: tuple(t >> short for t in _tokens(x))):
             key = pair_key(v, w)
-            spread = np.isin(v, hot)
-            home = np.where(spread, key >> np.uint64(64 - bits), v >> np.uint64(SHORT - bits)) if bits else np.zeros(len(v), np.uint64)
+            home = _home(v, key, bits, hot, spread)
             # by part, then by first word: equal pairs meet, and a first word is sent once
             rest = np.uint64(32 - bits)
             order = np.argsort((home << np.uint64(64 - bits) if bits else home) | ((v & np.uint64((1 << int(rest)) - 1)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)))
@@ -226,6 +237,7 @@ class Model:
     tokens: int
     words: int
     hot: np.ndarray
+    spread: np.ndarray
     hot_stats: np.ndarray
     d2: list[float]
     d1: list[float]
@@ -253,8 +265,7 @@ class Model:
         lower = self.lower(w)
         stats = self._history(v)
         key = pair_key(v, w)
-        # a spread pair lies in the part of its key, any other in that of its first word
-        home = np.where(np.isin(v, self.hot), key >> np.uint64(64 - self.bits), v >> np.uint64(SHORT - self.bits)) if self.bits else np.zeros(len(v), np.uint64)
+        home = _home(v, key, self.bits, self.hot, self.spread)
         n = np.zeros(len(v), np.int64)
         order = np.lexsort((key, home))
         for p, s in _parts(home[order].astype(np.int64)):
@@ -291,21 +302,27 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     counted = texts.mapInArrow(_count_words(singles), "part int, w binary, n binary").groupBy("part")
     merged = materialize(counted.applyInArrow(_merge_words(singles), "words long, tokens long, top array<long>, n array<long>"), "lm-words")
     words, tokens = merged.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    top = merged.select(F.explode(F.arrays_zip("top", "n")).alias("x")).where(F.col("x.n") * HOT >= max(tokens, 1)).select("x.top")
+    parts = 1 << bits
+    top = merged.select(F.explode(F.arrays_zip("top", "n")).alias("x")).where(F.col("x.n") * parts > tokens).select("x.top", "x.n")
     short = np.uint64(64 - SHORT)
-    starts = np.array([BEGIN], np.uint64)  # every document has it
-    hot = np.unique(np.concatenate([np.array([r.top for r in top.collect()], np.int64).view(np.uint64), starts]) >> short)
+    # fewer than there are parts, as each makes up more than its share of the tokens; every document has a beginning
+    often = [(int(np.int64(r.top).view(np.uint64) >> short), r.n) for r in top.collect()] + [(int(np.uint64(BEGIN) >> short), tokens)]
+    hot = np.unique(np.array([w for w, _ in often], np.uint64))
+    spread = np.ones(len(hot), np.uint64)
+    for w, n in often:
+        k = int(np.searchsorted(hot, np.uint64(w)))
+        spread[k] = max(int(spread[k]), min(parts, -(-n * parts // max(1, tokens))))
     pairs, large = Store(folder, "pair", bits, 64, dtype="u1"), Store(folder, "large", bits, 64)
     # single precision keeps counts exact up to 16 million, and probabilities to seven digits beyond
     befores, histories = Store(folder, "before", bits, SHORT, dtype="f4"), Store(folder, "history", bits, SHORT, 4, "f4")
-    dealt = texts.mapInArrow(_count_pairs(bits, hot), _PACKS).groupBy("part")
+    dealt = texts.mapInArrow(_count_pairs(bits, hot, spread), _PACKS).groupBy("part")
     merged = materialize(dealt.applyInArrow(_merge_pairs(pairs, large, histories, befores, hot), _MERGED), "lm-pairs")
-    return _finish(merged, Model(singles, pairs, large, histories, befores, bits, tokens, words, hot, np.zeros((len(hot), 4), np.int64), [], [], 0, 0, 0.0))
+    return _finish(merged, Model(singles, pairs, large, histories, befores, bits, tokens, words, hot, spread, np.zeros((len(hot), 4), np.int64), [], [], 0, 0, 0.0))
 
 
 def _finish(merged: DataFrame, model: Model) -> Model:
     numbers = np.zeros(6, np.int64)
-    # a few numbers for each part, and at most HOT + 1 rows of totals
+    # a few numbers for each part, and a row of totals for each spread word
     for r in _long_sums(merged.where("kind = 'counts'")):
         numbers[r.k] = r.n
     for r in _hot_sums(merged.where("kind = 'hot'")):

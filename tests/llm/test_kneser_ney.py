@@ -83,3 +83,17 @@ def test_shared_folder_must_be_mounted(spark, monkeypatch):
     monkeypatch.setattr(hashstore, "work_folder", lambda *_: "hdfs://nowhere/x")
     with pytest.raises(ValueError):
         hashstore.mounted_folder(spark, "lm")
+
+
+def test_frequent_first_words_are_spread_over_as_many_parts_as_they_fill():
+    rng = np.random.default_rng(3)
+    v = np.sort(rng.integers(0, 2**lm.SHORT, 50).astype(np.uint64))
+    hot, spread, bits = v[[3, 20, 49]], np.array([2, 16, 5], np.uint64), 4
+    own = np.repeat(v, 4000)
+    home = lm._home(own, lm.pair_key(own, np.arange(len(own)).astype(np.uint64)), bits, hot, spread)
+    for k, word in enumerate(v):
+        parts, n = np.unique(home[own == word], return_counts=True)
+        wanted = int(spread[np.searchsorted(hot, word)]) if word in hot else 1
+        assert len(parts) == wanted and n.max() < 1.3 * 4000 / wanted
+        first = int(word >> np.uint64(lm.SHORT - bits))
+        assert {(first + j) % 16 for j in range(wanted)} == set(parts.tolist())
