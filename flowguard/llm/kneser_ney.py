@@ -3,9 +3,9 @@
 Three jobs over the texts: single tokens, pairs of neighbours, scores. A task counts what it sees
 before anything is shuffled and sends its counts packed, as arrays, to parts of bounded size: single
 tokens by hash, pairs by the hash of their first word. A first word that makes up more of all tokens than
-one part should hold is spread over as many parts as it fills, by the hash of the pair, and its totals are
-added up afterwards: no word is a hot key, and there are no more such words, nor rows of their totals,
-than a few for each part.
+an eighth of a part is spread over as many parts as it has eighths, by the hash of the pair, and its totals
+are added up afterwards: no word is a hot key, and there are no more than sixteen rows of such totals for
+each part, however many parts there are.
 
 A part merges its counts into sorted hash arrays in the shared folder (``hashstore``): occurrences of
 words, pairs with their counts, histories with their totals and how many successors they had once,
@@ -38,6 +38,8 @@ from flowguard.llm.words import NOT_SPACE, Words, mix, slices, text_column
 GROUP = 1 << 22
 #: Bytes of text for each part.
 PART_BYTES = 16 << 20
+#: A first word is spread in shares of a part's tokens divided by this.
+FINE = 8
 END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64)))
 #: Counts of pairs from here on have a store of their own.
 LARGE = 255
@@ -131,12 +133,12 @@ def _home(v: np.ndarray, key: np.ndarray, bits: int, hot: np.ndarray, spread: np
 
 def _merge_words(store: Store):
     """One part: its words to a file; how many, their tokens, and the most frequent ones."""
-    parts = 1 << store.bits
+    most = FINE << store.bits
 
     def run(group: pa.Table) -> pa.Table:
         ids, n = _sum_by(_frombuffers(group["w"], np.uint64), _frombuffers(group["n"], np.uint32))
         store.write(group["part"][0].as_py(), ids, n)
-        top = np.argsort(-n, kind="stable")[:parts]
+        top = np.argsort(-n, kind="stable")[:most]
         return pa.table(
             {"words": pa.array([len(ids)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64()),
              "top": pa.array([ids[top].view(np.int64)], pa.list_(pa.int64())), "n": pa.array([n[top]], pa.list_(pa.int64()))}
@@ -303,15 +305,15 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     merged = materialize(counted.applyInArrow(_merge_words(singles), "words long, tokens long, top array<long>, n array<long>"), "lm-words")
     words, tokens = merged.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     parts = 1 << bits
-    top = merged.select(F.explode(F.arrays_zip("top", "n")).alias("x")).where(F.col("x.n") * parts > tokens).select("x.top", "x.n")
+    top = merged.select(F.explode(F.arrays_zip("top", "n")).alias("x")).where(F.col("x.n") * (FINE * parts) > tokens).select("x.top", "x.n")
     short = np.uint64(64 - SHORT)
-    # fewer than there are parts, as each makes up more than its share of the tokens; every document has a beginning
+    # fewer than FINE for each part, as each makes up more than its share of the tokens; every document has a beginning
     often = [(int(np.int64(r.top).view(np.uint64) >> short), r.n) for r in top.collect()] + [(int(np.uint64(BEGIN) >> short), tokens)]
     hot = np.unique(np.array([w for w, _ in often], np.uint64))
     spread = np.ones(len(hot), np.uint64)
     for w, n in often:
         k = int(np.searchsorted(hot, np.uint64(w)))
-        spread[k] = max(int(spread[k]), min(parts, -(-n * parts // max(1, tokens))))
+        spread[k] = max(int(spread[k]), min(parts, -(-n * FINE * parts // max(1, tokens))))
     pairs, large = Store(folder, "pair", bits, 64, dtype="u1"), Store(folder, "large", bits, 64)
     # single precision keeps counts exact up to 16 million, and probabilities to seven digits beyond
     befores, histories = Store(folder, "before", bits, SHORT, dtype="f4"), Store(folder, "history", bits, SHORT, 4, "f4")
