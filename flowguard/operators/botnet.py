@@ -27,9 +27,9 @@ def eligible() -> Column:
     )
 
 
-def features(packets: DataFrame, concatenate: bool = False) -> DataFrame:
-    """Add the nine model inputs; packets without IPv4 addresses are left out."""
-    usable = eligible() & net.is_ipv4(F.col("ip.src")) & net.is_ipv4(F.col("ip.dst"))
+def features(packets: DataFrame, concatenate: bool = False, carry: bool = False) -> DataFrame:
+    """Add the nine model inputs; packets without IPv4 addresses are left out (``carry`` as in ``is_ipv4``)."""
+    usable = eligible() & net.is_ipv4(F.col("ip.src"), carry) & net.is_ipv4(F.col("ip.dst"), carry)
     protocol = net.protocol_code(F.col("transport_layer"))
     return packets.where(usable & protocol.isNotNull()).select(
         "*",
@@ -45,6 +45,6 @@ def features(packets: DataFrame, concatenate: bool = False) -> DataFrame:
     )
 
 
-def events(packets: DataFrame, scorer: Scorer, detail: list[str] | None = None) -> DataFrame:
-    hits = scorer(features(packets)).where("prediction <> 0")
+def events(packets: DataFrame, scorer: Scorer, detail: list[str] | None = None, carry: bool = False) -> DataFrame:
+    hits = scorer(features(packets, carry=carry)).where("prediction <> 0")
     return packet_event(hits, BOTNET, detail or packets.columns)

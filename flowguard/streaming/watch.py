@@ -66,9 +66,11 @@ def detectors(
     by: Sequence[str] = (),
     idle_seconds: int | None = IDLE_SECONDS,
     detail: Sequence[str] = ("pkt_no",),
+    carry: bool = False,
 ) -> dict[str, Detector]:
     """The detectors by name.  ``shells`` makes events of packets; ``file_verdicts`` takes files with a ``key`` and gives
     (``key``, ``prediction``), which trojan and worm follow; a virus alarm is raised for every file.
+    ``carry`` is how the botnet detector reads addresses (``is_ipv4``).
     """
 
     def file_events(files: DataFrame) -> DataFrame:
@@ -82,7 +84,7 @@ def detectors(
             lambda m: ddos.flatten(packets_of(m), by),
             window_step(lambda w: ddos.window_events(w, flood, by), size, by),
         ),
-        "botnet": (packets_of, lambda p: botnet.events(p, bots, list(detail))),
+        "botnet": (packets_of, lambda p: botnet.events(p, bots, list(detail), carry)),
         "webshell": (packets_of, shells),
         "xss": (packets_of, lambda p: xss.events(p, scripts, detail=list(detail))),
         "alerts": (_of(ALERTS), lambda lines: ids.events(lines, "value")),

@@ -163,3 +163,11 @@ def test_value_map_replaces_all_at_once(column):
 def test_truthy(spark):
     df = spark.createDataFrame([(None,), (0,), (5,)], "v int")
     assert [r[0] for r in df.select(encode.truthy(F.col("v"))).collect()] == [0, 0, 1]
+
+
+def test_ipv4_of_numbered_hosts(column):
+    """Tables that number more than 65,536 hosts write 10.0.256.0 and on."""
+    values = ["10.0.300.5", "10.0.0.1", "255.255.256.0", "256.0.0.1", "1.2.3", "fd00::10.0.1.2", "a.b.c.d", None]
+    want = [(10 << 24) + 300 * 256 + 5, 167772161] + [None] * 6
+    assert column(values, net.ipv4_to_int(F.col("s"), carry=True)) == want
+    assert column(["10.0.300.5"], net.ipv4_to_int(F.col("s"))) == [None]
