@@ -29,11 +29,11 @@ FOLDER = "micro_batch"  # a column of what is read back, so no event may have on
 
 
 class Carried:
-    """What a step keeps between micro-batches, in two slots of ``folder``, and what it holds in memory within one."""
+    """What a step keeps between micro-batches, in two slots of ``folder``, and what it holds there within one."""
 
     def __init__(self, spark: SparkSession, folder: str, batch: int):
         self.spark, self.folder, self.batch = spark, folder, batch
-        self._held: list[DataFrame] = []
+        self._held = 0
 
     def read(self, schema: StructType, name: str = "slot") -> DataFrame:
         """What the previous micro-batch left over."""
@@ -45,12 +45,15 @@ class Carried:
         _save(df, f"{self.folder}/{name}={self.batch % 2}")
 
     def hold(self, df: DataFrame) -> DataFrame:
-        self._held.append(df.persist())
-        return df
+        """``df`` written once; the next micro-batch writes over it.
 
-    def release(self) -> None:
-        for df in self._held:
-            df.unpersist()
+        Not persisted: a plan on top of persisted plans carries all of them through every planning step,
+        and with some ordered scans above each other that takes far longer than the work.
+        """
+        path = f"{self.folder}/held-{self._held}"
+        self._held += 1
+        _save(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 @dataclass(frozen=True)
@@ -137,7 +140,6 @@ def count_windows(
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
         _save(_detected(step.run(batch, carried), at), f"{out}/{FOLDER}={batch_id}")
-        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -198,7 +200,6 @@ def ftp_files(
         done, expired = _ended(batch, carried, idle_seconds)
         _save(done, f"{out}/done/{FOLDER}={batch_id}")
         _save(expired, f"{out}/expired/{FOLDER}={batch_id}")
-        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -253,7 +254,6 @@ def fan_out(
             rows = _detected(rows, at)
             staged = f"{checkpoint}/staged-{name}"
             _save(rows, staged)
-            carried.release()
             found.append(batch.sparkSession.read.schema(rows.schema).parquet(staged).withColumn("detector", F.lit(name)))
         merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
         merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/{FOLDER}={batch_id}")

@@ -222,3 +222,15 @@ def test_alarm_runs_of_a_stream(spark, feed, tmp_path):
     want = {(r.ip, r.run, r.part): tuple(r) for r in all_}
     open_ = {max((k for k in want if k[0] == h)) for h in ("h0", "h1")}
     assert got == {k: v for k, v in want.items() if k not in open_} and len(got) > 8
+
+
+def test_held_rows_do_not_carry_the_plans_below(spark, tmp_path):
+    """Ordered scans on top of persisted plans took minutes of planning on the smallest data."""
+    for batch in (0, 1):
+        carried = jobs.Carried(spark, str(tmp_path), batch)
+        first = carried.hold(spark.range(3 + batch))
+        second = carried.hold(first.join(first.withColumnRenamed("id", "other"), F.col("id") == F.col("other")))
+        assert "InMemoryRelation" not in second._jdf.queryExecution().withCachedData().toString()
+        assert "Join" not in second._jdf.queryExecution().withCachedData().toString()
+        assert second.count() == 3 + batch
+    assert len(list(tmp_path.glob("held-*"))) == 2
