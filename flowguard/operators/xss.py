@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowguard.functions import text as tx
+from flowguard.functions.once import once
 from flowguard.operators.events import packet_event, packet_key
 from flowguard.operators.scoring import Scorer
 from flowguard.schemas import XSS
@@ -51,7 +52,8 @@ def frames(judged: DataFrame) -> DataFrame:
     A text of up to 10 000 codes is one frame; a longer one continues in further frames, so the
     whole of it is judged.
     """
-    return judged.select("*", F.posexplode(tx.frames(tx.code_text(F.col("text")))).alias("frame_no", "frame"))
+    coded = once(judged, _codes=tx.code_text(F.col("text")))
+    return coded.select(*judged.columns, F.posexplode(tx.frames(F.col("_codes"))).alias("frame_no", "frame"))
 
 
 def with_vector(framed: DataFrame) -> DataFrame:
