@@ -64,16 +64,19 @@ def asset_names(assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     )
 
 
-def with_asset_names(df: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def with_asset_names(
+    df: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS, show: Callable[[DataFrame], DataFrame] = lambda lists: lists
+) -> DataFrame:
     """Add ``names`` (null when there are none) and ``n_names`` to every row.
 
     An address with more names than fit one list gives a row for each part of them (``name_part`` 0,
-    1, ...), so that all are kept.  Adaptive execution picks the join by the real size of the lists
+    1, ...), so that all are kept.  ``show`` may put another form of ``names`` in its place, once for each
+    list and before it is copied to the rows.  Adaptive execution picks the join by the real size of the lists
     and splits hot addresses.
     """
     lists = asset_names(assets, part_rows).select("ip", "n_names", F.col("part").cast("int").alias("name_part"), "names")
     none = {"n_names": F.coalesce("n_names", F.lit(0)), "name_part": F.coalesce("name_part", F.lit(0))}
-    return df.join(lists, "ip", "left").withColumns(none)
+    return df.join(show(lists), "ip", "left").withColumns(none)
 
 
 def events(alarms: DataFrame, assets: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:

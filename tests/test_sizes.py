@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from flowguard import session
+from flowguard.operators import hosts
 
 
 def test_parts_are_bounded_by_rows_and_bytes(spark, tmp_path, monkeypatch):
@@ -15,3 +16,14 @@ def test_parts_are_bounded_by_rows_and_bytes(spark, tmp_path, monkeypatch):
     parts = session.spread(rows).rdd.getNumPartitions()
     assert parts > 2 * spark.sparkContext.defaultParallelism
     assert session.spread(rows).count() == 5000
+
+
+def test_asset_text_is_made_before_the_join(spark):
+    alarms = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "seq int, ip string")
+    assets = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", "x")], "ip string, asset_name string")
+
+    def show(lists):
+        return lists.withColumn("names", F.array_join(F.transform("names", lambda n: n["asset_name"]), ","))
+
+    got = hosts.with_asset_names(alarms, assets, show=show).orderBy("seq").collect()
+    assert [(r.seq, r.names, r.n_names) for r in got] == [(1, "x,y", 2), (2, "x,y", 2), (3, None, 0)]
