@@ -43,3 +43,16 @@ def test_scores_as_mllib_and_no_dense_rows_are_kept(spark, tmp_path):
     prepared.select(F.col("_x").alias("x"), "label").write.parquet(path)
     got, _ = perceptron.summed(spark.read.schema(perceptron.SPARSE).parquet(path), [256, 5, 2, 2], start)
     assert abs(got - want) < 1e-9
+
+
+def test_linear_hits_equal_linear_classes_without_a_window(spark):
+    texts = [f"{'aa ' * (k % 4)}{'bb ' * (k % 3)}cc{k % 5} dd" for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "pkt_no int, payload string")
+    counts = webshell.term_counts(df)
+    idf = webshell.fit_idf(counts, df.agg(F.count("*")))
+    terms = {"aa": 3.0, "bb": -2.5}
+    want = webshell.linear_classes(webshell.tfidf(counts, idf), terms, -1.0).where("prediction = 1")
+    hits = webshell.linear_hits(counts, idf, terms, -1.0)
+    found = sorted(r.pkt_no for r in hits.collect())
+    assert 0 < len(found) < 60 and found == sorted(r.pkt_no for r in want.collect())
+    assert "Window" not in hits._jdf.queryExecution().optimizedPlan().toString()
