@@ -5,13 +5,13 @@ further, overlapping spans of the four kinds: addresses without a domain suffix,
 size, also with bracketed dots, digit runs of card length whatever their check digit and separators,
 numbers grouped like phone numbers.
 
-Boosted trees, fitted with MLlib on a bounded sample of documents, judge each candidate by its format
+Boosted trees, fitted with MLlib on the candidates of all documents, judge each candidate by its format
 and its context. They have to find what the base patterns miss, so no label may be read off a base
-pattern's own mark: each base span of the sample is shown once without it, in its place in the text
+pattern's own mark: each base span is shown once without it, in its place in the text
 (a phone number without plus and country code, a card number with other separators, an address
 without its suffix, an ip with bracketed dots), and is then a positive. Candidates that meet no base
 span of their kind are negatives, as they are and rewritten in the same way, so that the rewriting
-tells nothing. For each kind the threshold is calibrated on the other half of the sample, as the
+tells nothing. The trees learn from one half of the documents; for each kind the threshold is calibrated on the other half, as the
 lowest probability above which ``PRECISION`` of the candidates are positive; a kind without positives
 or without negatives there adds nothing. A candidate is added if it reaches the threshold of its kind
 and overlaps no base span.
@@ -22,22 +22,25 @@ shuffle, explode or Python; every text is searched whole.
 Patterns are written so that matching is linear: they start at the edge of a run of their characters
 or where the last match ended, and take runs possessively; the matches are those of the plain ones.
 
-Defined results: a null text is empty; an empty text has no spans; equal rows are judged each; a sample
-without positive or without negative candidates adds nothing. Extra columns pass through ``mark``.
+Defined results: a null text is empty; an empty text has no spans; equal rows are judged, and count, each; documents
+without positive or without negative candidates add nothing. Extra columns pass through ``mark``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flowguard.functions.once import once
 from flowguard.llm.common import digest_of, materialize, spare
 from flowguard.llm.spans import spans
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Documents on which the trees are fitted and calibrated, about.
-SAMPLE = 4000
 TREES, DEPTH = 10, 4
 PRECISION = 0.95
+#: Different candidates in one task of the fit.
+PART = 1 << 16
 
 LOCAL, LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 BASE = {
@@ -226,60 +229,74 @@ def _meets(base: Column, c: Column) -> Column:
     return F.exists(base, lambda s: (s["kind"] == c["kind_no"]) & (s["start"] < c["stop"]) & (c["start"] < s["stop"]))
 
 
-def labelled(rows: DataFrame) -> DataFrame:
-    """Features and label of candidates of ``rows`` (id, text, base, found): as they are, and without the marks."""
-    fits = (F.pmod(F.crc32(F.coalesce("id", F.lit(""))), F.lit(2)) == 0).alias("fits")
-    other = F.explode(F.filter("found", lambda c: ~_meets(F.col("base"), c)))
-    misses = rows.select(fits, "text", other.alias("c"))
-    plain = misses.select("c.*", F.lit(0.0).alias("label"), "fits")
-    hits = rows.select(fits, "text", F.explode("base").alias("s"), F.lit(1.0).alias("label"))
-    place = ["text", "fits", "label", "s.start", "s.stop", "s.kind"]
-    misses = misses.select("text", "fits", F.lit(0.0).alias("label"), "c.start", "c.stop", F.col("c.kind_no").alias("kind"))
-    units = hits.select(*place).unionByName(misses)
-    value = F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))
-    way = F.pmod(F.xxhash64(value), F.lit(3))
-    first = F.greatest(F.lit(0), F.col("start") - AROUND)
-    units = units.select(
-        "fits", "label", "kind",
-        F.substring("text", first + 1, F.col("start") - first).alias("before"),
-        unmarked(F.col("kind"), value, way).alias("value"),
-        F.substring("text", F.col("stop") + 1, F.lit(AROUND)).alias("after"),
-    )
-    units = units.withColumn("shown", F.concat("before", "value", "after"))
+def labelled(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Features, label and half (``fits``) of every candidate of every document: as they are, and without the marks.
+
+    One pass over the texts, which are not kept: each span goes on with the characters around it.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    fits = F.pmod(F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))), F.lit(2)) == 0
+    rows = once(docs.select(fits.alias("fits"), whole.alias("text")), base=base_spans(F.col("text")), found=candidates(F.col("text")))
+    names = ["kind_no", *FEATURES]
+    kept = f"struct<kind_no:int,{','.join(f'{f}:double' for f in FEATURES)}>"
+
+    def unit(s: Column, kind: Column, label: float, plain: Column) -> Column:
+        first = F.greatest(F.lit(0), s["start"] - AROUND)
+        return F.struct(
+            F.lit(label).alias("label"), kind.alias("kind"), plain.cast(kept).alias("plain"),
+            F.substring("text", first + 1, s["start"] - first).alias("before"),
+            F.substring("text", s["start"] + 1, s["stop"] - s["start"]).alias("value"),
+            F.substring("text", s["stop"] + 1, F.lit(AROUND)).alias("after"),
+        )
+
+    hits = F.transform("base", lambda s: unit(s, s["kind"], 1.0, F.lit(None)))
+    others = F.filter("found", lambda c: ~_meets(F.col("base"), c))
+    misses = F.transform(others, lambda c: unit(c, c["kind_no"], 0.0, F.struct(*[c[n].alias(n) for n in names])))
+    units = rows.select("fits", F.explode(F.concat(hits, misses)).alias("u")).select("fits", "u.*")
+    way = F.pmod(F.xxhash64("value"), F.lit(3))
+    units = once(units, bare=unmarked(F.col("kind"), F.col("value"), way))
+    units = once(units, shown=candidates(F.concat("before", "bare", "after")))
     start = F.length("before")
-    exact = F.filter(candidates(F.col("shown")), lambda c: (c["start"] == start) & (c["stop"] == start + F.length("value")))
     # what is of one kind is of no other; of a miss only its own kind is known
-    shown = units.select("fits", "label", "kind", F.explode(exact).alias("c")).where((F.col("label") == 1) | (F.col("c.kind_no") == F.col("kind")))
-    label = F.when(F.col("c.kind_no") == F.col("kind"), F.col("label")).otherwise(0.0)
-    return plain.unionByName(shown.select("c.*", label.alias("label"), "fits"))
+    exact = F.filter(
+        "shown",
+        lambda c: (c["start"] == start) & (c["stop"] == start + F.length("bare")) & ((F.col("label") == 1) | (c["kind_no"] == F.col("kind"))),
+    )
+    label = lambda c: F.when(c["kind_no"] == F.col("kind"), F.col("label")).otherwise(0.0)
+    row = f"array<struct<label:double,c:{kept}>>"
+    shown = F.transform(exact, lambda c: F.struct(label(c).alias("label"), F.struct(*[c[n].alias(n) for n in names]).alias("c")))
+    plain = F.when(F.col("plain").isNotNull(), F.array(F.struct(F.lit(0.0).alias("label"), F.col("plain").alias("c"))))
+    every = F.concat(F.coalesce(plain.cast(row), F.array().cast(row)), shown.cast(row))
+    return units.select("fits", F.inline(every)).select("fits", "label", "c.*")
+
 
+def fit(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Judge:
+    """Trees and thresholds from the candidates of all documents, half of them each; equal rows count each.
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Judge:
-    """Trees and thresholds from about ``sample`` documents, dealt by the hash of id and text; equal rows count once."""
+    Candidates of equal features and label are one row with their number as its weight.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    total = docs.count()
-    part = 1_000_003
-    rows = docs.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = F.pmod(F.xxhash64("id", "text"), F.lit(part)) < int(min(1.0, sample / max(1, total)) * part)
-    # written first, as Spark would else ask all documents for candidates before it deals the sample
-    rows = materialize(rows.where(dealt).dropDuplicates(), "pii-sample")
-    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("found", candidates(F.col("text")))
-    rows = labelled(materialize(rows, "pii-spans"))
+    rows = labelled(docs, id, text).groupBy("fits", "kind_no", *FEATURES, "label").agg(F.count("*").cast("double").alias("n"))
     rows = materialize(rows, "pii-candidates")
     fits = rows.where("fits")
-    if {r.label for r in fits.select("label").distinct().collect()} != {0.0, 1.0}:
+    different = {r.label: r.n for r in fits.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if different.keys() != {0.0, 1.0}:
         return Judge([], [], {})
+    total = sum(different.values())
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    ordered = fits.orderBy("start", "stop", *FEATURES).coalesce(1)  # a bounded sample: one order, the same trees each time
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(assemble.transform(ordered))
+    # up to two parts the sums of the trees have one order, and the trees are the same each time
+    dealt = fits.repartition(-(-total // PART), *FEATURES, "label").sortWithinPartitions(*FEATURES, "label")
+    # MLlib takes its split points from a sample, except of tables of up to the square of the bins
+    bins = max(32, math.isqrt(total) + 1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, weightCol="n", seed=7).fit(assemble.transform(dealt))
     trees = [_read_tree(t._call_java("rootNode")) for t in model.trees]
     scored = model.transform(assemble.transform(rows.where("NOT fits")))
-    scored = scored.select("kind_no", "label", vector_to_array("probability")[1].alias("p"))
+    scored = scored.select("kind_no", "label", "n", vector_to_array("probability")[1].alias("p"))
     # candidates of equal probability are taken or left together
-    level = scored.groupBy("kind_no", "p").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    level = scored.groupBy("kind_no", "p").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
     down = Window.partitionBy("kind_no").orderBy(F.desc("p"))
     level = level.withColumn("precision", F.sum("good").over(down) / F.sum("n").over(down))
     level = level.withColumn("wrong", F.sum(F.col("n") - F.col("good")).over(Window.partitionBy("kind_no")))

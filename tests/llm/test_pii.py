@@ -127,3 +127,17 @@ def test_marks_are_taken_off(spark):
     df = spark.createDataFrame(rows, "k int, v string, way int")
     got = [r.v for r in df.select(pii.unmarked(F.col("k"), F.col("v"), F.col("way")).alias("v")).collect()]
     assert got == ["a@b-c", "1[.]2[.]3[.]4", "4111.1111.1111.1111", "4111 -1111 -1111 -1111", "(523) 555-1055", "0523 555-1055", "30.1234567"]
+
+
+def test_rare_spans_of_a_large_table_are_learnt(spark):
+    """Six documents of 20,000 show what a phone number is; all count, in whichever half they are."""
+    rare = [5, 1002, 2996, 3993, 4990, 8978]
+    call = F.concat(F.lit("please call +1 (555) 555-"), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit(" today"))
+    other = F.concat(F.lit("order "), (F.col("doc_id") + 10_000_000).cast("string"), F.lit(" is on its way"))
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id").withColumn("text", F.when(F.col("doc_id").isin(rare), call).otherwise(other))
+    counted = {r.label: r["count"] for r in pii.labelled(docs).groupBy("label").count().collect()}
+    assert counted[1.0] >= 6 and counted[0.0] >= 19_994
+    judge = pii.fit(docs)
+    assert judge.trees and 3 in judge.thresholds
+    new = spark.createDataFrame([(1, "please call (555) 555-40212 today"), (2, "order 10000001 is on its way")], "doc_id int, text string")
+    assert [len(r.found.spans) for r in pii.mark(new, judge, "found").orderBy("doc_id").collect()] == [1, 0]
