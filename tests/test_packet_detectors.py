@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowguard.operators import botnet, ddos, events, ids, scoring, webshell, windows, xss
+from flowguard.plans import queries
 from flowguard.schemas import PACKET, as_packets
 from flowguard.sources import packets as source, sinks
 
@@ -144,6 +145,30 @@ def test_tfidf_formula(spark):
     assert len(got) == sum(map(len, docs))
 
 
+def test_tfidf_of_a_corpus_reads_the_texts_once(spark, tmp_path):
+    """Equal keys are one text for the terms but two for their number, as is a text without a term."""
+    texts = [(0, "aa bb aa"), (1, "bb cc"), (2, "aa bb bb cc dd"), (2, "aa ee"), (3, "- !"), (None, "bb")]
+    path = str(tmp_path / "texts")
+    spark.createDataFrame(texts, "pkt_no int, payload string").write.parquet(path)
+    df = spark.read.parquet(path)
+    counts = webshell.term_counts(df)
+    want = webshell.tfidf(counts, webshell.fit_idf(counts, df.agg(F.count("*")))).collect()
+    weights = webshell.corpus_tfidf(df)
+    got = weights.collect()
+    assert weights.columns == ["pkt_no", "term", "tf", "tfidf"]
+    assert {(r.pkt_no, r.term, r.tf): round(r.tfidf, 12) for r in got} == {(r.pkt_no, r.term, r.tf): round(r.tfidf, 12) for r in want}
+    assert len(got) == len(want) == 10
+    assert webshell.corpus_tfidf(df.where("pkt_no > 9")).count() == 0
+
+
+def test_tfidf_query_decodes_its_texts_once(spark):
+    found = queries.tfidf(spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("tryValidateUTF8String") == 1
+    assert "ReusedExchange" in plan
+
+
 def test_top_class_and_threshold(spark):
     row = spark.range(1).select(
         scoring.top_class(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4))), scoring.at_least_half(F.lit(0.5)),
