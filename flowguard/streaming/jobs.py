@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 from flowguard.operators import ftp, hosts
 from flowguard.operators.events import DETECTED
 from flowguard.operators.ordered import Sum, Total, scan
+from flowguard.session import save
 
 IDLE_SECONDS = 600  # a transfer that is silent for longer ends as it is
 FOLDER = "micro_batch"  # a column of what is read back, so no event may have one of this name
@@ -42,7 +43,7 @@ class Carried:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}={(self.batch - 1) % 2}")
 
     def save(self, df: DataFrame, name: str = "slot") -> None:
-        _save(df, f"{self.folder}/{name}={self.batch % 2}")
+        save(df, f"{self.folder}/{name}={self.batch % 2}")
 
     def hold(self, df: DataFrame) -> DataFrame:
         """``df`` written once; the next micro-batch writes over it.
@@ -52,7 +53,7 @@ class Carried:
         """
         path = f"{self.folder}/held-{self._held}"
         self._held += 1
-        _save(df, path)
+        save(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,10 +67,6 @@ class Step:
 Detector = Step | Callable[[DataFrame], DataFrame]
 
 
-def _save(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def _detected(found: DataFrame, at: Column) -> DataFrame:
     """Events, bare or in envelopes, with the time of their micro-batch."""
     for f in found.schema:
@@ -139,7 +136,7 @@ def count_windows(
 
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
-        _save(_detected(step.run(batch, carried), at), f"{out}/{FOLDER}={batch_id}")
+        save(_detected(step.run(batch, carried), at), f"{out}/{FOLDER}={batch_id}")
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -198,8 +195,8 @@ def ftp_files(
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
         done, expired = _ended(batch, carried, idle_seconds)
-        _save(done, f"{out}/done/{FOLDER}={batch_id}")
-        _save(expired, f"{out}/expired/{FOLDER}={batch_id}")
+        save(done, f"{out}/done/{FOLDER}={batch_id}")
+        save(expired, f"{out}/expired/{FOLDER}={batch_id}")
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -239,25 +236,26 @@ def fan_out(
 ) -> StreamingQuery:
     """Every detector, stateful or not, sees every row, and the source is read once.
 
-    Each gets the same persisted micro-batch and leaves what it finds in the checkpoint folder.  Once all are through, that
+    Each reads its columns of the micro-batch, which is held in a file of the checkpoint folder (persisted, all its texts would lie
+    on the executors' disks as they are), and leaves what it finds in that folder.  Once all are through, that
     goes at once to ``out/micro_batch=<k>/detector=<name>``: one commit, which a micro-batch that is repeated after a
     failure, between two detectors or later, replaces.  Where detectors have different columns, those that one of them
     lacks are null.
     """
 
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
-        batch.persist()
+        save(batch, f"{checkpoint}/batch")
+        batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{checkpoint}/batch")
         found = []
         for name, detect in detectors.items():
             carried = Carried(batch.sparkSession, f"{checkpoint}/carried-{name}", batch_id)
             rows = detect.run(batch, carried) if isinstance(detect, Step) else detect(batch)
             rows = _detected(rows, at)
             staged = f"{checkpoint}/staged-{name}"
-            _save(rows, staged)
+            save(rows, staged)
             found.append(batch.sparkSession.read.schema(rows.schema).parquet(staged).withColumn("detector", F.lit(name)))
         merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
         merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/{FOLDER}={batch_id}")
-        batch.unpersist()
 
     return _start(stream, each, checkpoint, trigger)
 
