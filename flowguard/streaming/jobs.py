@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from flowguard.operators import ftp, hosts
 from flowguard.operators.events import DETECTED
 from flowguard.operators.ordered import Sum, Total, scan
-from flowguard.session import save
+from flowguard.session import remove, save
 
 IDLE_SECONDS = 600  # a transfer that is silent for longer ends as it is
 FOLDER = "micro_batch"  # a column of what is read back, so no event may have one of this name
@@ -46,7 +46,7 @@ class Carried:
         save(df, f"{self.folder}/{name}={self.batch % 2}")
 
     def hold(self, df: DataFrame) -> DataFrame:
-        """``df`` written once; the next micro-batch writes over it.
+        """``df`` written once, for as long as this micro-batch is not released.
 
         Not persisted: a plan on top of persisted plans carries all of them through every planning step,
         and with some ordered scans above each other that takes far longer than the work.
@@ -56,6 +56,12 @@ class Carried:
         save(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Delete what was held: the rows that were made of it are written."""
+        for k in range(self._held):
+            remove(self.spark, f"{self.folder}/held-{k}")
+        self._held = 0
+
 
 @dataclass(frozen=True)
 class Step:
@@ -137,6 +143,7 @@ def count_windows(
     def each(batch: DataFrame, batch_id: int, at: Column) -> None:
         carried = Carried(batch.sparkSession, f"{checkpoint}/carried", batch_id)
         save(_detected(step.run(batch, carried), at), f"{out}/{FOLDER}={batch_id}")
+        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -197,6 +204,7 @@ def ftp_files(
         done, expired = _ended(batch, carried, idle_seconds)
         save(done, f"{out}/done/{FOLDER}={batch_id}")
         save(expired, f"{out}/expired/{FOLDER}={batch_id}")
+        carried.release()
 
     return _start(stream, each, checkpoint, trigger)
 
@@ -253,9 +261,12 @@ def fan_out(
             rows = _detected(rows, at)
             staged = f"{checkpoint}/staged-{name}"
             save(rows, staged)
+            carried.release()
             found.append(batch.sparkSession.read.schema(rows.schema).parquet(staged).withColumn("detector", F.lit(name)))
         merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
         merged.write.mode("overwrite").partitionBy("detector").parquet(f"{out}/{FOLDER}={batch_id}")
+        for name in ("batch", *(f"staged-{name}" for name in detectors)):
+            remove(batch.sparkSession, f"{checkpoint}/{name}")
 
     return _start(stream, each, checkpoint, trigger)
 

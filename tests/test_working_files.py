@@ -4,10 +4,10 @@ import time
 
 from pyspark.sql import functions as F
 
+from flowguard.schemas import PACKET
 from flowguard.session import materialize, save
 from flowguard.sources import packets as source
 from flowguard.streaming import jobs
-from flowguard.schemas import PACKET
 
 
 def shuffle_files(spark):
@@ -53,3 +53,25 @@ def test_micro_batches_are_held_in_files_not_persisted(spark, tmp_path):
     jobs.fan_out(stream, {"a": detect, "b": detect}, out, state, availableNow=True).awaitTermination()
     assert len(plans) == 2 and not any("InMemoryRelation" in p for p in plans)
     assert spark.read.parquet(out).count() == 60
+
+
+def test_held_tables_go_once_the_events_are_written(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(30).write.parquet(folder)
+    seen = []
+
+    def run(rows, carried):
+        held = carried.hold(carried.hold(rows).where("id % 2 = 0"))
+        carried.save(held.limit(1))
+        return held
+
+    def look(rows):
+        seen.append(sorted(p.name for p in (tmp_path / "state" / "carried-a").iterdir() if p.is_dir()))
+        return rows
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    stream = spark.readStream.schema("id long").parquet(folder)
+    jobs.fan_out(stream, {"a": jobs.Step(run), "b": look}, out, state, availableNow=True).awaitTermination()
+    assert seen == [["slot=0"]]
+    assert {r.detector: r["count"] for r in spark.read.parquet(out).groupBy("detector").count().collect()} == {"a": 15, "b": 30}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["carried-a", "source"]
