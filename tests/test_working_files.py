@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from flowguard.plans import queries
 from flowguard.schemas import PACKET
 from flowguard.session import materialize, save
 from flowguard.sources import packets as source
@@ -75,3 +76,16 @@ def test_held_tables_go_once_the_events_are_written(spark, tmp_path):
     assert seen == [["slot=0"]]
     assert {r.detector: r["count"] for r in spark.read.parquet(out).groupBy("detector").count().collect()} == {"a": 15, "b": 30}
     assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["carried-a", "source"]
+
+
+def test_only_programs_that_are_carried_are_dealt(spark, tmp_path):
+    spark.createDataFrame([(n, "x" * 300, "en") for n in range(8)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(c, t, ("user", "assistant")[t % 2], "h\n.abc#####\n") for c in range(6) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    _, files = queries.carried_files(spark, str(tmp_path))
+    whole = {r.doc_id: bytes(r.content) for r in queries.fx.elf_files(spark, str(tmp_path)).collect()}
+    got = {int(r.file_name.split("/")[0]): bytes(r.content) for r in files.collect()}
+    assert got == {c: whole[c] if c % 2 == 0 else b"abc\n" for c in range(6)}
+    plan = files._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter", 1)[1]
+    program = next(line for line in plan.split("\n") if "_program" in line)
+    assert program.count("% 2) = 0) THEN CASE") == 1, program
